@@ -124,3 +124,42 @@ class Rolling:
         count = len(prefix) - n
         with np.errstate(over="ignore"):
             return mix((prefix[n:] - prefix[:count]) * self.down[:count] + np.uint64(n))
+
+
+def arrow_append(
+    df: DataFrame, inputs: list[str], fn: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], fields: str, keep: list[str] | None = None
+) -> DataFrame:
+    """The kept columns of `df` (all by default) with new columns computed from `inputs`, batch by batch.
+
+    `fn()` is called once a task and returns the function that maps a batch of the inputs (columns 0, 1, ...) to the
+    new columns by name.  Kept columns travel by position, so any names, clashing or not, are safe.
+    """
+    kept = df.columns if keep is None else keep
+    have = {c: i for i, c in reversed(list(enumerate(df.columns)))}
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    at = list(range(len(df.columns))) if keep is None else [have[c] for c in keep]
+    cols = [F.col(f"c{have[c]}").alias(f"i{k}") for k, c in enumerate(inputs)] + [F.col(f"c{i}").alias(f"k{j}") for j, i in enumerate(at)]
+    kinds = ", ".join(f"k{j} {df.schema[i].dataType.simpleString()}" for j, i in enumerate(at))
+    n = len(inputs)
+    names = [f.split()[0] for f in _split_ddl(fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = None
+        for batch in batches:
+            each = each or fn()
+            new = each(batch)
+            arrays = [batch.column(n + j) for j in range(len(at))] + [new[k] for k in names]
+            yield pa.RecordBatch.from_arrays(arrays, [f"k{j}" for j in range(len(at))] + names)
+
+    out = arrow_map(plain.select(*cols), run, ", ".join(x for x in (kinds, fields) if x))
+    return out.toDF(*kept, *names)
+
+
+def _split_ddl(fields: str) -> list[str]:
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(fields):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append(fields[start:i].strip())
+            start = i + 1
+    return [*out, fields[start:].strip()]
