@@ -1,8 +1,8 @@
 """Queries of the corpus operators and their SQL."""
 
-from . import packing
+from . import decontaminate, langid, packing, quality
 
-_MODULES = (packing,)
+_MODULES = (langid, decontaminate, quality, packing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
