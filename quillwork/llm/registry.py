@@ -1,8 +1,8 @@
 """Queries of the corpus operators and their SQL."""
 
-from . import ann, chat, decontaminate, langid, packing, quality
+from . import ann, chat, decontaminate, langid, licenses, packing, quality, secrets
 
-_MODULES = (langid, chat, decontaminate, ann, quality, packing)
+_MODULES = (langid, secrets, chat, decontaminate, licenses, ann, quality, packing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
