@@ -1,8 +1,8 @@
 """Queries of the corpus operators and their SQL."""
 
-from . import ann, chat, decontaminate, jaccard, langid, licenses, packing, quality, secrets
+from . import ann, chat, decontaminate, jaccard, langid, licenses, packing, quality, secrets, substrings
 
-_MODULES = (langid, secrets, chat, decontaminate, licenses, ann, jaccard, quality, packing)
+_MODULES = (substrings, langid, secrets, chat, decontaminate, licenses, ann, jaccard, quality, packing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
