@@ -1,26 +1,65 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+quality (rejected documents go), near-duplicates (one document of each group stays), decontamination (contaminated
+documents go), secrets (their characters are replaced by a mark), packing (pieces of power-of-two lengths).  All stages
+but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillwork.llm import decontaminate, jaccard, packing, quality, secrets
+from quillwork.llm.common import held_out, table, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts, with the threshold of the operator's query."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    scored = quality.score(docs, model, out="quality_score")
+    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 over five-word shingles, the one with the smallest id."""
+    return jaccard.distinct_documents(docs, shingle=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover less than one word in twenty."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
 
-from quillwork.llm import packing
-from quillwork.llm.common import written
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked; n_chars follows the text where it changed."""
+    found = secrets.scan(docs, out="secret_spans")
+    hit = F.size("secret_spans") > 0
+    clean = secrets.redacted(F.col("text"), F.col("secret_spans"))
+    found = found.withColumn("text", clean).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
 
+#: Models, components and tokenizers are not SQL: tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage{k}")
+            docs = written(docs, f"stage-{name}")
     return docs
