@@ -140,7 +140,7 @@ def _candidates(text: Column) -> Column:
 
 def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[tuple[str, int], float]:
     """The least p-value kept, by encoding and length band, from counts over all documents."""
-    found = docs.select(F.explode(_candidates(F.col(text_col))).alias("c")).select("c.t.*")
+    found = docs.select(F.explode_outer(_candidates(F.col(text_col))).alias("c")).where("c.t.p is not null").select("c.t.*")
     bins = found.groupBy("e", "b", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).count().collect()
     counts: dict[tuple[str, int], list[int]] = {}
     for r in bins:
