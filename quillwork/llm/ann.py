@@ -41,7 +41,7 @@ def neighbours(x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
         rows = queries[a : a + 512]
         sims = x[rows] @ x.T
         sims[np.arange(len(rows)), rows] = -np.inf
-        out.append(np.argpartition(-sims, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-sims, k - 1, axis=1)[:, :k].copy())  # not a view: that would keep the whole block
     return np.concatenate(out) if out else np.zeros((0, k), int)
 
 
