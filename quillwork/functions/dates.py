@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .text import col, fold
 
-FORMATS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy")
+FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy")
 MONTHS = {
     "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "setiembre": 9,
     "octubre": 10, "noviembre": 11, "diciembre": 12, "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7,
@@ -19,7 +19,8 @@ MONTHS = {
 
 def parsed(c: Column | str, formats: Sequence[str] = FORMATS, months: Mapping[str, int] = MONTHS) -> Column:
     """A timestamp from a text in any of several formats, or from a date in words in it; null if there is none."""
-    return F.coalesce(*[F.try_to_timestamp(col(c), F.lit(f)) for f in formats], worded(c, months))
+    plain = F.regexp_replace(F.trim(col(c)), "^[A-Za-z]{3}, ", "")  # the parser takes no names of weekdays
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in formats], worded(c, months))
 
 
 def worded(c: Column | str, months: Mapping[str, int] = MONTHS) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ACCENTED = "áàâäãåāăąçćčďđéèêëēėęěğíìîïīįłñńňóòôöõøōőřśšşťúùûüūůűýÿžźż"
 _BARE = "aaaaaaaaacccddeeeeeeeegiiiiiilnnnoooooooorssstuuuuuuuyyzzz"
@@ -52,7 +53,7 @@ def html_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, r" *\n[ \n]*", "\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_encoding(c: pd.Series) -> pd.Series:
     """UTF-8 that was read as Windows-1252 becomes itself again; other texts stay.
 

@@ -7,16 +7,11 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .constants import NUMBER_WORDS
 from .text import col, fold
 
-NUMBER_WORDS = {
-    "cero": 0, "uno": 1, "una": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10,
-    "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15, "veinte": 20, "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4,
-    "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
-}
-
-
 def number(c: Column | str, words: Mapping[str, int] = NUMBER_WORDS) -> Column:
     """The number in a text: its digits, else its first number word, else null."""
     digits = F.regexp_extract(col(c), r"(\d{1,9})", 1)
@@ -53,7 +48,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two strings (F23); no built-in computes it, so this is Arrow-batched."""
     from difflib import SequenceMatcher

@@ -94,17 +94,28 @@ def token_overlap(
 def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """The longest catalogue name that stands in each text, ties to the least; rows without one are left out.
 
-    Names meet texts on their rarest word, then containment is checked on the folded forms.
+    Texts and names are folded.  A name of three words or more meets texts on its rarest inner word, which a text that
+    holds the name holds whole; a shorter one on a run of at most three characters from its middle.  Containment is then
+    checked, so a name may also stand within longer words.
     """
-    n = names.select(F.col(name).alias("_name"), fold(name).alias("_plain")).distinct()
-    n = n.withColumn("_w", F.explode(distinct_words("_plain")))
+    n = names.select(F.col(name).alias("_name"), fold(name).alias("_plain")).where("_plain <> ''").distinct()
     t = texts.select(F.col(key), fold(text).alias("_text"))
-    tw = t.select(key, F.explode(distinct_words("_text")).alias("_w"))
-    freq = tw.groupBy("_w").agg(F.count("*").alias("_f"))
-    anchor = n.join(freq, "_w").groupBy("_name", "_plain").agg(F.min_by("_w", F.struct("_f", "_w")).alias("_w"))
-    pairs = tw.join(anchor, "_w").select(key, "_name", "_plain").join(t, key).where(F.contains("_text", F.col("_plain")))
+    inner = lambda c: F.slice(F.split(c, " "), 2, F.greatest(F.size(F.split(c, " ")) - 2, F.lit(0)))
+    tw = t.select(key, F.explode(F.array_distinct(F.split("_text", " "))).alias("_w"))
+    candidates = n.select("_name", "_plain", F.explode(F.array_distinct(inner(F.col("_plain")))).alias("_w"))
+    freq = tw.join(candidates.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_f"))
+    anchor = candidates.join(freq, "_w").groupBy("_name", "_plain").agg(F.min_by("_w", F.struct("_f", "_w")).alias("_w"))
+    pairs = tw.join(anchor, "_w").select(key, "_name", "_plain")
+    brief = n.where(F.size(F.split("_plain", " ")) < 3)
+    for k in (1, 2, 3):
+        size = F.length("_plain")
+        some = brief.where((size == k) if k < 3 else (size >= 3))
+        some = some.withColumn("_w", F.substring("_plain", F.floor((size - k) / 2).cast("int") + 1, F.lit(k)))
+        runs = t.select(key, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))).alias("_w"))
+        pairs = pairs.union(runs.join(some, "_w").select(key, "_name", "_plain"))
+    found = pairs.join(t, key).where(F.contains("_text", F.col("_plain")))
     best = F.min_by("_name", F.struct(-F.length("_plain"), F.col("_name")))
-    return pairs.groupBy(key).agg(best.alias(name))
+    return found.groupBy(key).agg(best.alias(name))
 
 
 def tiered_titles(

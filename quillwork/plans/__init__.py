@@ -1,6 +1,6 @@
 """Queries built from the operators; importing this package registers them."""
 
-from . import relational
+from . import relational, texts
 from .registry import REGISTRY
 
-__all__ = ["REGISTRY", "relational"]
+__all__ = ["REGISTRY", "relational", "texts"]

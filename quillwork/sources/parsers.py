@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.constants import NUMBER_WORDS
+
 
 def parsed(df: DataFrame, key: str, text: str, parse: Callable[[str], Iterator[tuple]], fields: str) -> DataFrame:
     """key, position and the fields of every item that `parse` yields from a row's text."""
@@ -216,8 +218,6 @@ def vote_token(c, names: Sequence[str] = ("SI", "NO", "ABST", "AUS")):
 
 def prose_votes(text: str) -> Iterator[tuple]:
     """position, count, names (`|`-joined) of sentences like "in favour: 3 (A, B and C)"; counts must match the names."""
-    from quillwork.functions.values import NUMBER_WORDS
-
     kinds = {"SI": r"in favou?r|a favor", "NO": r"against|en contra", "ABST": r"abstentions?|abstenciones?"}
     for kind, words in kinds.items():
         m = re.search(rf"(?i)(?:{words})\s*:?\s*(\d+|[a-zé]+)\s*(?:\(([^)]*)\))?", text)
