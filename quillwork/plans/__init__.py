@@ -1,6 +1,6 @@
 """Queries built from the operators; importing this package registers them."""
 
-from . import relational, texts
+from . import records, relational, texts, vectors
 from .registry import REGISTRY
 
-__all__ = ["REGISTRY", "relational", "texts"]
+__all__ = ["REGISTRY", "records", "relational", "texts", "vectors"]
