@@ -1,6 +1,6 @@
 """Queries built from the operators; importing this package registers them."""
 
-from . import records, relational, texts, vectors
+from . import records, relational, streams, texts, vectors, views
 from .registry import REGISTRY
 
-__all__ = ["REGISTRY", "records", "relational", "texts", "vectors"]
+__all__ = ["REGISTRY", "records", "relational", "streams", "texts", "vectors", "views"]
