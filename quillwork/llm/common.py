@@ -138,10 +138,12 @@ def arrow_append(
     have = {c: i for i, c in reversed(list(enumerate(df.columns)))}
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     at = list(range(len(df.columns))) if keep is None else [have[c] for c in keep]
-    cols = [F.col(f"c{have[c]}").alias(f"i{k}") for k, c in enumerate(inputs)] + [F.col(f"c{i}").alias(f"k{j}") for j, i in enumerate(at)]
-    kinds = ", ".join(f"k{j} {df.schema[i].dataType.simpleString()}" for j, i in enumerate(at))
+    cols = [F.col(f"c{have[c]}").alias(f"i{k}") for k, c in enumerate(inputs)] + [F.col(f"c{i}").alias(f"kept_{j}") for j, i in enumerate(at)]
+    kinds = [f"kept_{j} {df.schema[i].dataType.simpleString()}" for j, i in enumerate(at)]
     n = len(inputs)
     names = [f.split()[0] for f in _split_ddl(fields)]
+    kinds += [f"new_{j} {f.split(None, 1)[1]}" for j, f in enumerate(_split_ddl(fields))]
+    plain_names = [k.split()[0] for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = None
@@ -149,9 +151,9 @@ def arrow_append(
             each = each or fn()
             new = each(batch)
             arrays = [batch.column(n + j) for j in range(len(at))] + [new[k] for k in names]
-            yield pa.RecordBatch.from_arrays(arrays, [f"k{j}" for j in range(len(at))] + names)
+            yield pa.RecordBatch.from_arrays(arrays, plain_names)
 
-    out = arrow_map(plain.select(*cols), run, ", ".join(x for x in (kinds, fields) if x))
+    out = arrow_map(plain.select(*cols), run, ", ".join(kinds))
     return out.toDF(*kept, *names)
 
 

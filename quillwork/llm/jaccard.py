@@ -11,7 +11,9 @@ are chosen by cost (rows indexed, rows indexed again, chance agreement).
 
 Sets are indexed once by content (equal sets are one class).  In each group of equal index entries the members are
 verified against the group's leader; the links make components; only pairs of a group that are still in different
-components are then verified as well.  Verification computes the true sets of both texts.
+components are then verified as well.  A pair reaches verification only if a parity sketch allows it: every element
+flips one of 1024 bits, so two sketches never differ in more bits than the sets differ in elements, and pairs that do
+not fit are dropped inside the join.  Verification computes the true sets of both texts.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, WordHashes, arrow_append, arrow_map, mix, table, texts, written
 
 SEEDS = 3
+#: 64-bit words of a parity sketch.
+SKETCH = 16
+_SKETCH = [f"k{i}" for i in range(SKETCH)]
 GROWTH = 1.4
 #: Weight of a chance agreement in one segment against one indexed row.
 CHANCE = 6
@@ -91,13 +96,11 @@ def scheme(high: int, percent: int) -> tuple[int, int, int]:
 
 
 def entries(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries (64-bit) of a set: under its own band's scheme, and the next one's if a similar set can lie there."""
+    """Index entries (64-bit) of a set: under the schemes of its own band and of all above it where a similar set can lie."""
     n, out = len(elements), []
     values = mix(elements ^ _K[1])
-    sizes = bands(max(16, 4 * n))
-    own = next(i for i, (_, high) in enumerate(sizes) if n <= high)
-    for low, high in sizes[own : own + 2]:
-        if percent * low > 100 * n:
+    for low, high in bands(100 * n // percent + 1):
+        if n > high or percent * low > 100 * n:
             continue
         zeros, ones, spare = scheme(high, percent)
         for seed in range(SEEDS if zeros + ones else 0):
@@ -137,26 +140,46 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """64-bit words of the bits that an odd number of elements flips."""
+    odd = np.bincount((mix(elements ^ _K[3]) >> np.uint64(54)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _possible(a: str, b: str, percent: int) -> F.Column:
+    """Whether sizes and sketches, columns n and k0.. behind the prefixes, allow a similar pair."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in _SKETCH[1:]), F.bit_count(F.col(f"{a}k0").bitwiseXOR(F.col(f"{b}k0"))))
+    near = (percent * na <= 100 * nb) & (percent * nb <= 100 * na)
+    return near & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+
+
+def _prefixed(sketches: DataFrame, side: str) -> DataFrame:
+    return sketches.select(F.col("cls").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *_SKETCH)])
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def classes(docs: DataFrame, text_col: str, shingle: int, keep: list[str]) -> DataFrame:
-    """The kept columns with n_shingles and cls, the class of equal sets (null for an empty set)."""
+    """The kept columns with n_shingles, cls, the class of equal sets (null for an empty set), and the sketch."""
 
     def start():
         hashes = WordHashes()
 
         def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             sets = [shingles(t, shingle, hashes) for t in texts(batch.column(0))]
+            marks = np.array([sketch(x) for x in sets]).reshape(len(sets), SKETCH)
             return {
                 "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                 "cls": pa.array([class_id(x) if len(x) else None for x in sets], pa.int64()),
-            }
+            } | {name: pa.array(marks[:, i]) for i, name in enumerate(_SKETCH)}
 
         return each
 
-    return arrow_append(docs, [text_col], start, "n_shingles long, cls long", keep)
+    kind = "n_shingles long, cls long" + "".join(f", {k} long" for k in _SKETCH)
+    return arrow_append(docs, [text_col], start, kind, keep)
 
 
 def index(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
@@ -248,11 +271,16 @@ def link_classes(docs: DataFrame, own: DataFrame, shingle: int, percent: int) ->
     needed = members.select("cls").distinct()
     one = own.join(needed, "cls").groupBy("cls").agg(F.min("id").alias("i")).select("i").distinct()
     held = docs.join(one, docs["id"].eqNullSafe(one["i"]), "left_semi")
-    sets = classes(held, "text", shingle, ["text"]).join(needed, "cls", "left_semi")
+    sets = classes(held, "text", shingle, ["text"]).select("cls", "text").join(needed, "cls", "left_semi")
     sets = written(sets.groupBy("cls").agg(F.min("text").alias("text")), "sets")
 
+    marks = F.struct(F.col("n_shingles").alias("n"), *_SKETCH)
+    sketches = own.join(needed, "cls").groupBy("cls").agg(F.min(marks).alias("m")).select("cls", "m.*")
+    sketches = written(sketches, "sketches")
+
     stars = members.where("cls <> lead").groupBy(F.col("lead").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("w"))
-    stars = written(stars, "stars")
+    stars = stars.join(_prefixed(sketches, "a"), "a").join(_prefixed(sketches, "b"), "b").where(_possible("a_", "b_", percent))
+    stars = written(stars.select("a", "b", "w"), "stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
     first = written(verified(best, sets, shingle, percent), "first")
     labels = connected(first)
@@ -262,14 +290,16 @@ def link_classes(docs: DataFrame, own: DataFrame, shingle: int, percent: int) ->
     rest = _labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
     second = written(verified(rest, sets, shingle, percent), "second")
     links = first.union(second)
-    labels = connected(links)
+    labels = connected(links) if second.limit(1).count() else labels
 
     # other pairs of a group that are still apart
-    marked = _labelled(members, labels, "cls", "l")
+    marked = _labelled(members.select("sig", "cls", "lead"), labels, "cls", "l")
     apart = marked.groupBy("sig").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("sig")
-    open_ = written(marked.where("cls <> lead").join(apart, "sig", "left_semi").select("sig", "cls", "l"), "open")
-    x, y = (open_.select("sig", F.col("cls").alias(n), F.col("l").alias(f"l{n}")) for n in "ab")
-    pairs = x.join(y, "sig").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = marked.where("cls <> lead").join(apart, "sig", "left_semi").select("sig", "cls", "l")
+    open_ = written(open_.join(sketches, "cls"), "open")
+    x, y = (open_.select("sig", F.col("cls").alias(side), F.col("l").alias(f"l{side}"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *_SKETCH)]) for side in "ab")
+    pairs = x.join(y.withColumnRenamed("sig", "other"), (F.col("sig") == F.col("other")) & (F.col("la") < F.col("lb")) & _possible("a_", "b_", percent))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
     third = written(verified(pairs, sets, shingle, percent), "third")
     return connected(links.union(third)) if third.limit(1).count() else labels
@@ -283,10 +313,10 @@ def components(
     Null and wordless texts have an empty set and are linked with nothing; repeated rows and equal sets are linked;
     null ids count as larger than all others; an empty table gives no rows.
     """
-    own = written(classes(docs, text_col, shingle, [id_col]).toDF("id", "n_shingles", "cls"), "classes")
+    own = written(classes(docs, text_col, shingle, [id_col]).withColumnRenamed(id_col, "id"), "classes")
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     labels = link_classes(plain, own, shingle, percent)
-    named = own.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = own.select("id", "n_shingles", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     out = named.join(least, "label", "left")
     found = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id"))
