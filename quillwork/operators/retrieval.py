@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillwork.functions.text import fold_words
-from quillwork.functions.values import cosine, dot
+from quillwork.functions.values import cosine
+
+from .relational import small
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,12 +35,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
+def nearest(
+    queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", block: int = 16_384
+) -> DataFrame:
     """The k items most similar to each query by cosine, ties to the least key (V2); an item never finds itself.
 
-    Exact: queries meet all items block by block, each block keeps its k best, and those are ranked again.  Items are
-    dealt to `blocks` groups; a group's task streams over its items in Arrow batches held against the queries, which
-    are a stated set of the caller.
+    Exact: a stated set of queries meets all items in blocks of a bounded size on both sides; each pair of blocks keeps
+    its k best for a query, and those are ranked again.
     """
 
     def search(pair_key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -47,21 +53,25 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id
             for i in range(len(a)):
                 s = b @ a[i] / np.where(nb * na[i] > 0, nb * na[i], np.inf)
                 s[ids == qids[i]] = -np.inf
-                top = np.lexsort((ids, -s))[:k]
+                least = np.partition(s, max(0, len(s) - k))[max(0, len(s) - k)]
+                close = np.flatnonzero(s >= least)
+                top = close[np.lexsort((ids[close], -s[close]))][:k]
                 out += [(qids[i], ids[j], float(s[j])) for j in top if s[j] > -np.inf]
         return pd.DataFrame(out, columns=[query, key, "score"]).astype({query: "int64", key: "int64", "score": "float64"})
 
-    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    q = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), all_blocks)
-    x = items.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int").alias("block"))
-    found = q.groupBy("block").cogroup(x.groupBy("block")).applyInPandas(search, f"{query} long, {key} long, score double")
+    deals = [max(1, -(-df.count() // block)) for df in (items, queries)]
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    own = lambda n, name: F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int").alias(name)
+    q = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), own(deals[1], "bq"), every(deals[0], "bx"))
+    x = items.select(F.col(key).alias("id"), F.col(vector).alias("v"), own(deals[0], "bx"), every(deals[1], "bq"))
+    found = q.groupBy("bx", "bq").cogroup(x.groupBy("bx", "bq")).applyInPandas(search, f"{query} long, {key} long, score double")
     w = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def affinity(items: DataFrame, fragments: DataFrame, key: str, profile: str, vector: str, fragment: str) -> DataFrame:
-    """Each item's best similarity to a profile's fragments (V5, A20): profiles are a few rows of configuration, broadcast."""
-    pairs = items.select(key, vector).crossJoin(F.broadcast(fragments.select(profile, fragment)))
+    """Each item's best similarity to a profile's fragments (V5, A20): profiles are a few rows of configuration."""
+    pairs = items.select(key, vector).crossJoin(small(fragments.select(profile, fragment)))
     return pairs.groupBy(key, profile).agg(F.max(cosine(vector, fragment)).alias("affinity"))
 
 
@@ -148,31 +158,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def leaders(rows: DataFrame, block: str, order: Sequence[str], key: str, vector: str, least: float) -> DataFrame:
     """Greedy clustering in a total order: join the first leader that is similar enough, else lead.
 
-    The result depends on the order by definition, so each block is one sequence; its task holds the leaders only.
+    The result depends on the order by definition, so each block is one sequence: it is streamed in order through its
+    task, which holds the leaders only.  Rows without a vector lead themselves.
     """
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads, names, out = np.zeros((0, 0)), [], []
-        for k, v in zip(pdf["key"], pdf["v"], strict=True):
-            x = None if v is None else np.asarray(v, float)
-            n = 0.0 if x is None else float(np.sqrt(x @ x))
-            if n > 0:
-                x = x / n
-                close = np.flatnonzero(heads @ x >= least) if len(names) else []
-                if len(close):
-                    out.append((k, names[close[0]]))
-                    continue
-                heads = np.vstack([heads, x]) if len(names) else x[None, :]
-                names.append(k)
-            out.append((k, k))
-        return pd.DataFrame(out, columns=["key", "leader"]).astype("int64").assign(block=pdf["block"].iloc[0] if len(pdf) else None)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, heads, names = object(), [], []
+        for batch in batches:
+            out = []
+            for b, k, v in zip(batch["block"], batch["key"], batch["v"], strict=True):
+                if b != now:
+                    now, heads, names = b, [], []
+                x = None if v is None else np.asarray(v, float)
+                n = 0.0 if x is None else float(np.sqrt(x @ x))
+                leader = k
+                if n > 0:
+                    x = x / n
+                    close = np.flatnonzero(np.array(heads) @ x >= least) if heads else []
+                    if len(close):
+                        leader = names[close[0]]
+                    else:
+                        heads.append(x)
+                        names.append(k)
+                out.append((b, k, leader))
+            yield pd.DataFrame(out, columns=["block", "key", "leader"])
 
     kind = rows.schema[block].dataType.simpleString()
-    plain = rows.select(F.col(block).alias("block"), F.col(key).alias("key"), F.col(vector).alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    ordered = lambda pdf: group(pdf.sort_values([f"o{i}" for i in range(len(order))], kind="stable"))
-    return plain.groupBy("block").applyInPandas(ordered, f"key long, leader long, block {kind}").select(
-        F.col("block").alias(block), F.col("key").alias(key), "leader"
-    )
+    names = [f"o{i}" for i in range(len(order))]
+    plain = rows.select(F.col(block).alias("block"), F.col(key).alias("key"), F.col(vector).alias("v"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
+    found = plain.repartition("block").sortWithinPartitions("block", *names, "key").mapInPandas(run, f"block {kind}, key long, leader long")
+    return found.toDF(block, key, "leader")
 
 
 def verdicts(rows: DataFrame, key: Sequence[str], source: str, precedence: Sequence[str]) -> DataFrame:
@@ -184,8 +199,15 @@ def verdicts(rows: DataFrame, key: Sequence[str], source: str, precedence: Seque
 
 
 def hashed_vector(c: Column, buckets: int = 64) -> Column:
-    """A unit vector of hashed word counts: the stand-in for a model's embedding (V1)."""
-    words = F.filter(F.split(fold_words(c), " "), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x, F.sqrt(dot(v, v))), F.lit(0.0))))[0]
+    """A unit vector of hashed word counts: the stand-in for a model's embedding (V1), Arrow-batched as a model would be."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            places = [zlib.crc32(w.encode()) % buckets for w in re.findall(r"\w+", (text or "").lower())]
+            v = np.bincount(np.array(places, int), minlength=buckets).astype(float)
+            out.append((v / max(1e-12, np.sqrt(v @ v))).tolist())
+        return pd.Series(out)
+
+    return embed(c)

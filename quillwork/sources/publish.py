@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillwork.streaming.folds import folded
+
 
 class Conflict(RuntimeError):
     """Another writer has published since the version was read."""
@@ -76,29 +77,26 @@ def nested(parents: DataFrame, children: dict[str, tuple[DataFrame, Sequence[str
 def packed_messages(blocks: DataFrame, recipient: str, section: str, text: str, order: Sequence[str], most: int = 4000) -> DataFrame:
     """Messages of at most `most` characters from whole blocks; a section's header opens it and every message it goes on in (K6).
 
-    A sequential fold by recipient, streamed: rows arrive sorted within partitions.  A block that is too long by itself
-    is a message of its own.
+    A sequential fold by recipient: rows arrive sorted and stream through, so a task holds one message.  A block that is
+    too long by itself is a message of its own.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, now, last = [], "", None
-        for head, body in zip(pdf["section"], pdf["text"], strict=True):
-            title = f"{head}\n" if head is not None else ""
-            piece = body if head == last and now else title + body
-            if now and len(now) + 1 + len(piece) > most:
-                out.append(now)
-                now, piece = "", title + body
-            now = f"{now}\n{piece}" if now else piece
-            last = head
-        out += [now] if now else []
-        n = len(out)
-        return pd.DataFrame({"recipient": pdf["recipient"].iloc[0], "part": range(1, n + 1), "parts": n, "message": out})
-
-    plain = blocks.select(F.col(recipient).alias("recipient"), F.col(section).alias("section"), F.coalesce(text, F.lit("")).alias("text"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    kind = blocks.schema[recipient].dataType.simpleString()
+    def step(state: list | None, row: dict) -> tuple[list, list[tuple]]:
+        n, now, last = state or (1, "", None)
+        head = row["section"]
+        title = f"{head}\n" if head is not None else ""
+        piece = row["text"] if head == last and now else title + row["text"]
+        if now and len(now) + 1 + len(piece) > most:
+            return [n + 1, title + row["text"], head], [(n, now)]
+        return [n, f"{now}\n{piece}" if now else piece, head], []
+
     names = [f"o{i}" for i in range(len(order))]
-    done = plain.groupBy("recipient").applyInPandas(lambda p: fold(p.sort_values(names, kind="stable")), f"recipient {kind}, part int, parts int, message string")
-    return done.withColumnRenamed("recipient", recipient)
+    plain = blocks.select(
+        F.col(recipient), F.col(section).alias("section"), F.coalesce(text, F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)]
+    )
+    out = folded(plain, [recipient], names, step, "part int, message string", lambda state: [(state[0], state[1])] if state and state[1] else [])
+    parts = out.groupBy(recipient).agg(F.max("part").alias("parts"))
+    return out.join(parts, recipient)
 
 
 def digest(rows: DataFrame, group: str, title: Column, order: Sequence[str]) -> DataFrame:
