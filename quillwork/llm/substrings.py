@@ -123,7 +123,8 @@ def pieces(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """t1, t2 and spans, the ranges (lo, n) of repeated windows, of every text that has any."""
     found = pieces(keyed, window, gram)
-    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # what a join takes from an aggregate is written first: a join of two plain shuffles can split hot keys
+    shared = written(found.groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
     found = found.join(shared, "anchor", "left_semi")
     found = found.groupBy("anchor", "f1", "f2", "t1", "t2", "lo", "n").agg(F.count("*").alias("copies"))
     found = written(found, "pieces")
@@ -131,20 +132,20 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     content = found.groupBy("anchor", "f1").agg(
         F.sum("copies").alias("copies"), (F.min("f2") == F.max("f2")).alias("same"), F.min(F.struct("t1", "t2", "lo")).alias("source")
     )
-    variants = found.groupBy("anchor").agg((F.min("f1") != F.max("f1")).alias("branches"))
+    variants = written(found.groupBy("anchor").agg((F.min("f1") != F.max("f1")).alias("branches")), "variants")
     content = content.join(variants, "anchor").select(
         "anchor", "f1", "source", (F.col("same") & (F.col("copies") > 1)).alias("repeated"), (F.col("branches") | ~F.col("same")).alias("branches")
     )
     placed = found.join(content.where("repeated or branches"), ["anchor", "f1"])
     compact = placed.where("repeated").select("t1", "t2", "lo", "n")
     expand = placed.where("branches and (not repeated or (t1 = source.t1 and t2 = source.t2 and lo = source.lo))")
-    expand = expand.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n", "repeated")).alias("spans"))
+    expand = written(expand.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n", "repeated")).alias("spans")), "expand")
     edges = written(_edges(keyed, expand, window, gram), "edges")
     again = edges.groupBy("w1", "w2").agg(F.min(F.struct("t1", "t2", "at")).alias("a"), F.max(F.struct("t1", "t2", "at")).alias("z"))
-    again = again.where("a <> z").select("w1", "w2")
+    again = written(again.where("a <> z").select("w1", "w2"), "again")
     single = edges.where("not known").join(again, ["w1", "w2"], "left_semi")
     spans = compact.union(single.select("t1", "t2", "at", F.lit(1).cast("long")))
-    return spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    return written(spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans")
 
 
 def _edges(keyed: DataFrame, expand: DataFrame, window: int, gram: int) -> DataFrame:
