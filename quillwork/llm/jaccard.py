@@ -268,7 +268,7 @@ def link_classes(docs: DataFrame, own: DataFrame, shingle: int, percent: int) ->
     rows = index(docs, "text", shingle, percent)
     rows = rows.select("sig", "cls", F.min("cls").over(group).alias("lead"), F.max("cls").over(group).alias("most"))
     members = written(rows.where("lead <> most").select("sig", "cls", "lead"), "members")
-    needed = members.select("cls").distinct()
+    needed = written(members.select("cls").distinct(), "needed")  # written: a join of two plain shuffles can split hot keys
     one = own.join(needed, "cls").groupBy("cls").agg(F.min("id").alias("i")).select("i").distinct()
     held = docs.join(one, docs["id"].eqNullSafe(one["i"]), "left_semi")
     sets = classes(held, "text", shingle, ["text"]).select("cls", "text").join(needed, "cls", "left_semi")
@@ -317,7 +317,7 @@ def components(
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     labels = link_classes(plain, own, shingle, percent)
     named = own.select("id", "n_shingles", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
+    least = written(named.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id")), "least")
     out = named.join(least, "label", "left")
     found = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"))
