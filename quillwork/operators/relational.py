@@ -85,19 +85,18 @@ def largest_overlap(phrases: DataFrame, spans: DataFrame, stream: str, phrase: s
     where it begins, once.
     """
 
-    def dealt(df: DataFrame) -> DataFrame:
+    def dealt(df: DataFrame, side: str) -> DataFrame:
         buckets = F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))
-        return df.withColumn("_b", F.explode(buckets))
-
-    a = dealt(phrases.select(stream, phrase, "start", "end"))
-    b = dealt(spans.select(stream, label, F.col("start").alias("s"), F.col("end").alias("e"))
-              .withColumnsRenamed({"s": "start", "e": "end"})).withColumnsRenamed({"start": "s", "end": "e"})
-    both = a.join(b, [stream, "_b"]).where((F.col("start") < F.col("e")) & (F.col("s") < F.col("end")))
-    both = both.where(F.col("_b") == F.floor(F.greatest("start", "s") / bucket))
-    shared = F.sum(F.least("end", "e") - F.greatest("start", "s")).alias("overlap")
+        return df.withColumn("_b", F.explode(buckets)).withColumnsRenamed({"start": f"_{side}0", "end": f"_{side}1"})
+
+    a = dealt(phrases.select(stream, phrase, "start", "end"), "p")
+    b = dealt(spans.select(stream, label, "start", "end"), "q")
+    both = a.join(b, [stream, "_b"]).where((F.col("_p0") < F.col("_q1")) & (F.col("_q0") < F.col("_p1")))
+    both = both.where(F.col("_b") == F.floor(F.greatest("_p0", "_q0") / bucket))
+    shared = F.sum(F.least("_p1", "_q1") - F.greatest("_p0", "_q0")).alias("_o")
     total = both.groupBy(stream, phrase, label).agg(shared)
-    best = total.groupBy(stream, phrase).agg(F.min_by(F.struct(label, "overlap"), F.struct(-F.col("overlap"), F.col(label))).alias("_m"))
-    return best.select(stream, phrase, F.col(f"_m.{label}").alias(label), F.col("_m.overlap").alias("overlap"))
+    best = total.groupBy(stream, phrase).agg(F.min_by(F.struct(label, "_o"), F.struct(-F.col("_o"), F.col(label))).alias("_m"))
+    return best.select(stream, phrase, F.col(f"_m.{label}").alias(label), F.col("_m._o").alias("overlap"))
 
 
 def near_in_time(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, other_at: str, within: int) -> DataFrame:
