@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, table
+from .oracles import OP4
 
 #: Strings that the format gives a meaning; in texts they are escaped.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|turn|>", "<|text|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -447,4 +448,4 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_chat_format": op4_chat_format}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_chat_format": OP4}

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import FOLD, arrow_append, table, texts
+from .oracles import OP5
 
 WINDOW = 13
 BLOCK_CHARS = 2_000_000
@@ -251,4 +252,4 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_decontamination": op5_decontamination}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_decontamination": OP5}

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, WordHashes, arrow_append, arrow_map, mix, table, texts, written
+from .oracles import OP8
 
 SEEDS = 3
 #: 64-bit words of a parity sketch.
@@ -345,4 +346,4 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_jaccard_join": OP8}

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Rolling, WordHashes, arrow_append, arrow_map, mix, table, texts, written
+from .oracles import OP1
 
 WINDOW, GRAM = 35, 8
 _CHUNK = 1 << 20
@@ -227,4 +228,4 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_substring_dedup": OP1}
