@@ -49,7 +49,13 @@ def scratch(spark: SparkSession, label: str) -> str:
             spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
             found = spark.sparkContext.getCheckpointDir()
         root = found
-    return f"{root.rstrip('/')}/quillwork/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/quillwork/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes this application's written tables, when no result that reads them is needed any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
