@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows from a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/quillwork/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/quillwork/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
