@@ -147,12 +147,17 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _differ(a: str, b: str) -> F.Column:
+    """Bits in which the sketches, columns k0.. behind the prefixes, differ."""
+    bits = [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in _SKETCH]
+    return sum(bits[1:], bits[0])
+
+
 def _possible(a: str, b: str, percent: int) -> F.Column:
-    """Whether sizes and sketches, columns n and k0.. behind the prefixes, allow a similar pair."""
+    """Whether sizes and sketches allow a similar pair."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in _SKETCH[1:]), F.bit_count(F.col(f"{a}k0").bitwiseXOR(F.col(f"{b}k0"))))
     near = (percent * na <= 100 * nb) & (percent * nb <= 100 * na)
-    return near & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+    return near & ((100 + percent) * _differ(a, b) <= (100 - percent) * (na + nb))
 
 
 def _prefixed(sketches: DataFrame, side: str) -> DataFrame:
@@ -298,12 +303,25 @@ def link_classes(docs: DataFrame, own: DataFrame, shingle: int, percent: int) ->
     apart = marked.groupBy("sig").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("sig")
     open_ = marked.where("cls <> lead").join(apart, "sig", "left_semi").select("sig", "cls", "l")
     open_ = written(open_.join(sketches, "cls"), "open")
-    x, y = (open_.select("sig", F.col("cls").alias(side), F.col("l").alias(f"l{side}"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *_SKETCH)]) for side in "ab")
-    pairs = x.join(y.withColumnRenamed("sig", "other"), (F.col("sig") == F.col("other")) & (F.col("la") < F.col("lb")) & _possible("a_", "b_", percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    third = written(verified(pairs, sets, shingle, percent), "third")
-    return connected(links.union(third)) if third.limit(1).count() else labels
+    x, y = open_.alias("x"), open_.alias("y")  # alike but for the alias, so that one shuffle serves both sides
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.l") < F.col("y.l")) & _possible("x.", "y.", percent))
+    least, most = F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")
+    pairs = pairs.select(least, most, F.col("x.l").alias("la"), F.col("y.l").alias("lb"), _differ("x.", "y.").alias("d")).distinct()
+    pairs = written(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+
+    # first the nearest pair of any two components: one link joins them, and their other pairs need no look
+    near = pairs.groupBy("la", "lb").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.*")
+    near = written(near, "near")
+    third = written(verified(near, sets, shingle, percent), "third")
+    if not third.limit(1).count():
+        joined = labels
+    else:
+        links = links.union(third)
+        joined = connected(links)
+    rest = pairs.select("a", "b").join(near, ["a", "b"], "left_anti")
+    rest = _labelled(_labelled(rest, joined, "a", "la"), joined, "b", "lb").where("la <> lb").select("a", "b")
+    last = written(verified(rest, sets, shingle, percent), "last")
+    return connected(links.union(last)) if last.limit(1).count() else joined
 
 
 def components(
