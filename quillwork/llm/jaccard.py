@@ -10,7 +10,7 @@ lost: a pair that agrees in empty contents alone has two such sets.  The numbers
 are chosen by cost (rows indexed, rows indexed again, chance agreement).
 
 Sets are indexed once by content (equal sets are one class).  In each group of equal index entries the members are
-verified against the group's leader; the links make components; only pairs of a group that are still in different
+verified against the group's leaders; the links make components; only pairs of a group that are still in different
 components are then verified as well.  A pair reaches verification only if a parity sketch allows it: every element
 flips one of 1024 bits, so two sketches never differ in more bits than the sets differ in elements, and pairs that do
 not fit are dropped inside the join.  Verification computes the true sets of both texts.
@@ -31,6 +31,8 @@ from .common import LOWER, WordHashes, arrow_append, arrow_map, mix, table, text
 from .oracles import OP8
 
 SEEDS = 3
+#: Leaders of a group of equal index entries besides its least member; more leaders leave fewer components apart.
+LEADERS = 3
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 _SKETCH = [f"k{i}" for i in range(SKETCH)]
@@ -272,8 +274,9 @@ def link_classes(docs: DataFrame, own: DataFrame, shingle: int, percent: int) ->
     """(node, label) of the classes that are linked with another one; `own` are the written classes() of docs (id, text)."""
     group = Window.partitionBy("sig")
     rows = index(docs, "text", shingle, percent)
-    rows = rows.select("sig", "cls", F.min("cls").over(group).alias("lead"), F.max("cls").over(group).alias("most"))
-    members = written(rows.where("lead <> most").select("sig", "cls", "lead"), "members")
+    others = [F.min_by("cls", F.xxhash64("cls", F.lit(r))).over(group).alias(f"lead{r}") for r in range(LEADERS)]
+    rows = rows.select("sig", "cls", F.min("cls").over(group).alias("lead"), F.max("cls").over(group).alias("most"), *others)
+    members = written(rows.where("lead <> most").drop("most"), "members")
     needed = written(members.select("cls").distinct(), "needed")  # written: a join of two plain shuffles can split hot keys
     one = own.join(needed, "cls").groupBy("cls").agg(F.min("id").alias("i")).select("i").distinct()
     held = docs.join(one, docs["id"].eqNullSafe(one["i"]), "left_semi")
@@ -284,14 +287,16 @@ def link_classes(docs: DataFrame, own: DataFrame, shingle: int, percent: int) ->
     sketches = own.join(needed, "cls").groupBy("cls").agg(F.min(marks).alias("m")).select("cls", "m.*")
     sketches = written(sketches, "sketches")
 
-    stars = members.where("cls <> lead").groupBy(F.col("lead").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("w"))
+    heads = F.explode(F.array_distinct(F.array("lead", *[f"lead{r}" for r in range(LEADERS)]))).alias("head")
+    stars = members.select("cls", heads).where("cls <> head")
+    stars = stars.groupBy(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).agg(F.count("*").alias("w"))
     stars = stars.join(_prefixed(sketches, "a"), "a").join(_prefixed(sketches, "b"), "b").where(_possible("a_", "b_", percent))
     stars = written(stars.select("a", "b", "w"), "stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
     first = written(verified(best, sets, shingle, percent), "first")
     labels = connected(first)
 
-    # leaders of a group that are still apart from a member
+    # members of a group that are still apart from one of its leaders
     rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = _labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
     second = written(verified(rest, sets, shingle, percent), "second")
@@ -301,7 +306,7 @@ def link_classes(docs: DataFrame, own: DataFrame, shingle: int, percent: int) ->
     # other pairs of a group that are still apart
     marked = _labelled(members.select("sig", "cls", "lead"), labels, "cls", "l")
     apart = marked.groupBy("sig").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("sig")
-    open_ = marked.where("cls <> lead").join(apart, "sig", "left_semi").select("sig", "cls", "l")
+    open_ = marked.join(apart, "sig", "left_semi").select("sig", "cls", "l")
     open_ = written(open_.join(sketches, "cls"), "open")
     x, y = open_.alias("x"), open_.alias("y")  # alike but for the alias, so that one shuffle serves both sides
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.l") < F.col("y.l")) & _possible("x.", "y.", percent))
