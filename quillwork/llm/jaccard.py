@@ -329,6 +329,14 @@ def link_classes(docs: DataFrame, own: DataFrame, shingle: int, percent: int) ->
     return connected(links.union(last)) if last.limit(1).count() else joined
 
 
+def _named(docs: DataFrame, shingle: int, percent: int, keep: list[str]) -> DataFrame:
+    """id, the kept columns, n_shingles, cls and label of all rows of docs (id, text, ...); label is null for an empty set."""
+    own = written(classes(docs, "text", shingle, ["id", *keep]), "classes")
+    labels = link_classes(docs.select("id", "text"), own, shingle, percent)
+    names = labels.select(F.col("node").alias("cls"), "label")
+    return own.select("id", *keep, "n_shingles", "cls").join(names, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
 def components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, percent: int = 90
 ) -> DataFrame:
@@ -337,10 +345,7 @@ def components(
     Null and wordless texts have an empty set and are linked with nothing; repeated rows and equal sets are linked;
     null ids count as larger than all others; an empty table gives no rows.
     """
-    own = written(classes(docs, text_col, shingle, [id_col]).withColumnRenamed(id_col, "id"), "classes")
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    labels = link_classes(plain, own, shingle, percent)
-    named = own.select("id", "n_shingles", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = _named(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, percent, [])
     least = written(named.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id")), "least")
     out = named.join(least, "label", "left")
     found = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id"))
@@ -352,16 +357,23 @@ def distinct_documents(
 ) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays, once.
 
-    Rows whose text is null or has no words have no near-duplicates and stay.
+    Null ids count as larger than all others; of equal ids the text with the least hash stays.  Rows whose text is null
+    or has no words have no near-duplicates and stay, repeated or not.  Rows are named by 128 bits of id and text.
     """
     width = len(docs.columns)
     plain = docs.toDF(*(f"d{i}" for i in range(width)))
-    at = f"d{docs.columns.index(id_col)}"
-    found = written(components(plain, at, f"d{docs.columns.index(text_col)}", shingle=shingle, percent=percent), "components")
-    keep = found.where(F.col(at).eqNullSafe(F.col("component_id"))).select(F.col(at).alias("kept"), (F.col("n_shingles") == 0).alias("bare")).distinct()
-    out = plain.join(keep, plain[at].eqNullSafe(keep["kept"]), "left_semi")
-    repeated = found.where("n_shingles > 0").groupBy(at).count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates([at]) if repeated else out).toDF(*docs.columns)
+    at, said = F.col(f"d{docs.columns.index(id_col)}"), F.col(f"d{docs.columns.index(text_col)}")
+    row = [at, at.isNull(), said, said.isNull()]
+    plain = plain.withColumns({"row1": F.xxhash64(*row), "row2": F.xxhash64(F.lit(1), *row)})
+    named = _named(plain.select(at.alias("id"), said.alias("text"), "row1", "row2"), shingle, percent, ["row1", "row2"])
+    rows = named.where("label is not null").groupBy("label", "id", "row1", "row2").agg((F.count("*") > 1).alias("again"))
+    least = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row1", "row2", "again")).alias("m"))
+    bare = named.where("label is null").select("row1", "row2", F.lit(False).alias("again")).distinct()
+    kept = written(least.select("m.row1", "m.row2", "m.again").union(bare), "kept")
+    again = written(kept.where("again"), "again")  # written: only these few rows' texts need a further look
+    once = plain.join(kept.where("not again"), ["row1", "row2"], "left_semi").drop("row1", "row2")
+    first = plain.join(again, ["row1", "row2"], "left_semi").dropDuplicates(["row1", "row2"]).drop("row1", "row2")
+    return once.union(first).toDF(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,16 @@ def test_jaccard_keeps_one_of_each(docs, rows, none):
     assert jaccard.distinct_documents(none).count() == 0
 
 
+def test_jaccard_keeps_each_text_whatever_its_id(spark):
+    rows = [(None, sentence(20 + i, 30)) for i in range(5)] + [(None, sentence(20, 30))]  # null ids, one text twice
+    rows += [(1, sentence(30, 30)), (1, sentence(31, 30)), (0, sentence(31, 30) + " x")]  # one id, two texts, one a near-copy
+    rows += [(2, " "), (2, " "), (2, None), (2, None), (None, None), (None, None)]  # no words: all stay
+    rows += [(3, sentence(32, 30)), (3, sentence(32, 30)), (3, sentence(33, 30)), (None, sentence(33, 30))]
+    kept = jaccard.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = [*rows[:5], rows[6], rows[8], *rows[9:15], rows[15], rows[17]]
+    assert collected(kept, "doc_id", "text") == sorted(expected, key=repr)
+
+
 def test_index_misses_no_similar_pair():
     rng = np.random.default_rng(0)
     for percent in (60, 80, 90, 95):
