@@ -118,35 +118,68 @@ def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, nam
     return found.groupBy(key).agg(best.alias(name))
 
 
+def _meetings(t: DataFrame, n: DataFrame, key: str) -> DataFrame:
+    """The pairs of texts `t` (key, _text) and pieces `n` (..., _plain) that may hold one another: all that do, and more.
+
+    A piece of three words or more meets texts on its rarest inner word, which a text that holds the piece holds whole;
+    a shorter one on all words of the texts that hold its longest word.  These are sought among the distinct words, by a
+    run of at most three characters from the middle.
+    """
+    tw = t.select(key, F.explode(F.array_distinct(F.split("_text", " "))).alias("_w"))
+    vocabulary = tw.groupBy("_w").agg(F.count("*").alias("_f"))
+    split = F.split("_plain", " ")
+    inner = n.where(F.size(split) >= 3).select(*n.columns, F.explode(F.array_distinct(F.slice(split, 2, F.size(split) - 2))).alias("_w"))
+    anchors = inner.join(vocabulary, "_w").groupBy(*n.columns).agg(F.min_by("_w", F.struct("_f", "_w")).alias("_w"))
+    longest = F.array_max(F.transform(split, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    brief = n.where(F.size(split) < 3).select(*n.columns, longest.alias("_v"))
+    for k in (1, 2, 3):
+        size = F.length("_v")
+        some = brief.where((size == k) if k < 3 else (size >= 3))
+        some = some.withColumn("_run", F.substring("_v", F.floor((size - k) / 2).cast("int") + 1, F.lit(k)))
+        runs = vocabulary.select("_w", F.explode(F.array_distinct(F.regexp_extract_all("_w", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))).alias("_run"))
+        anchors = anchors.union(runs.join(some, "_run").where(F.contains("_w", F.col("_v"))).select(*n.columns, "_w"))
+    return tw.join(anchors, "_w").select(key, *n.columns).distinct()
+
+
 def tiered_titles(
-    texts: DataFrame, titles: DataFrame, key: str, text: str, title_key: str, title: str, boilerplate: Sequence[str], *,
+    texts: DataFrame, titles: DataFrame, key: str, text: str, title_key: str, title: str, boilerplate: Sequence[str],
+    bridges: Sequence[str] = ("a la ley de", "a la ley", "al codigo", "al", "a la", "del"), *,
     tail: int = 18, kernel: int = 8, least: float = 0.04, token: int = 7, overlap: int = 2, rarest: float = 3.0, ratio: float = 0.30,
 ) -> DataFrame:
     """Scored text-title matches in tiers (T6): the title's tail, else its kernel, else rare shared tokens.
 
-    Tail: the part after the first half, if it has `tail` characters and stands in the text, scores 0.8 times its share
-    of the text; kernel: the whole title without boilerplate, its share.  The first of the two that reaches `least` ends
-    the search.  Else tokens of `token` letters: at least `overlap` shared, the title's rarest among them with an IDF of
-    `rarest`, and a share of `ratio`; half the share is the score.  All tiers meet on shared tokens.
+    Tail: the longest part, from the last place of a bridge phrase on, that has `tail` characters and stands in the text,
+    scores 0.8 times its share of the text; kernel: the whole title without boilerplate, its share.  The first of the two
+    that reaches `least` ends the search; both meet texts as in `_meetings`, whatever their tokens.  Else tokens of
+    `token` letters: at least `overlap` shared, the title's rarest among them with an IDF of `rarest` over all titles, and
+    a share of `ratio`; half the share is the score.  Only this tier meets on the rarest token.
     """
-    b = titles.select(title_key, title_kernel(title, boilerplate).alias("_k")).where(F.length("_k") >= kernel)
-    b = b.withColumn("_tb", distinct_words("_k", token)).where(F.size("_tb") > 0)
-    weights = idf(b, title_key, F.col("_tb"))
+    every = titles.select(title_key, title_kernel(title, boilerplate).alias("_k")).where("_k is not null").withColumn("_tb", distinct_words("_k", token))
+    b = every.where(F.length("_k") >= kernel)
+    a = texts.select(key, fold(text).alias("_text"))
+
+    tails = F.array_distinct(F.array(*[F.regexp_extract("_k", rf"(?s)^.* (\Q{x}\E .*)$", 1) for x in bridges]))
+    tails = b.select(title_key, F.explode(tails).alias("_plain"), F.lit(True).alias("_tail")).where(F.length("_plain") >= tail)
+    pieces = tails.union(b.select(title_key, "_k", F.lit(False))).distinct()
+    held = _meetings(a, pieces, key).join(a, key).where(F.contains("_text", F.col("_plain")))
+    share = F.length("_plain") / F.length("_text")
+    held = held.select(key, title_key, F.when(F.col("_tail"), share * 0.8).alias("_a"), F.when(~F.col("_tail"), share).alias("_b"))
+    held = held.groupBy(key, title_key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    score = F.when(F.col("_a") >= least, F.col("_a")).when(F.col("_b") >= least, F.col("_b"))
+    tier = F.when(F.col("_a") >= least, "tail").otherwise("kernel")
+    held = held.select(key, title_key, score.alias("score"), tier.alias("tier"), F.lit(0).alias("_p")).where("score is not null")
+
+    weights = idf(every, title_key, F.col("_tb"))
     rank = Window.partitionBy(title_key).orderBy(F.desc("idf"), "token")
     rare = b.select(title_key, F.explode("_tb").alias("token")).join(weights, "token").withColumn("_r", F.row_number().over(rank))
-    rare = rare.where("_r = 1").select(title_key, F.col("token").alias("_rare"), F.col("idf").alias("_idf"))
-    a = texts.select(key, fold(text).alias("_t")).withColumn("_ta", distinct_words("_t", token))
-    meet = a.select(key, F.explode("_ta").alias("_rare")).join(rare, "_rare")
-    rows = meet.join(a, key).join(b, title_key)
-    half = F.substring("_k", (F.floor(F.length("_k") / 2) + 1).cast("int"), F.length("_k"))
-    share = lambda part, times: F.when(F.contains("_t", part), F.length(part) / F.length("_t") * times).otherwise(0.0)
-    tail_score = F.when(F.length(F.trim(half)) >= tail, share(F.trim(half), 0.8)).otherwise(0.0)
+    rare = rare.where((F.col("_r") == 1) & (F.col("idf") >= rarest)).select(title_key, F.col("token").alias("_rare"))
+    words = a.select(key, distinct_words("_text", token).alias("_ta"))
+    meet = words.select(key, F.explode("_ta").alias("_rare")).join(rare, "_rare")
     shared = F.size(F.array_intersect("_ta", "_tb"))
-    tokens = F.when((shared >= overlap) & (F.col("_idf") >= rarest) & (shared / F.size("_tb") >= ratio), shared / F.size("_tb") * 0.5)
-    whole = share(F.col("_k"), 1.0)
-    score = F.when(tail_score >= least, tail_score).when(whole >= least, whole).otherwise(tokens)
-    tier = F.when(tail_score >= least, "tail").when(whole >= least, "kernel").otherwise("tokens")
-    return rows.select(key, title_key, score.alias("score"), tier.alias("tier")).where("score is not null")
+    rows = meet.join(words, key).join(b, title_key).where((shared >= overlap) & (shared / F.size("_tb") >= ratio))
+    rows = rows.select(key, title_key, (shared / F.size("_tb") * 0.5).alias("score"), F.lit("tokens").alias("tier"), F.lit(1).alias("_p"))
+    first = F.min_by(F.struct("score", "tier"), "_p").alias("_m")
+    return held.union(rows).groupBy(key, title_key).agg(first).select(key, title_key, "_m.score", "_m.tier")
 
 
 def resolved_people(mentions: DataFrame, members: DataFrame, mention: str, spoken: str, member: str, name: str, least: int = 2) -> DataFrame:

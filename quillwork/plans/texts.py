@@ -276,7 +276,7 @@ def substring_containment(spark, sf):
 @query("T6")
 def tiered_title_match(spark, sf):
     titles = table(spark, sf, "benchmark").select("item_id", F.split("text", r"[.,]")[0].alias("title"))
-    rows = M.tiered_titles(table(spark, sf, "documents"), titles, "doc_id", "text", "item_id", "title", ["the", "that"])
+    rows = M.tiered_titles(table(spark, sf, "documents"), titles, "doc_id", "text", "item_id", "title", ["the", "that"], ["of the", "to the", "of", "to", "and", "is"])
     return rows.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "tier", F.round("score", 4).alias("score")), F.struct("score", -F.col("doc_id"))).alias("m")).select("item_id", "m.*")
 
 

@@ -1,5 +1,6 @@
 """Operators on small rows with every edge: nulls, ties, empty tables, repeated rows."""
 
+import math
 import uuid
 
 import pytest
@@ -75,6 +76,44 @@ def test_overlap_and_containment(spark):
     assert rows(matching.contained_names(texts, names, "k", "t", "n")) == [(1, "gora of trade uni"), (2, "x")]
 
 
+def brute_titles(said, names, bridges):
+    """The tiers of T6 of plain lower-case texts, every text against every title."""
+    long = lambda t: {w for w in t.split() if len(w) >= 7}
+    idf = {t: math.log((len(names) + 1) / (sum(t in long(k) for _, k in names) + 1)) + 1 for _, k in names for t in long(k)}
+    out = []
+    for i, text_ in said:
+        for j, k in names:
+            parts = [k[k.rfind(f" {x} ") + 1 :] for x in bridges if f" {x} " in k]
+            tail = max((len(p) for p in parts if len(p) >= 18 and p in text_), default=0) / max(len(text_), 1) * 0.8
+            whole = (k in text_) * len(k) / max(len(text_), 1)
+            tokens, both = long(k), long(k) & long(text_)
+            rare = min(tokens, key=lambda t: (-idf[t], t), default=None)
+            if len(k) < 8:
+                continue
+            if tail >= 0.04:
+                out.append((i, j, round(tail, 6), "tail"))
+            elif whole >= 0.04:
+                out.append((i, j, round(whole, 6), "kernel"))
+            elif rare in both and idf[rare] >= 3 and len(both) >= 2 and len(both) / len(tokens) >= 0.3:
+                out.append((i, j, round(len(both) / len(tokens) * 0.5, 6), "tokens"))
+    return sorted(out)
+
+
+def test_titles_meet_texts_in_every_tier(spark):
+    names = [(1, "extraordinary reform of the law on lakes and rivers"), (2, "water law"), (3, "transparency of the budget"), (4, "tiny"), (5, "clean air now"), (6, "ab cd ef")]
+    names += [(10 + i, f"common{i % 3} subject number{i} clauses") for i in range(30)]
+    said = [(1, "on the of the law on lakes and rivers today"), (2, "a saltwater lawsuit"), (3, "nontransparency of the budgets"), (4, "tiny"), (5, "an unclean air nowhere"), (6, "xab cd efx")]
+    said += [(7, "number12 " + "filler word " * 90 + "clauses"), (8, ""), (9, "x " * 600 + "of the law on lakes and rivers"), (10, "extraordinary and nothing")]
+    bridges = ["of the", "of", "on"]
+    expected = brute_titles(said, names, bridges)
+    assert {t for *_, t in expected} == {"tail", "kernel", "tokens"} and {(1, 1), (2, 2), (3, 3), (5, 5), (6, 6)} <= {x[:2] for x in expected}
+    texts = spark.createDataFrame([*said, (11, None)], "i int, x string")
+    titles = spark.createDataFrame([*names, (99, None)], "j int, t string")
+    found = matching.tiered_titles(texts, titles, "i", "x", "j", "t", ["proyecto"], bridges)
+    assert rows(found.select("i", "j", F.round("score", 6), "tier")) == expected
+    assert matching.tiered_titles(texts.limit(0), titles, "i", "x", "j", "t", ["proyecto"], bridges).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91)], "a long, b long")
     found = dict(retrieval.components(edges).collect())
