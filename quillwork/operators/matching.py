@@ -230,9 +230,28 @@ def fuzzy_people(
 
 
 def mentions_outside_lists(text: Column, pattern: str, listing: str, margin: int = 150, least: int = 3) -> Column:
-    """Texts of the matches about which fewer than `least` listing words stand within `margin` characters."""
-    around = F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{margin}}}(?:{pattern}).{{0,{margin}}}"), F.lit(0))
-    return F.filter(around, lambda s: F.size(F.regexp_extract_all(s, F.lit(listing), F.lit(0))) < least)
+    """The matches, each with `margin` characters on either side, where fewer than `least` listing words stand.
+
+    Every match is judged by its own surroundings, which may overlap those of others; a listing word begins and ends in
+    them.
+    """
+    found = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
+    between = F.split(text, pattern, -1)
+    # one character more in front, so that a word cut by the margin does not seem to begin there
+    parts = F.struct(F.concat(F.lit("\n"), text).alias("t"), F.transform(found, F.length).alias("ml"), F.transform(between, F.length).alias("bl"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def around(p: Column) -> Column:
+        def cut(n: Column, i: Column) -> Column:
+            start = total(F.slice(p["bl"], 1, i + 1)) + total(F.slice(p["ml"], 1, i))
+            first = F.greatest(start - margin, F.lit(0))
+            return F.substring(p["t"], first + 1, start + n + margin - first + 1)
+
+        return F.transform(p["ml"], cut)
+
+    windows = F.flatten(F.transform(F.array(parts), around))
+    kept = F.filter(windows, lambda s: F.size(F.regexp_extract_all(s, F.lit(f"(?!\\A)(?:{listing})"), F.lit(0))) < least)
+    return F.transform(kept, lambda s: F.substring(s, F.lit(2), F.length(s)))
 
 
 def key_terms(c: Column | str, most: int = 5) -> Column:
