@@ -250,3 +250,8 @@ def natural_sort_of_names(spark, sf):
     rows = table(spark, sf, "customer").where("c_custkey < 200")
     return rows.orderBy(natural_key("c_name").asc_nulls_last()).select("c_custkey")
 
+
+@query("Y4", "SELECT c_custkey FROM customer")
+def natural_sort_of_all_names(spark, sf):
+    return table(spark, sf, "customer").orderBy(natural_key("c_name").asc_nulls_last()).select("c_custkey")
+

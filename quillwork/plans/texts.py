@@ -103,6 +103,13 @@ def ref_extract_dedupe(spark, sf):
     return rows.select("event_id", F.array_join(F.transform(X.references(said), lambda n: n.cast("string")), ",").alias("refs"))
 
 
+@query("F15", """SELECT event_id, coalesce(array_to_string(list_filter(CASE WHEN user_id = event_id + 1000 THEN [user_id] ELSE [user_id, event_id + 1000] END, lambda n: n BETWEEN 1 AND 30000), ','), '') AS refs FROM events""")
+def ref_extract_of_all_events(spark, sf):
+    u, e = F.col("user_id").cast("string"), (F.col("event_id") + 1000).cast("string")
+    said = F.concat(F.lit("see 00"), u, F.lit("/2021-CR and "), e, F.lit("/2022, again 0"), u, F.lit("/2021 but not 99999999/2020"))
+    return table(spark, sf, "events").select("event_id", F.array_join(F.transform(X.references(said), lambda n: n.cast("string")), ",").alias("refs"))
+
+
 @query("F16 F18 F19 F28", """SELECT p_partkey, '000' || p_partkey || ' x' || CASE WHEN p_partkey > 0 THEN ' ' || p_partkey ELSE '' END AS searchable, CASE p_brand WHEN 'Brand#1' THEN 'Brand one' ELSE p_brand END AS fixed,
     substr(sha1(p_name), 1, 16) AS content_id FROM part""")
 def key_functions(spark, sf):
@@ -357,7 +364,7 @@ def caption_events(spark, sf):
 
 @query("S13 S14 N21 N22")
 def positioned_words(spark, sf):
-    words = table(spark, sf, "lineitem").where("l_orderkey < 300").select(
+    words = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 40.0).alias("x"), (F.round(F.col("l_quantity") / 10) * 12.0).alias("y"), F.col("l_returnflag").alias("text")
     )
     lines = P.table_lines(words, "page").select("page", "line", F.size("words").alias("n"), F.array_join("words.text", " ").alias("line_text"))

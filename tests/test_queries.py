@@ -1,7 +1,10 @@
 """Every registered query runs, and equals its SQL where it has one."""
 
+import uuid
+
 import pytest
 
+from quillwork.operators.retrieval import shared_folder
 from quillwork.plans import REGISTRY
 
 from .compare import connection, difference
@@ -23,3 +26,22 @@ def test_runs(spark, sf, name):
     df = REGISTRY[name].run(spark, sf)
     assert len(df.columns) == len(set(df.columns))
     assert df.count() >= 0
+
+
+def ran(spark, name, table, data, schema):
+    """The rows of a query over one small table."""
+    folder = f"{shared_folder(spark)}/small-{uuid.uuid4().hex}"
+    spark.createDataFrame(data, schema).write.parquet(f"{folder}/{table}.parquet")
+    return sorted(tuple(r) for r in REGISTRY[name].run(spark, folder).collect())
+
+
+def test_queries_read_all_rows(spark):
+    lines = [(k, 1, 10.0, "A") for k in (1, 299, 300, 70000)]
+    found = ran(spark, "positioned_words", "lineitem", lines, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string")
+    assert [r[0] for r in found] == [1, 299, 300, 70000]
+    events = [(1, 7), (2, 0), (6, 1006), (29000, 5), (29001, 5), (40000, 0)]
+    found = ran(spark, "ref_extract_of_all_events", "events", events, "event_id long, user_id long")
+    assert found == [(1, "7,1001"), (2, "1002"), (6, "1006"), (29000, "5,30000"), (29001, "5"), (40000, "")]
+    names = [(k, f"Customer {k}") for k in (1000, 2, 10, 199, 200)]
+    found = ran(spark, "natural_sort_of_all_names", "customer", names, "c_custkey long, c_name string")
+    assert [k for (k,) in found] == [2, 10, 199, 200, 1000]
