@@ -54,7 +54,7 @@ def fire_once_per_version(spark, sf):
 
 @query("X5")
 def near_duplicate_window(spark, sf):
-    rows = table(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") * 60.0).alias("t"), F.substring("text", 1, 400).alias("text"))
+    rows = table(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") * 60.0).alias("t"), "text")
     out = folds.folded(rows, ["source"], ["t", "doc_id"], folds.unlike_recent("t", "text", 6 * 3600, 0.5, ["doc_id"]), "t double, doc_id long")
     return out.groupBy("source").agg(F.count("*").alias("n"))
 

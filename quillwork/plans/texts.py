@@ -39,8 +39,7 @@ def html_to_text(spark, sf):
 @query("F4")
 def mojibake_repair(spark, sf):
     broken = F.udf(lambda s: None if s is None else s.encode().decode("cp1252", "ignore"), "string")
-    head = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("head"))
-    return head.select("doc_id", (X.repair_encoding(broken("head")) == F.col("head")).alias("restored"))
+    return table(spark, sf, "documents").select("doc_id", (X.repair_encoding(broken("text")) == F.col("text")).alias("restored"))
 
 
 @query("F5 F6 F7 F8", """WITH t AS (SELECT p_partkey, '1) THE ' || upper(p_name) || ' ' || p_type || ' (12) - Shop' AS title FROM part)
@@ -247,7 +246,7 @@ def bill_in_news_by_number(spark, sf):
 
 @query("T18")
 def keyword_queries(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(M.key_terms(F.substring("text", 1, 200)), " ").alias("terms"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(M.key_terms("text"), " ").alias("terms"))
 
 
 @query("T19", """SELECT doc_id, CASE WHEN a >= 5 AND a > 3 * b THEN 'upper' WHEN b >= 5 AND b > 3 * a THEN 'lower' END AS chamber FROM (SELECT doc_id, len(regexp_extract_all(text, '\\sthe\\s')) AS a, len(regexp_extract_all(text, '\\sde\\s')) AS b FROM documents)""")
@@ -432,7 +431,7 @@ def fixed_width_report(spark, sf):
 
 @query("K6")
 def packed_messages(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "role", F.substring("text", 1, 400).alias("text"), "turn")
+    rows = table(spark, sf, "conversations").select("conv_id", "role", "text", "turn")
     out = publish.packed_messages(rows, "conv_id", "role", "text", ["role", "turn"], 1000)
     return out.select("conv_id", "part", "parts", F.length("message").alias("n"))
 

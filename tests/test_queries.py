@@ -45,3 +45,13 @@ def test_queries_read_all_rows(spark):
     names = [(k, f"Customer {k}") for k in (1000, 2, 10, 199, 200)]
     found = ran(spark, "natural_sort_of_all_names", "customer", names, "c_custkey long, c_name string")
     assert [k for (k,) in found] == [2, 10, 199, 200, 1000]
+
+
+def test_queries_read_whole_texts(spark):
+    docs = "doc_id long, source string, text string"
+    ends = [" ".join(f"{c}{i}x" for i in range(150)) for c in "uv"]
+    assert ran(spark, "near_duplicate_window", "documents", [(i, "s", "same " * 100 + e) for i, e in enumerate(ends)], docs) == [("s", 2)]
+    assert ran(spark, "keyword_queries", "documents", [(1, "s", "a " * 150 + "Parliament")], docs) == [(1, "Parliament")]
+    assert ran(spark, "mojibake_repair", "documents", [(1, "s", "x" * 100 + "Á")], docs) == [(1, False)]
+    found = ran(spark, "packed_messages", "conversations", [(1, "user", "y" * 1500, 0)], "conv_id long, role string, text string, turn long")
+    assert found == [(1, 1, 1, 1505)]
