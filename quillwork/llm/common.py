@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 #: Bytes of one Arrow batch sent to Python: bounds a worker's memory whatever the length of texts.
 BATCH_BYTES = "8m"
 BATCH_ROWS = "2000"
+#: Rows of one batch of Spark's Parquet reader: texts are long, and its buffers hold a batch of them.
+READER_ROWS = "1024"
 
 #: A-Z become a-z, digits, a-z and all bytes from 0x80 stay, every other byte becomes a space.
 FOLD = bytes(
@@ -26,11 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches bounded in bytes as well as rows."""
+    """mapInArrow with batches bounded in bytes as well as rows; a worker gives its free memory back after each task."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(fn, schema)
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: its memory stays with the worker
+        pass
 
 
 def texts(column: pa.Array) -> list[bytes | None]:
@@ -41,29 +61,50 @@ def texts(column: pa.Array) -> list[bytes | None]:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the whole cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that the whole cluster shares: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only a session within one process, as in tests, may do without: it gets a folder of its own.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-            found = spark.sparkContext.getCheckpointDir()
-        root = found
-    return f"{root.rstrip('/')}/quillwork/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillwork-"))
+        root = context.getCheckpointDir()
+    return f"{root.rstrip('/')}/quillwork/{context.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Removes this application's written tables, when no result that reads them is needed any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, scratch(spark, "x").rpartition("/")[0])
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows, written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more.
+
+    Spark's cleaner removes the shuffle files of finished jobs when the driver collects its garbage, which is asked for
+    here: else they stay on the executors' disks until the application ends.
+    """
+    for each in tables:
+        _delete(each.sparkSession, each.scratch_path)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def held_out(doc_id) -> F.Column:
