@@ -1,7 +1,9 @@
 """The corpus operators against brute force, on rows that hold every edge case."""
 
 import hashlib
+import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,7 +56,7 @@ def collected(df, *columns):
 
 
 def test_substrings(spark, docs, rows, none):
-    for window, gram in ((35, 8), (5, 2), (2, 1), (1, 1)):
+    for window, gram, bits in ((35, 8, 64), (5, 2, 64), (5, 2, 6), (2, 1, 3), (2, 1, 64), (1, 1, 64)):  # few bits: pieces with unlike words share a name
         counts = Counter(tuple(w[i : i + window]) for r in rows for w in [words(r[1])] for i in range(len(w) - window + 1))
         expected = []
         for r in rows:
@@ -65,7 +67,7 @@ def test_substrings(spark, docs, rows, none):
                     keep[i : i + window] = [False] * window
             left = [x for x, k in zip(w, keep, strict=True) if k]
             expected.append((r[0], len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
-        got = collected(substrings.dedup(docs, window=window, gram=gram), "doc_id", "n_words", "n_removed", "kept_sha256")
+        got = collected(substrings.dedup(docs, window=window, gram=gram, bits=bits), "doc_id", "n_words", "n_removed", "kept_sha256")
         assert got == sorted(expected, key=repr)
     assert substrings.dedup(none).count() == 0
 
@@ -125,16 +127,60 @@ def test_jaccard_keeps_each_text_whatever_its_id(spark):
 def test_index_misses_no_similar_pair():
     rng = np.random.default_rng(0)
     for percent in (60, 80, 90, 95):
-        for _ in range(150):
-            n = int(rng.integers(1, 400))
+        for _ in range(400):
+            n = int(rng.integers(1, (20, 60, 400)[rng.integers(0, 3)]))
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             drop = int(rng.integers(0, max(1, len(a) * (100 - percent) // 100) + 1))
             more = rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) * (100 - percent) // 150))).astype(np.uint64)
             b = np.unique(np.r_[a[drop:], more])
-            if len(b) and jaccard.similar(a, b, percent) and not np.array_equal(a, b):
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
                 assert np.intersect1d(jaccard.entries(a, percent), jaccard.entries(b, percent)).size
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_no_index_entry_is_shared_by_unlike_sets(percent):
+    """Short sets too are never indexed by empty contents; some need their one-deletion neighbourhoods."""
+    rng, seen, near = np.random.default_rng(1), Counter(), 0
+    for _ in range(20_000):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(4, 45))).astype(np.uint64))
+        own = jaccard.entries(a, percent)
+        seen.update(set(own.tolist()))
+        plain = sum(jaccard.scheme(h, percent)[0] for low, h in jaccard.bands(100 * len(a) // percent + 1) if len(a) <= h and percent * low <= 100 * len(a))
+        near += len(own) > plain
+    assert max(seen.values()) == 1 and near > 0
+
+
+def test_sketches_reject_no_similar_pair(spark):
+    rng, rows = np.random.default_rng(7), []
+    for n in (5, 300, 900, 1100, 1900, 2100, 4100, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share, unlike in ((0.02, False), (0.11, False), (0.2, False), (1.0, True)):
+            b = np.unique(np.r_[a[int(n * share) :], rng.integers(0, 1 << 63, n if unlike else 0).astype(np.uint64)])
+            rows.append([len(a), *_marks(a), len(b), *_marks(b), 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))])
+    side = lambda s: f"{s}n long, " + ", ".join(f"{s}{k} long" for k in jaccard._SKETCH) + f", {s}wide array<bigint>"
+    pairs = spark.createDataFrame(rows, f"{side('a_')}, {side('b_')}, alike boolean")
+    found = pairs.select("alike", jaccard._possible("a_", "b_", 80).alias("possible")).collect()
+    assert all(r.possible or not r.alike for r in found) and not any(r.possible for r in found[3::4])
+
+
+def _marks(elements):
+    plain, wide = jaccard.sketch(elements)
+    return [*plain.tolist(), None if wide is None else wide.tolist()]
+
+
+def test_similarity_compares_words():
+    rng = np.random.default_rng(4)
+    for size in (3, 40, 5000):  # with many words, codes of five are numbered anew on the way
+        for shingle, percent in ((3, 90), (5, 80), (1, 60)):
+            for n in (1, 2, 4, 30, 6000):
+                a = [f"w{k}" for k in rng.integers(0, size, n)]
+                b = [w if rng.random() > 0.03 else "x" for w in a][: max(1, n - n // 20)]
+                x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b) for k in [min(shingle, len(w))])
+                expected = 100 * len(x & y) >= percent * len(x | y)
+                assert jaccard.similar(" ".join(a).upper().encode(), " ".join(b).encode(), shingle, percent) == expected
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     found = dict(collected(jaccard.connected(links), "node", "label"))
@@ -190,13 +236,69 @@ def test_secrets(spark, docs, rows, none):
     assert not any("24be6443" in (r.t or "") or "AKIAABCDEF" in (r.t or "") for r in clean)
 
 
-def test_randomness_battery_separates(spark):
+ENCODED = {e: a for e, (_, a, _) in secrets.ENCODINGS.items()}
+
+
+def p_value(token, encoding):
+    """The combined p-value, computed apart from the operator."""
+    alphabet, cut = secrets.ENCODINGS[encoding][1:]
+    s = token.rstrip("=").lower() if encoding == "hex" else token.rstrip("=")
+    n, k, x = len(s), len(alphabet), np.array([alphabet.index(c) for c in s], float)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum(c * c for c in Counter(s).values()) * k / n - n
+    free, scale = (k - 1) * n / (n - 1), (n - 1) / n
+    d = 2 / 9 / free
+    p1 = tail(((max(chi, 0) / scale / free) ** (1 / 3) - 1 + d) / math.sqrt(d))
+    side = x >= cut
+    h = side.sum()
+    mean = 2 * h * (n - h) / n
+    var = mean * (mean * n - n) / (n * (n - 1)) if 0 < h < n else 0
+    runs = 1 + (side[1:] != side[:-1]).sum()
+    p2 = min(1, 2 * tail(max(abs(runs - mean - 1) - 0.5, 0) / math.sqrt(var))) if var > 0 else 0
+    y = x - x.mean()
+    r = (y * np.roll(y, -1)).sum() / (y * y).sum() if (y * y).sum() > 0 else 1
+    p3 = 2 * tail(abs((r + 1 / (n - 1)) * (n - 1) * math.sqrt(n - 2) / n))
+    v = -sum(math.log(max(p, 1e-300)) for p in (p1, p2, p3))
+    return min(1, math.exp(-v) * (1 + v + v * v / 2))
+
+
+def test_randomness_battery(spark):
+    rng, rows = np.random.default_rng(5), []
+    for encoding, alphabet in ENCODED.items():
+        for n in (20, 24, 33, 64, 256, 1024, 4000, 10_000):
+            rows += [(encoding, n, "".join(rng.choice(list(alphabet), n))) for _ in range(40)]
+    natural = ["internationalization", "counterrevolutionaries", "Donaudampfschifffahrtsgesellschaft", "state-of-the-art-solutions-for-all", "a" * 30, "-" * 25, "abcdefghijklmnopqrstuvwxyz", "the/quick/brown/fox/jumps/over", "00000000000000000001", "honorificabilitudinitatibus", "Arbeitsunfähigkeitsbescheinigung"[6:].replace("ä", "a") * 2]
+    found = spark.createDataFrame([*rows, *(("", 0, t) for t in natural)], "e string, n int, s string").select("e", "n", "s", secrets._tested(F.col("s")).alias("t")).collect()
+    kept = defaultdict(list)
+    for r in found:
+        if r.e and r.t.e != r.e:  # a random token may happen to fit a smaller alphabet
+            continue
+        assert abs(r.t.p - p_value(r.s, r.t.e)) < 1e-5, (r.s[:60], r.t)
+        kept[r.e, r.n].append(r.t.p >= secrets.LEAST_P)
+    assert all(np.mean(v) >= 0.9 for k, v in kept.items() if k[0]) and len(kept) >= 8 * len(ENCODED)
+    assert sum(kept["", 0]) <= 2
+
+
+def test_randomness_battery_controls_false_discoveries(spark):
     rng = np.random.default_rng(5)
-    random = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(200)]
-    natural = ["the" + "ab" * 12 + str(i % 10) + "the" * 4 for i in range(200)]
+    random = ["".join(rng.choice(list(a), 40)) for a in (ENCODED["hex"], ENCODED["alnum"], ENCODED["base64"], ENCODED["lower"]) for _ in range(100)]
+    natural = ["the" + "ab" * 12 + str(i % 10) + "the" * 4 for i in range(200)] + ["of-the-people-by-the-people-for-" + str(i % 7) for i in range(200)]
     rows = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(random + natural)], "doc_id long, text string")
     found = {r.doc_id: any(s.kind == 3 for s in r.spans) for r in secrets.scan(rows).collect()}
-    assert np.mean([found[i] for i in range(200)]) > 0.9 and np.mean([found[i] for i in range(200, 400)]) < 0.1
+    assert np.mean([found[i] for i in range(400)]) > 0.9 and np.mean([found[i] for i in range(400, 800)]) < 0.1
+
+
+def test_secrets_in_long_texts(spark):
+    rng = np.random.default_rng(6)
+    token = "".join(rng.choice(list(ENCODED["base64"]), 300_000))
+    many = "é token=abcdefgh1 " * 50_000
+    rows = spark.createDataFrame([(1, f"😀 {token}== ."), (2, many)], "doc_id long, text string").repartition(2)
+    began = time.time()
+    found = secrets.scan(rows).select("doc_id", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
+    assert time.time() - began < 60
+    found = {r.doc_id: r for r in found}
+    assert [(s.start, s.kind, s.end) for s in found[1].spans] == [(2, 3, 300_004)] and found[1].clean == "😀 [SECRET] ."
+    assert len(found[2].spans) == 50_000 and found[2].clean == "é [SECRET] " * 50_000
 
 
 def brute_base(text):
