@@ -1,18 +1,23 @@
 """Secret scans by a randomness test battery (operator 3), in DataFrame functions alone.
 
 Three fixed patterns (assignments, access keys, long hexadecimal runs) give base spans.  The battery adds spans: every
-run of at least 20 token characters that mixes letters and digits is tested for randomness over the alphabet of its
-inferred encoding: a chi-squared test of uniformity, a runs test about the alphabet's middle and a test of serial
-correlation.  Fisher's method combines the three into one p-value under "drawn at random".
+run of at least 20 token characters is tested for randomness over the alphabet of its inferred encoding: a chi-squared
+test of uniformity, a runs test about a cut of the alphabet and a test of serial correlation.  Fisher's method combines
+the three into one p-value under "drawn at random".  A base64 token uses the standard or the URL-safe alphabet; one that
+mixes both has no encoding and is no candidate.  Padding belongs to a token's span but is not tested.  Alphabets of
+letters alone begin with the vowels and are cut after them, for words alternate vowels and consonants.
 
 False discoveries are controlled by encoding and length band.  Random tokens have uniform p-values, so those above one
 half tell how many there are; a threshold is the least at which the tokens kept beyond that number are at most `FDR` of
-all kept.  Only counts by encoding, band and bin of p leave the rows: at most 4 x 6 x 50 of them, whatever the corpus.
+all kept.  Only counts by encoding, band and bin of p leave the rows: at most 8 x 6 x 50 of them, whatever the corpus.
+
+All steps are linear in a text's length, up to a logarithm of the number of matches or characters.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,19 +29,50 @@ ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # equals "AKIA[A-Z0-9]+, then 16 characters or more": a run that is too short holds no other
 HEX = r"[0-9a-f]{32,}"
 _ANY = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{32}"
-_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "base32": "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "+/-0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
+_TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+_VOWELS, _CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_ALNUM = "0123456789" + _LETTERS.upper() + _LETTERS
+#: Encoding: its pattern, its alphabet, and the cut of the runs test.  The first pattern that fits is inferred.
+ENCODINGS = {
+    "digits": ("^[0-9]+$", "0123456789", 5),
+    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 8),
+    "lower": ("^[a-z]+$", _VOWELS + _CONSONANTS, 6),
+    "upper": ("^[A-Z]+$", (_VOWELS + _CONSONANTS).upper(), 6),
+    "base32": ("^[A-Z2-7]+$", "234567" + _LETTERS.upper(), 16),
+    "letters": ("^[A-Za-z]+$", _VOWELS + _VOWELS.upper() + _CONSONANTS + _CONSONANTS.upper(), 12),
+    "alnum": ("^[A-Za-z0-9]+$", _ALNUM, 31),
+    "base64": ("^[A-Za-z0-9+/]+$", _ALNUM + "+/", 32),
+    "base64url": ("^[A-Za-z0-9_-]+$", _ALNUM + "-_", 32),
 }
 BANDS = (28, 36, 48, 72, 128)
 BINS, FDR, LEAST_P = 50, 0.1, 0.005
+#: Steps of a scan and how their reach grows: 8**9 matches or spans a text, more than a string can hold.
+_STEPS, _REACH = 9, 8
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scan(values: Column, join: Callable[..., Column]) -> Column:
+    """The array of all prefixes joined, by steps of growing reach; steps beyond the array's size are skipped.
 
+    `join` takes columns, of which some are null beyond the array's start.
+    """
+
+    def step(reach: int) -> Callable[[Column], Column]:
+        joined = lambda x: F.transform(x, lambda v, i: join(v, *(F.get(x, i - k * reach) for k in range(1, _REACH))))
+        return lambda x: F.when(F.size(x) > reach, joined(x)).otherwise(x)
+
+    for k in range(_STEPS):
+        values = _let(values, step(_REACH**k))
+    return values
 
-def _total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
+
+def _sum(*values: Column) -> Column:
+    return sum((F.coalesce(v, F.lit(0)) for v in values[1:]), values[0])
 
 
 def _placed(text: Column, pattern: str, extra: int | None = None) -> Column:
@@ -46,18 +82,17 @@ def _placed(text: Column, pattern: str, extra: int | None = None) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(extra)) if extra is not None else found
-    between = F.split(text, pattern, -1)
-    parts = F.struct(found.alias("m"), groups.alias("g"), F.transform(found, F.length).alias("ml"), F.transform(between, F.length).alias("bl"))
+    before = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
 
     def place(p: Column) -> Column:
-        return F.transform(
-            p["m"],
-            lambda s, i: F.struct(
-                (_total(F.slice(p["bl"], 1, i + 1)) + _total(F.slice(p["ml"], 1, i))).alias("start"), s.alias("s"), p["g"][i].alias("g")
-            ),
+        # the gap before each match and the match: their running sum is where it ends
+        steps = F.transform(p["m"], lambda s, i: F.get(p["b"], i) + F.length(s))
+        return _let(
+            _scan(steps, _sum),
+            lambda ends: F.transform(p["m"], lambda s, i: F.struct((F.get(ends, i) - F.length(s)).alias("start"), s.alias("s"), F.get(p["g"], i).alias("g"))),
         )
 
-    return F.flatten(F.transform(F.array(parts), place))
+    return _let(F.struct(found.alias("m"), groups.alias("g"), before.alias("b")), place)
 
 
 def _spans(kind: int, placed: Column) -> Column:
@@ -76,71 +111,87 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
+def _by_encoding(values: dict) -> Column:
+    return F.create_map(*[F.lit(v) for kv in values.items() for v in kv])
+
+
 def _encoding(s: Column) -> Column:
-    return (
-        F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(s.rlike("^[A-Z2-7]+$"), "base32")
-        .when(s.rlike("^[A-Za-z0-9]+$"), "alnum")
-        .otherwise("base64")
-    )
+    out = F.lit(None).cast("string")
+    for name, (pattern, _, _) in reversed(ENCODINGS.items()):
+        out = F.when(s.rlike(pattern), name).otherwise(out)
+    return out
 
 
 def _tested(token: Column) -> Column:
-    """struct<e, b, p>: encoding, length band and combined p-value of a token."""
+    """struct<e, b, p>: encoding, length band and combined p-value of a token; nulls if it has no encoding."""
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    alphabets = _by_encoding({e: a for e, (_, a, _) in ENCODINGS.items()})
+    cuts = _by_encoding({e: float(c) for e, (_, _, c) in ENCODINGS.items()})
+
+    def first(s: Column) -> Column:
+        e = _encoding(s)
+        return F.struct(F.when(e == "hex", F.lower(s)).otherwise(s).alias("s"), e.alias("e"))
 
     def stats(c: Column) -> Column:
-        alphabet, n, size = c["a"], c["n"], c["k"]
-        x = F.transform(F.split(c["s"], ""), lambda ch: (F.instr(alphabet, ch) - 1).cast("double"))
-        squares = F.aggregate(F.split(c["s"], ""), F.lit(0.0), lambda a, ch: a + n - F.length(F.replace(c["s"], ch, F.lit(""))))
-        return F.struct(c["s"].alias("s"), c["e"].alias("e"), n.alias("n"), size.alias("k"), x.alias("x"), squares.alias("sq"))
+        letters = F.split(c["s"], "")
+        start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sq"))
+
+        def step(a: Column, ch: Column) -> Column:  # a symbol's k-th standing adds 2k - 1 to the sum of squared counts
+            run = F.when(a["last"] == ch, a["run"] + 1).otherwise(F.lit(1.0))
+            return F.struct(ch.alias("last"), run.alias("run"), (a["sq"] + 2 * run - 1).alias("sq"))
+
+        squares = F.aggregate(F.array_sort(letters), start, step, lambda a: a["sq"])
+        return _let(
+            alphabets[c["e"]],
+            lambda a: F.struct(
+                c["e"].alias("e"), F.length(c["s"]).cast("double").alias("n"), F.length(a).cast("double").alias("k"), cuts[c["e"]].alias("cut"),
+                squares.alias("sq"), F.transform(letters, lambda ch: (F.instr(a, ch) - 1).cast("double")).alias("x"),
+            ),
+        )
 
     def sums(c: Column) -> Column:
-        x, n = c["x"], c["n"]
-        add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-        rest = F.slice(x, 2, F.size(x))
-        high = add(F.transform(x, lambda v: (v >= c["k"] / 2).cast("double")))
-        turns = F.zip_with(F.slice(x, 1, F.size(x) - 1), rest, lambda u, v: ((u >= c["k"] / 2) != (v >= c["k"] / 2)).cast("double"))
+        x, cut = c["x"], c["cut"]
+        rest = F.slice(x, F.lit(2), F.size(x))
+        high = add(F.transform(x, lambda v: (v >= cut).cast("double")))
+        turns = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), rest, lambda u, v: ((u >= cut) != (v >= cut)).cast("double"))
         lag = add(F.zip_with(x, F.concat(rest, F.slice(x, 1, 1)), lambda u, v: u * v))
         return F.struct(
-            c["e"].alias("e"), n.alias("n"), c["k"].alias("k"), c["sq"].alias("sq"), high.alias("h"), (add(turns) + 1).alias("r"), lag.alias("l"),
+            c["e"].alias("e"), c["n"].alias("n"), c["k"].alias("k"), c["sq"].alias("sq"), high.alias("h"), (add(turns) + 1).alias("r"), lag.alias("l"),
             add(x).alias("s1"), add(F.transform(x, lambda v: v * v)).alias("s2"),
         )
 
     def combine(c: Column) -> Column:
         n, k, h = c["n"], c["k"], c["h"]
-        chi = k / n * c["sq"] - n
-        p1 = _tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
+        # the statistic has mean k - 1 and variance 2(k - 1)(n - 1)/n: a gamma distribution of these moments, by its cube root
+        scale = (n - 1) / n
+        free = (k - 1) / scale
+        chi = (k / n * c["sq"] - n) / scale
+        spread = 2 / (9 * free)
+        p1 = _tail((F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
         both = 2 * h * (n - h)
         spread = F.sqrt(both * (both - n) / (n * n * (n - 1)))
-        p2 = F.when(spread > 0, 2 * _tail(F.abs((c["r"] - both / n - 1) / spread))).otherwise(0.0)
+        p2 = F.when(spread > 0, F.least(F.lit(1.0), 2 * _tail(F.greatest(F.abs(c["r"] - both / n - 1) - 0.5, F.lit(0.0)) / spread))).otherwise(0.0)
         base = n * c["s2"] - c["s1"] * c["s1"]
         r = F.when(base > 0, (n * c["l"] - c["s1"] * c["s1"]) / base).otherwise(1.0)
         p3 = 2 * _tail(F.abs((r + 1 / (n - 1)) * (n - 1) * F.sqrt(n - 2) / n))
-        y = -(F.log(F.greatest(p1, F.lit(1e-300))) + F.log(F.greatest(p2, F.lit(1e-300))) + F.log(F.greatest(p3, F.lit(1e-300))))
+        y = -sum((F.log(F.greatest(p, F.lit(1e-300))) for p in (p1, p2, p3)), F.lit(0.0))
         band = sum((n >= b).cast("int") for b in BANDS)
         return F.struct(c["e"].alias("e"), band.alias("b"), F.least(F.lit(1.0), F.exp(-y) * (1 + y + y * y / 2)).alias("p"))
 
-    def first(e: Column) -> Column:
-        letters = F.create_map(*[F.lit(v) for kv in ALPHABETS.items() for v in kv])
-        s = F.when(e == "hex", F.lower(token)).otherwise(token)
-        return F.struct(s.alias("s"), e.alias("e"), letters[e].alias("a"), F.length(token).cast("double").alias("n"), F.length(letters[e]).cast("double").alias("k"))
-
-    steps = F.transform(F.transform(F.transform(F.array(_encoding(token)), first), stats), sums)
-    return F.transform(steps, combine)[0]
+    return _let(_let(_let(_let(F.rtrim(token, F.lit("=")), first), stats), sums), combine)
 
 
 _CANDIDATES = "array<struct<start:long,s:string,t:struct<e:string,b:int,p:double>>>"
 
 
 def _candidates(text: Column) -> Column:
-    mixed = F.filter(_placed(text, _TOKEN), lambda x: x["s"].rlike("[0-9]") & x["s"].rlike("[A-Za-z]"))
-    tested = F.transform(mixed, lambda x: F.struct(x["start"].alias("start"), x["s"].alias("s"), _tested(x["s"]).alias("t")))
+    tested = F.transform(_placed(text, _TOKEN), lambda x: F.struct(x["start"].alias("start"), x["s"].alias("s"), _tested(x["s"]).alias("t")))
     return F.coalesce(F.when(text.rlike(_TOKEN), tested), F.array().cast(_CANDIDATES))
 
 
 def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[tuple[str, int], float]:
     """The least p-value kept, by encoding and length band, from counts over all documents."""
-    found = docs.select(F.explode_outer(_candidates(F.col(text_col))).alias("c")).where("c.t.p is not null").select("c.t.*")
+    found = docs.select(F.explode_outer(_candidates(F.col(text_col))).alias("c")).where("c.t.e is not null").select("c.t.*")
     bins = found.groupBy("e", "b", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).count().collect()
     counts: dict[tuple[str, int], list[int]] = {}
     for r in bins:
@@ -163,7 +214,7 @@ def scan(docs: DataFrame, text_col: str = "text", *, limits: dict[tuple[str, int
     text = F.col(text_col)
     assign = F.filter(_placed(text, ASSIGN, 2), lambda x: F.length(x["g"]) >= 8)
     base = F.concat(_spans(0, assign), _spans(1, _placed(text, ACCESS)), _spans(2, _placed(text, HEX)))
-    least = F.create_map(*[F.lit(v) for (e, b), p in sorted(limits.items()) for v in (f"{e}{b}", p)]) if limits else None
+    least = _by_encoding({f"{e}{b}": p for (e, b), p in sorted(limits.items())}) if limits else None
     more = F.array().cast(_SPANS)
     if least is not None:
         kept = F.filter(_candidates(text), lambda x: x["t"]["p"] >= F.coalesce(least[F.concat(x["t"]["e"], x["t"]["b"].cast("string"))], F.lit(1.0)))
@@ -179,19 +230,21 @@ def shown(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span's characters replaced by one mark; overlapping spans share it."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(F.concat(acc["out"], gap, F.lit(mark)).alias("out"), s["end"].alias("at"))
-        inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when((s["start"] >= acc["at"]) & ((s["start"] > 0) | (acc["out"] == "")), fresh).otherwise(inside)
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    """The text with every span's characters replaced by one mark; overlapping spans share it.  `spans` are sorted."""
+
+    def cut(p: Column) -> Column:
+        # in UTF-32 a piece is found by its place alone
+        piece = lambda a, b: F.decode(F.substring(p["u"], (4 * a + 1).cast("int"), (4 * (b - a)).cast("int")), "UTF-32")
+        reached = lambda i: F.when(i > 0, F.get(p["e"], i - 1)).otherwise(F.lit(0).cast("long"))
+        parts = F.transform(
+            p["s"], lambda s, i: F.when((i == 0) | (s["start"] >= reached(i)), F.concat(piece(reached(i), s["start"]), F.lit(mark))).otherwise("")
+        )
+        rest = piece(F.element_at(p["e"], -1), (F.length(p["u"]) / 4).cast("long"))
+        return F.concat(F.array_join(parts, ""), rest)
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    ends = _scan(F.transform(spans, lambda s: s["end"]), F.greatest)
+    clean = _let(F.struct(F.encode(text, "UTF-32").alias("u"), spans.alias("s"), ends.alias("e")), cut)
+    return F.when(F.size(spans) > 0, clean).otherwise(text)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
