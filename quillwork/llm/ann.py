@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by learned partitions (operator 7).
 
 The neighbour graph of a bounded sample is cut into balanced parts by recursive bisection, and a softmax classifier
-learns to tell a vector's part.  Every row is indexed under its most probable part; a query looks into its several most
-probable parts, and what it finds there is ranked by exact cosine.  The number of parts it looks into is the smallest
-that reaches `AIM` of the true neighbours of held-out sample rows.
-
-Parts are dealt to tasks in blocks of bounded size (a part of any size, however hot, becomes many blocks), queries too.
-A query that finds fewer than k rows in its parts is run again against all parts.
+learns to tell a vector's part.  The number of parts grows with the square root of the table: beyond `LEVEL` parts every
+part is cut again, by a graph and a classifier of its own, learned on the executors from a bounded sample of its rows.
+Every row is indexed under its most probable part; a query looks into its several most probable parts, and what it finds
+there is ranked by exact cosine.
+
+The number of parts it looks into is the smallest that reaches `AIM` of the true neighbours, among all rows, of `ASKED`
+rows that the fit has not seen; they are compared with the whole table in one pass.  Queries travel to the parts; a part
+is dealt to several tasks, and its rows or queries are repeated, only if it is larger than a block.  A query that finds
+fewer than k rows in its parts is run again against all parts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,18 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_append, table, written
+from .common import arrow_append, arrow_map, discard, table, written
 
-SAMPLE = 8_192
-ROWS_PER_PART = 1_500
-MOST_PARTS = 64
+#: Rows that one classifier learns from, and rows asked to choose the number of parts that a query looks into.
+SAMPLE, ASKED = 8_192, 256
+#: Parts of one level; two levels at most, which bounds the broadcast classifiers.
+LEVEL = 256
 AIM = 0.95
-BLOCK, QUERY_BLOCK = 16_384, 2_048
+BLOCK, QUERY_BLOCK = 65_536, 16_384
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that their largest component is between a half and one: no rounding, no overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one, safely for very large and very small components."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows scaled to length one."""
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -84,52 +94,73 @@ def balanced_parts(graph: np.ndarray, parts: int, seed: int = 0) -> np.ndarray:
     return part
 
 
-@dataclass
-class Router:
-    """Softmax classifier over parts, and how many parts a query looks into."""
-
-    weights: np.ndarray
-    bias: np.ndarray
-    probes: int = 1
-
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
-
-    def ranked(self, x: np.ndarray, most: int) -> np.ndarray:
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :most]
-
-
-def _classifier(x: np.ndarray, target: np.ndarray, steps: int = 250, rate: float = 0.1) -> Router:
-    w, b = np.zeros((x.shape[1], target.shape[1])), np.zeros(target.shape[1])
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, b)]
+def classifier(x: np.ndarray, target: np.ndarray, steps: int = 250, rate: float = 0.1) -> np.ndarray:
+    """Weights of a softmax classifier; the last row is the bias."""
+    w = np.zeros((x.shape[1] + 1, target.shape[1]))
+    x = np.c_[x, np.ones(len(x))]
+    mean, square = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = x @ w + b
+        z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        d = (p / p.sum(axis=1, keepdims=True) - target) / len(x)
-        for value, grad, m in ((w, x.T @ d, moments[0]), (b, d.sum(axis=0), moments[1])):
-            m[0] = 0.9 * m[0] + 0.1 * grad
-            m[1] = 0.999 * m[1] + 0.001 * grad * grad
-            value -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-9)
-    return Router(w, b)
-
-
-def fit(x: np.ndarray, parts: int, k: int = 5, seed: int = 0) -> Router:
-    """Learn from unit vectors; with too few rows for two parts there is one, and nothing is approximate."""
-    dims = x.shape[1]
-    if parts < 2 or len(x) < 8 * parts:
-        return Router(np.zeros((dims, 1)), np.zeros(1))
+        grad = x.T @ ((p / p.sum(axis=1, keepdims=True) - target) / len(x))
+        mean = 0.9 * mean + 0.1 * grad
+        square = 0.999 * square + 0.001 * grad * grad
+        w -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)
+    return w
+
+
+def fit(x: np.ndarray, parts: int, seed: int = 0) -> np.ndarray:
+    """Weights that tell the part of a unit vector, learned from the neighbour graph of x; fewer parts if x is too small."""
+    parts = min(parts, 1 << max(0, (len(x) // 8).bit_length() - 1))
+    if parts < 2:
+        return np.zeros((x.shape[1] + 1, 1))
     near = neighbours(x, np.arange(len(x)), min(10, len(x) - 1))
     part = balanced_parts(near, parts, seed)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), part[near.ravel()]), 0.5 / near.shape[1])
     target[np.arange(len(x)), part] += 0.5
-    router = _classifier(x, target)
-    asked = np.random.default_rng(seed).permutation(len(x))[:1000]
-    true, ranked, home = neighbours(x, asked, k), router.ranked(x[asked], parts), router.ranked(x, 1)[:, 0]
-    place = (ranked[:, None, :] == home[true][:, :, None]).argmax(axis=2)
-    recall = [(place < t).mean() for t in range(1, parts + 1)]
-    router.probes = next((t for t, r in enumerate(recall, 1) if r >= AIM), parts)
-    return router
+    return classifier(x, target)
+
+
+def _log_softmax(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    z = x @ w[:-1] + w[-1]
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+@dataclass
+class Router:
+    """Classifiers of one level or two.  Part numbers count the second level's parts top by top."""
+
+    top: np.ndarray
+    inner: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.sizes = np.array([self.inner[t].shape[1] if t in self.inner else 1 for t in range(self.top.shape[1])])
+        self.first = np.r_[0, np.cumsum(self.sizes)]
+        self.parts = int(self.first[-1])
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        """Log-probabilities of all parts."""
+        top = _log_softmax(x, self.top)
+        if not self.inner:
+            return top
+        return np.concatenate([top[:, t : t + 1] + (_log_softmax(x, self.inner[t]) if t in self.inner else 0) for t in range(top.shape[1])], axis=1)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that each row is indexed under: the most probable one of its most probable top."""
+        top = _log_softmax(x, self.top).argmax(axis=1)
+        out = self.first[top]
+        for t in np.unique(top).tolist():
+            if t in self.inner:
+                mine = top == t
+                out[mine] += _log_softmax(x[mine], self.inner[t]).argmax(axis=1)
+        return out
+
+    def ranked(self, x: np.ndarray, most: int) -> np.ndarray:
+        step = max(1, 2_000_000 // self.parts)
+        found = [np.argsort(-self.logs(x[a : a + step]), axis=1, kind="stable")[:, :most].copy() for a in range(0, len(x), step)]
+        return np.concatenate(found) if found else np.zeros((0, most), int)
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -139,19 +170,20 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.tolist() if hasattr(column, "tolist") else column, dtype=np.float64)
+def _matrix(values) -> np.ndarray:
+    return np.stack([np.frombuffer(v) for v in values])
 
 
 def _search_block(k: int):
     def search(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
         if len(found) and len(asked):
-            ids, x = found["id"].to_numpy(), np.stack([np.frombuffer(v) for v in found["v"]])
-            qids, q = asked["id"].to_numpy(), np.stack([np.frombuffer(v) for v in asked["v"]])
+            ids, x = found["id"].to_numpy(), scaled(_matrix(found["v"]))
+            qids, q = asked["id"].to_numpy(), scaled(_matrix(asked["v"]))
             near, lengths = unit(x), np.sqrt((x * x).sum(axis=1))
-            for a in range(0, len(q), 64):
-                sims = unit(q[a : a + 64]) @ near.T
+            step = max(1, 4_000_000 // len(x))
+            for a in range(0, len(q), step):
+                sims = unit(q[a : a + step]) @ near.T
                 for row, s in enumerate(sims, a):
                     s[ids == qids[row]] = -np.inf
                     take = min(k, len(s))
@@ -165,63 +197,173 @@ def _search_block(k: int):
     return search
 
 
-def search(vectors: DataFrame, is_query: F.Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def parts_for(total: int) -> int:
+    """A power of two next to the square root of the number of rows."""
+    return 1 << max(0, round(np.log2(max(1, total)) / 2))
+
+
+def learn(rows: DataFrame, total: int, dims: int, k: int = 5, sample: int = SAMPLE, level: int = LEVEL) -> tuple[Router, DataFrame, int, float]:
+    """The router, the written index (id, v, q, p), the parts to look into, and the recall that they reach.
+
+    `rows` (id, v, q) hold vectors of one length, as bytes.
+    """
+    asked = min(ASKED, total // 4)
+    order = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").select("id", "v")
+    taken = order.limit(asked + sample).toPandas()
+    asks, x = taken.iloc[:asked], unit(_matrix(taken["v"][asked:]).reshape(-1, dims))
+    parts = parts_for(total)
+    top = fit(x, min(parts, level))
+    router = Router(top)
+    if parts > level:
+        router = Router(top, _inner(rows, router, min(level, parts // level), sample))
+    index = written(_homes(rows, router, dims), "ann")
+    if not asked or router.parts == 1:
+        return router, index, 1, 1.0
+    ids, queries = asks["id"].to_numpy(), unit(_matrix(asks["v"]))
+    home = _nearest_homes(index, ids, queries, k)
+    place = router.ranked(queries, router.parts).argsort(axis=1)  # of each part among those that a query asks
+    found = np.array([place[r.a, r.p] for r in home])
+    recall = np.cumsum(np.bincount(found, minlength=router.parts)) / max(1, len(found))
+    probes = int(np.argmax(recall >= AIM)) + 1
+    return router, index, probes, float(recall[probes - 1])
+
+
+def _homes(rows: DataFrame, router: Router, dims: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(router)
+
+    def start():
+        def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            x = unit(_matrix(batch.column(0).to_pylist()).reshape(-1, dims)) if batch.num_rows else np.zeros((0, dims))
+            return {"p": pa.array(shared.value.home(x).astype(np.int32), pa.int32())}
+
+        return each
+
+    return arrow_append(rows, ["v"], start, "p int", ["id", "v", "q"])
+
+
+def _inner(rows: DataFrame, router: Router, parts: int, sample: int) -> dict[int, np.ndarray]:
+    """Classifiers within each top part, learned on the executors from about `sample` rows of it."""
+    dims = router.top.shape[0] - 1
+    placed = written(_homes(rows, router, dims), "tops")
+    share = {r.p: min(1.0, sample / r["count"]) for r in placed.groupBy("p").count().collect()}
+    draw = F.pmod(F.xxhash64("id", F.lit("inner")), F.lit(1 << 30)) / float(1 << 30)
+    limits = F.create_map(*[F.lit(v) for kv in share.items() for v in kv])
+
+    def train(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("id")
+        w = fit(unit(_matrix(found["v"])), parts)
+        return pd.DataFrame({"p": [int(found["p"].iloc[0])], "w": [w.tobytes()]})
+
+    learned = placed.where(draw < limits[F.col("p")]).groupBy("p").applyInPandas(train, "p int, w binary").collect()
+    discard(placed)
+    return {r.p: np.frombuffer(r.w).reshape(dims + 1, -1) for r in learned}
+
+
+def _nearest_homes(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> list:
+    """(a, p): the parts p in which the k true neighbours, among all rows, of the a-th asked row lie."""
+    shared = index.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        best = np.full((len(ids), k), -np.inf)
+        near, home = np.full((len(ids), k), -1), np.zeros((len(ids), k), int)
+        for batch in batches:
+            own, p = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            sims = queries @ unit(_matrix(batch.column(1).to_pylist())).T
+            sims[ids[:, None] == own[None, :]] = -np.inf
+            sims = np.c_[best, sims]
+            at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(np.c_[near, np.broadcast_to(own, (len(ids), len(own)))], at, 1)
+            home = np.take_along_axis(np.c_[home, np.broadcast_to(p, (len(ids), len(p)))], at, 1)
+            best = np.take_along_axis(sims, at, 1)
+        a = np.repeat(np.arange(len(ids)), k)
+        some = best.ravel() > -np.inf
+        arrays = [pa.array(c.ravel()[some]) for c in (a, near, home)] + [pa.array(best.ravel()[some])]
+        yield pa.RecordBatch.from_arrays(arrays, ["a", "id", "p", "s"])
+
+    found = arrow_map(index.select("id", "v", "p"), run, "a long, id long, p long, s double")
+    order = Window.partitionBy("a").orderBy(F.desc("s"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "p").collect()
+
+
+def search(
+    vectors: DataFrame, is_query: F.Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, level: int = LEVEL
+) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found; ties go to the smaller vec_id.
 
-    `is_query` is a condition on the column `id`.  Vectors that are null, zero, hold a null or non-finite component, or
-    have another length than most of the sample take no part, nor do null ids.  Repeated rows of one id count once, as
-    its smallest vector.  An empty table gives no rows.
+    `is_query` is a condition on the column `id`.  Vectors that are null, zero or hold a null or non-finite component
+    take no part, nor do null ids.  Vectors of another length than the commonest are compared with their like, all of
+    them.  Repeated rows of one id count once, as its smallest vector.  An empty table gives no rows.
     """
     rows = _usable(vectors, id_col, vec_col)
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    total = rows.count()
-    taken = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(sample).select("v").toPandas()["v"]
-    lengths = pd.Series([len(v) for v in taken]).value_counts()
-    dims = int(lengths.index[0]) if len(lengths) else 1
-    x = _matrix([v for v in taken if len(v) == dims]).reshape(-1, dims)
-    parts = 1 << max(0, min(MOST_PARTS, total // ROWS_PER_PART).bit_length() - 1)
-    router = fit(unit(x), parts, k) if len(x) else Router(np.zeros((dims, 1)), np.zeros(1))
-    shared = rows.sparkSession.sparkContext.broadcast(router)
-    parts, probes = router.weights.shape[1], router.probes
 
     def start():
-        router = shared.value
+        return lambda batch: {"b": pa.array([np.array(v, np.float64).tobytes() for v in batch.column(0).to_pylist()], pa.binary())}
+
+    rows = arrow_append(rows, ["v"], start, "b binary", ["id"])
+    rows = written(rows.select("id", F.col("b").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), (F.length("b") / 8).cast("int").alias("dims")), "vectors")
+    lengths = rows.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).collect()
+    dims, total = (lengths[0]["dims"], lengths[0]["count"]) if lengths else (1, 0)
+    if not total:
+        return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    router, indexed, probes, _ = learn(rows.where(F.col("dims") == dims).drop("dims"), total, dims, k, sample, level)
+    # vectors of another length lie in a part of their own, of a negative number
+    other = rows.where(F.col("dims") != dims).select("id", "v", "q", (-F.col("dims")).alias("p"))
+    indexed = indexed.union(other)
+    shared = rows.sparkSession.sparkContext.broadcast(router)
 
+    def ranked():
         def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            x = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(batch.num_rows, dims)
-            ranked = router.ranked(unit(x), parts) if batch.num_rows else np.zeros((0, parts), int)
-            return {"b": pa.array([v.tobytes() for v in x], pa.binary()), "parts": pa.array(ranked.tolist(), pa.list_(pa.int32()))}
+            p = batch.column(1).to_pylist()
+            out = [[x] for x in p]
+            mine = [i for i, x in enumerate(p) if x >= 0]
+            if mine:
+                values = batch.column(0).to_pylist()
+                best = shared.value.ranked(unit(_matrix([values[i] for i in mine])), probes).tolist()
+                for i, found in zip(mine, best, strict=True):
+                    out[i] = found
+            return {"parts": pa.array(out, pa.list_(pa.int32()))}
 
         return each
 
-    indexed = arrow_append(rows.where(F.size("v") == dims), ["v"], start, "b binary, parts array<int>", ["id"])
-    indexed = written(indexed.select("id", F.col("b").alias("v"), "parts").withColumn("q", F.coalesce(is_query, F.lit(False))), "ann")
-    sizes = {r.p: (r.n, r.m) for r in indexed.select(F.col("parts")[0].alias("p"), "q").groupBy("p").agg(F.count("*").alias("n"), F.count_if("q").alias("m")).collect()}
-    n_queries = sum(m for _, m in sizes.values())
-
-    def ask(queries: DataFrame, looked: int) -> DataFrame:
-        blocks = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, max(1, -(-sizes.get(p, (0, 0))[0] // BLOCK)))])
-        deal = max(1, -(-n_queries * looked // parts // QUERY_BLOCK))
-        found = indexed.select("id", "v", F.col("parts")[0].alias("p"))
-        found = found.withColumn("c", F.pmod(F.xxhash64("id"), blocks[F.col("p")])).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
-        asked = queries.select("id", "v", F.explode(F.slice("parts", 1, looked)).alias("p"))
-        asked = asked.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), (blocks[F.col("p")] - 1).cast("long"))))
-        asked = asked.withColumn("d", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(deal)).cast("int"))
-        pairs = found.groupBy("p", "c", "d").cogroup(asked.groupBy("p", "c", "d"))
-        near = pairs.applyInPandas(_search_block(k), "query_id long, vec_id long, score double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    queries = indexed.where("q")
-    found = written(ask(queries, probes), "ann")
-    if probes < parts:
-        served = found.where(F.col("rank") == min(k, max(1, total - 1))).select(F.col("query_id").alias("id"))
-        short = queries.join(served, "id", "left_anti")
+    asked = arrow_append(indexed.where("q"), ["v", "p"], ranked, "parts array<int>", ["id", "v"])
+    asked = written(asked.select("id", "v", F.explode("parts").alias("p")), "asked")
+    found = written(_ask(indexed, asked, k), "ann")
+    if probes < router.parts:
+        served = written(found.where(F.col("rank") == min(k, max(1, total - 1))).select(F.col("query_id").alias("id")), "served")
+        short = written(indexed.where("q and p >= 0").join(served, "id", "left_anti").select("id", "v"), "short")
         if short.limit(1).count():
-            found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(ask(short, parts))
+            every = short.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(router.parts - 1))))
+            again = _ask(indexed.where("p >= 0"), every, k)
+            found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _ask(indexed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank of the k nearest rows in the parts asked; larger parts are dealt in blocks."""
+    rows = {r.p: r["count"] for r in indexed.groupBy("p").count().collect()}
+    queries = {r.p: r["count"] for r in asked.groupBy("p").count().collect()}
+    blocks = {p: (-(-rows.get(p, 1) // BLOCK), -(-queries[p] // QUERY_BLOCK)) for p in queries}
+    large = {p: b for p, b in blocks.items() if b != (1, 1)}
+
+    def block(side: int, own: F.Column) -> F.Column:
+        """A row's own block, or all blocks of the other side."""
+        counts = F.create_map(*[F.lit(v) for p, b in large.items() for v in (p, b[side])]) if large else None
+        count = F.coalesce(counts[F.col("p")], F.lit(1)) if large else F.lit(1)
+        return F.pmod(own, count).cast("int") if side == mine else F.explode(F.sequence(F.lit(0), count - 1))
+
+    mine = 0
+    found = indexed.select("id", "v", "p")
+    found = found.withColumn("c", block(0, F.xxhash64("id"))).withColumn("d", block(1, F.lit(0)))
+    mine = 1
+    wanted = asked.withColumn("d", block(1, F.xxhash64("id", F.lit(1)))).withColumn("c", block(0, F.lit(0)))
+    pairs = found.groupBy("p", "c", "d").cogroup(wanted.groupBy("p", "c", "d"))
+    near = pairs.applyInPandas(_search_block(k), "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 

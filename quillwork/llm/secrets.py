@@ -104,11 +104,15 @@ _SPANS = "array<struct<start:long,kind:int,end:long>>"
 
 def _tail(z: Column) -> Column:
     """Upper tail of the standard normal distribution (Abramowitz and Stegun 7.1.26)."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    half = poly * F.exp(-x * x) / 2
-    return F.when(z >= 0, half).otherwise(1 - half)
+
+    def half(c: Column) -> Column:
+        z, t = c["z"], c["t"]
+        poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+        out = poly * F.exp(-z * z / 2) / 2
+        return F.when(z >= 0, out).otherwise(1 - out)
+
+    t = lambda z: 1 / (1 + 0.3275911 * F.abs(z) / math.sqrt(2))
+    return _let(_let(z, lambda z: F.struct(z.alias("z"), t(z).alias("t"))), half)
 
 
 def _by_encoding(values: dict) -> Column:
@@ -176,7 +180,8 @@ def _tested(token: Column) -> Column:
         p3 = 2 * _tail(F.abs((r + 1 / (n - 1)) * (n - 1) * F.sqrt(n - 2) / n))
         y = -sum((F.log(F.greatest(p, F.lit(1e-300))) for p in (p1, p2, p3)), F.lit(0.0))
         band = sum((n >= b).cast("int") for b in BANDS)
-        return F.struct(c["e"].alias("e"), band.alias("b"), F.least(F.lit(1.0), F.exp(-y) * (1 + y + y * y / 2)).alias("p"))
+        p = _let(y, lambda y: F.least(F.lit(1.0), F.exp(-y) * (1 + y + y * y / 2)))
+        return F.struct(c["e"].alias("e"), band.alias("b"), p.alias("p"))
 
     return _let(_let(_let(_let(F.rtrim(token, F.lit("=")), first), stats), sums), combine)
 

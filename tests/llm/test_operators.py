@@ -431,3 +431,29 @@ def test_appended_columns_keep_clashing_names(docs):
     twice = docs.select("doc_id", "text", F.col("lang").alias("text2")).toDF("doc_id", "text", "doc_id2")
     out = arrow_append(twice, ["text"], lambda: lambda b: {"doc_id": pa.array([1] * b.num_rows, pa.int64())}, "doc_id long")
     assert out.columns == ["doc_id", "text", "doc_id2", "doc_id"] and out.count() == docs.count()
+
+
+def test_ann_levels_and_recall(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 24))[rng.integers(0, 60, 6000)] + 0.4 * rng.standard_normal((6000, 24))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    as_bytes = spark.createDataFrame([(i, v.tobytes(), i % 50 == 0) for i, v in enumerate(x)], "id long, v binary, q boolean")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for level in (256, 8):  # one level of 64 parts; two levels of 8
+        router, index, probes, recall = ann.learn(as_bytes, 6000, 24, level=level, sample=3000)
+        assert router.parts >= 32 and probes < router.parts / 2 and recall >= ann.AIM and (level == 256) == (not router.inner)
+        assert index.groupBy("p").count().count() >= router.parts / 2
+        hits = 0
+        for r in ann.search(data, F.col("id") % 50 == 0, level=level, sample=3000).collect():
+            s = unit @ unit[r.query_id]
+            s[r.query_id] = -9
+            hits += r.vec_id in np.argsort(-s, kind="stable")[:5]
+        assert hits / 600 >= 0.9
+
+
+def test_ann_extreme_lengths(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [0.0, 1e200]), (3, [1e-200, 0.0]), (4, [1e-300, 2e-300]), (5, [1.0, 2.0, 3.0]), (50, [3.0, 2.0, 1.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    got = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == 0]
+    assert [v for v, _ in got] == [3, 1, 4, 2] and np.allclose([s for _, s in got], [1, 0.5**0.5, 0.2**0.5, 0])
+    assert [(r.vec_id, round(r.score, 6)) for r in found if r.query_id == 50] == [(5, round(10 / 14, 6))]
