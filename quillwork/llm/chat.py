@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from typing import Any
 
 import pyarrow as pa
@@ -308,8 +309,12 @@ def _writer(node: tuple, generating: bool = False) -> Callable[[dict], Iterator[
     return write
 
 
+@cache
 def compiled(template: str = TEMPLATE) -> Callable[[Iterable[dict]], Iterator[Piece]]:
-    """messages ({"role", "text"}, any iterable) -> pieces (text, generating), written as they are read."""
+    """messages ({"role", "text"}, any iterable) -> pieces (text, generating), written as they are read.
+
+    A template is parsed, folded and built once a process; rendering keeps no state in it.
+    """
     write = _writer(fold(parse(template)))
     return lambda messages: write({"messages": messages})
 

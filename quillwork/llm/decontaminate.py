@@ -5,13 +5,17 @@ through it; at each word the state and its matched length tell whether the last
 item, occur in an item.  Runs of words whose neighbouring pairs do not all occur in some item cannot hold a match and
 are skipped before the automaton, which changes no result.
 
-The items reach the workers in blocks of at most `block_chars` characters (and one item more); documents pass through
-all blocks one after the other, carrying what was found.  Nothing is shuffled.
+Items of more than `block_chars` characters are dealt into blocks, each of which is broadcast and scanned for by itself.
+The first block's pass gives a row for each document; of the others only documents with hits are written, once for each
+text, and joined to it by 128 bits of the text.  With one block nothing is shuffled.
+
+`clean` drops documents that the coverage limit calls contaminated, and cuts longer spans out of the others.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import repeat
 
 import numpy as np
@@ -19,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, arrow_append, table, texts
+from .common import FOLD, arrow_append, table, texts, written
 from .oracles import OP5
 
 WINDOW = 13
+#: Words of a span that is cut out of a document which is otherwise kept.
+LONG_SPAN = 50
 BLOCK_CHARS = 2_000_000
 
 
@@ -152,13 +158,45 @@ def _automaton(items: list, window: int) -> Automaton:
     return _BUILT[key]
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[str | None, bytes]]]:
-    """The items with words, in blocks that fit a worker; each is collected by itself."""
+def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> tuple[DataFrame, int]:
+    """The items (i, t) with words, dealt into blocks b that fit a worker, and the number of blocks."""
     rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     count = max(1, -(-total // block_chars))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(count)))
-    return [sorted(((r.i, r.t.encode()) for r in rows.where(F.col("b") == k).collect()), key=repr) for k in range(count)]
+    return (written(rows, "items"), count) if count > 1 else (rows, 1)
+
+
+_SPANS = "array<struct<start:long,end:long>>"
+_FOUND = f"n_words long, spans {_SPANS}, items array<string>"
+
+
+def _scanned(docs: DataFrame, text_col: str, items: DataFrame, window: int, keep: list[str]) -> DataFrame:
+    """The kept columns with what one block's automaton finds.  A block is collected: it has a bounded size."""
+    block = sorted(((r.i, r.t.encode()) for r in items.select("i", "t").collect()), key=repr)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def start():
+        automaton = _automaton(shared.value, window)
+
+        def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            n_words, spans, ids = [], [], []
+            for text in texts(batch.column(0)):
+                words = (text or b"").translate(FOLD).split()
+                found, names = automaton.scan(words)
+                n_words.append(len(words))
+                spans.append([{"start": a, "end": b} for a, b in merged(found)])
+                ids.append(sorted(x for x in names if x is not None))
+            return _columns(spans, ids) | {"n_words": pa.array(n_words, pa.int64())}
+
+        return each
+
+    return arrow_append(docs, [text_col], start, _FOUND, keep)
+
+
+def _columns(spans: list, ids: list) -> dict[str, pa.Array]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return {"spans": pa.array(spans, kind), "items": pa.array(ids, pa.list_(pa.string()))}
 
 
 def find(
@@ -177,47 +215,36 @@ def find(
     Null or wordless texts have no words and no hits; items that are null or have no words are ignored; items with a
     null id hit words but are not listed; repeated items count once by id; empty tables give no hits or no rows.
     """
-    out = docs
-    found = blocks(items, item_id, item_text, block_chars)
-    for k, block in enumerate(found):
-
-        def start(block=block, first=k == 0):
-            automaton = _automaton(block, window)
-
-            def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-                n_words, spans, ids = [], [], []
-                before = [None] * batch.num_rows if first else zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-                for text, old in zip(texts(batch.column(0)), before, strict=True):
-                    words = (text or b"").translate(FOLD).split()
-                    new, names = automaton.scan(words)
-                    if old is not None:
-                        new, names = [*new, *((s["start"], s["end"]) for s in old[0])], names | set(old[1])
-                    n_words.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in merged(new)])
-                    ids.append(sorted(x for x in names if x is not None))
-                return {
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    "items": pa.array(ids, pa.list_(pa.string())),
-                }
-
-            return each
-
-        kind = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-        if k == 0:
-            kept = docs.columns if keep is None else keep
-            carry = [c for c in kept if c != text_col] + ([text_col] if len(found) > 1 or text_col in kept else [])
-            out = arrow_append(docs, [text_col], start, kind, carry)
-        else:
-            names = out.columns
-            width = len(names)
-            out = out.toDF(*(f"x{i}" for i in range(width)))
-            text_at = carry.index(text_col)
-            out = arrow_append(out, [f"x{text_at}", f"x{width - 2}", f"x{width - 1}"], start, kind, [f"x{i}" for i in range(width - 3)])
-            out = out.toDF(*names)
-    if len(found) > 1 and text_col not in kept:
-        out = out.drop(text_col)
-    return out
+    kept = docs.columns if keep is None else keep
+    dealt, count = blocks(items, item_id, item_text, block_chars)
+    if count == 1:
+        return _scanned(docs, text_col, dealt, window, kept)
+    width = len(kept)
+    said = F.col(text_col)
+    name = {"t1": F.xxhash64(said, said.isNull()), "t2": F.xxhash64(F.lit(1), said, said.isNull())}
+    plain = docs.select(*(F.col(c).alias(f"d{i}") for i, c in enumerate(kept)), said.alias("text"), *(v.alias(k) for k, v in name.items()))
+    out = _scanned(plain, "text", dealt.where("b = 0"), window, [*(f"d{i}" for i in range(width)), "t1", "t2"])
+    more: DataFrame | None = None
+    for k in range(1, count):  # only documents with hits leave a pass, each text once
+        found = _scanned(plain, "text", dealt.where(F.col("b") == k), window, ["t1", "t2"]).where("size(spans) > 0")
+        found = written(found.groupBy("t1", "t2").agg(F.first("spans").alias("s"), F.first("items").alias("i")), "hits")
+        more = found if more is None else more.union(found)
+    more = more.groupBy("t1", "t2").agg(F.flatten(F.collect_list("s")).alias("more"), F.flatten(F.collect_list("i")).alias("names"))
+    out = out.join(written(more, "hits"), ["t1", "t2"], "left")
+
+    def start():
+        def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            spans, ids = [], []
+            for a, b, i, j in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                both = merged([(s["start"], s["end"]) for s in [*a, *(b or ())]])
+                spans.append([{"start": x, "end": y} for x, y in both])
+                ids.append(sorted({*i, *(j or ())}))
+            return _columns(spans, ids)
+
+        return each
+
+    joined = arrow_append(out, ["spans", "more", "items", "names"], start, f"spans {_SPANS}, items array<string>", [*(f"d{i}" for i in range(width)), "n_words"])
+    return joined.toDF(*kept, "n_words", "spans", "items")
 
 
 def hits(spans: str = "spans") -> F.Column:
@@ -229,13 +256,39 @@ def contaminated(n_hit, n_words, share: int = 20) -> F.Column:
     return (n_hit > 0) & (F.lit(share) * n_hit >= n_words)
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with their own columns."""
-    width = len(docs.columns)
+def _without(text: bytes, spans: list[dict], long_span: int) -> bytes:
+    """The text without the words of its longer spans; what stands on their two sides is kept apart by a space."""
+    places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(FOLD))]
+    out, at = [], 0
+    for s in spans:
+        if s["end"] - s["start"] >= long_span:
+            out.append(text[at : places[s["start"]][0]].rstrip())
+            at = places[s["end"] - 1][1]
+    return b" ".join([*out, text[at:].lstrip()]) if out else text
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", *, long_span: int | None = None, **options) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their own columns; their spans of `long_span` words or more are cut.
+
+    Null and wordless texts are not contaminated; repeated rows are judged alike; an empty table gives no rows; columns
+    may have any names.  Without `long_span` no text changes.
+    """
+    width, at = len(docs.columns), docs.columns.index(text_col)
     plain = docs.toDF(*(f"d{i}" for i in range(width)))
-    found = find(plain, items, text_col=f"d{docs.columns.index(text_col)}", **options)
-    keep = found.where(~contaminated(hits(), F.col("n_words")))
-    return keep.select(*(f"d{i}" for i in range(width))).toDF(*docs.columns)
+    found = find(plain, items, text_col=f"d{at}", **options)
+    kept = found.where(~contaminated(hits(), F.col("n_words")))
+    if long_span is None:
+        return kept.select(*(f"d{i}" for i in range(width))).toDF(*docs.columns)
+
+    def start():
+        def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            rows = zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True)
+            return {"text": pa.array([None if t is None else _without(t, s, long_span).decode() for t, s in rows], pa.string())}
+
+        return each
+
+    cut = arrow_append(kept, [f"d{at}", "spans"], start, "text string", [f"d{i}" for i in range(width)])
+    return cut.select(*("text" if i == at else f"d{i}" for i in range(width))).toDF(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams (operator 2).
 
-Texts are lower-cased; characters that are neither ASCII letters nor beyond ASCII count as spaces.  Every window of one
-to three characters that holds a letter is hashed into one of `buckets` features.  Counts by language are summed by
-Spark over a sample of whole labelled texts; the log-probability matrix (buckets x languages) is broadcast, and batches
-are scored in numpy by gathering its rows and adding them up document by document.
+Texts are lower-cased; characters that are neither letters nor combining marks count as spaces.  Every window of one to
+three characters that holds a letter is hashed into one of `buckets` features.  Counts by language are summed by Spark
+over a sample of whole labelled texts; the log-probability matrix (buckets x languages, of at most CELLS numbers) is
+broadcast, and batches are scored in numpy by gathering its rows and adding them up document by document.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,16 @@ from .common import arrow_append, arrow_map, held_out, table
 BUCKETS = 1 << 15
 #: Labelled rows of each language that are learned from, about: the bound of the training sample.
 PER_LANGUAGE = 4_000
-#: With the number of buckets, the bound of the broadcast matrix.
-MOST_LANGUAGES = 200
+#: The bound of the broadcast matrix: more languages share fewer buckets, of which there are LEAST_BUCKETS at least.
+CELLS, LEAST_BUCKETS = 6_553_600, 256
 SMOOTHING = 0.5
 _SLICE = 400_000
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 2 for a letter, 1 for a combining mark, else 0."""
+    return np.array([2 if chr(c).isalpha() else unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)], np.uint8)
 
 
 def grams(pieces: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +43,9 @@ def grams(pieces: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     out, at = [], [0]
     for piece in pieces:
         c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = ((c >= 97) & (c <= 122)) | (c >= 128)
-        c = np.where(letter, c, np.uint32(32)).astype(np.uint64)
+        kind = _kinds()[c]
+        letter = kind == 2
+        c = np.where(kind > 0, c, np.uint32(32)).astype(np.uint64)
         with np.errstate(over="ignore"):
             two = c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] + np.uint64(1 << 40)
             three = two[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] + np.uint64(1 << 41)
@@ -87,7 +94,7 @@ class Model:
             flush()
         names, scores = [], []
         for i, text in enumerate(texts):
-            if not self.languages or text is None or not _LETTER.search(text):
+            if not self.languages or text is None or not any(map(str.isalpha, text)):
                 names.append("und")
                 scores.append(0.0)
                 continue
@@ -109,20 +116,20 @@ def train(
     buckets: int = BUCKETS,
     per_language: int = PER_LANGUAGE,
 ) -> Model:
-    """Learn from about `per_language` rows of each language among the usable ones, chosen by a hash of id and text.
+    """Learn from about `per_language` rows of each language among the usable ones, chosen by a hash of id and text length.
 
-    Rows with a null text or language teach nothing; without any row the model knows no language and predicts `und`.
+    Rows with a null text or language teach nothing; repeated rows teach once each; without any row the model knows no
+    language and predicts `und`.  Only the three named columns are read.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    buckets = min(buckets, max(LEAST_BUCKETS, CELLS // max(1, len(counts))))
     if not counts:
         return Model([], np.zeros((buckets, 0)), np.zeros(0), buckets)
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, per_language / n))])
+    share = F.create_map(F.lit(""), F.lit(1.0), *[F.lit(x) for l, n in counts.items() if l and n > per_language for x in (l, per_language / n)])
     draw = F.pmod(F.xxhash64(F.col("i"), F.length("t"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share[F.col("l")]).select("t", "l")
+    sample = rows.where(draw < F.coalesce(share[F.col("l")], F.lit(1.0))).select("t", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -139,14 +146,18 @@ def train(
     languages = sorted(counts)
     found = np.zeros((buckets, len(languages)))
     if len(summed):
-        found[summed["b"].to_numpy(), [languages.index(x) for x in summed["l"]]] = summed["n"].to_numpy()
+        place = {x: i for i, x in enumerate(languages)}
+        found[summed["b"].to_numpy(), [place[x] for x in summed["l"]]] = summed["n"].to_numpy()
     smooth = found + SMOOTHING
     prior = np.log(np.array([counts[x] for x in languages]) / sum(counts.values()))
     return Model(languages, np.log(smooth / smooth.sum(axis=0)), prior, buckets)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of `docs` with lang_pred and score; `und` and 0 for a null text or one without letters."""
+    """The kept columns of `docs` with lang_pred and score; `und` and 0 for a null text or one without letters.
+
+    Repeated rows are judged alike; an empty table gives no rows; kept columns may have the new columns' names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():

@@ -8,6 +8,7 @@ shuffle; a writer partitions by `bucket`.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -32,21 +33,43 @@ def default_tokenizer() -> str:
 _PLAIN = re.compile("[ \t-\r!-~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 _BLOCK = 1_000_000
+#: The parts of a tokenizer file for which the quick way is right (fixed values of that format).
+_QUICK = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def is_quick(path: str) -> bool:
+    """Whether a tokenizer file normalises and splits as the quick way does, and adds no token but "<|...|>"."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    added = all(t["content"].startswith("<|") for t in parts.get("added_tokens", ()))
+    return added and parts["model"].get("type") == "BPE" and all(parts.get(k) == v for k, v in _QUICK.items())
 
 
 class Encoder(dict):
     """Piece of a lower-cased word -> its ids as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins characters across it, so a text may be cut at any white space.
-    Blocks of plain Latin characters are lower-cased and split here, and their pieces go straight to the BPE model
-    through a bounded cache, emptied when it is full; all others go through the whole tokenizer.
+    A tokenizer that `is_quick` drops white space and never joins characters across it, so a text may be cut at any
+    white space.  Blocks of plain Latin characters are lower-cased and split here, and their pieces go straight to the
+    BPE model through a bounded cache, emptied when it is full.  All other blocks, and whole texts of any other
+    tokenizer, go through the tokenizer.
     """
 
     def __init__(self, path: str, most: int = 800_000):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.quick = Tokenizer.from_file(path), most, is_quick(path)
         self.model = self.tokenizer.model
         direct = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shift = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in direct)}
@@ -60,11 +83,16 @@ class Encoder(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if not self.quick:
+            return self._whole(text)
         return b"".join([self._block(block) for block in _blocks(text)])
 
     def _block(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.__getitem__, _PIECES.findall(text.lower())))
+        return self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 

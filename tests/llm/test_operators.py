@@ -204,6 +204,12 @@ def brute_hits(text, window=13):
     return len(w), sum(hit), sorted(found)
 
 
+def long_runs(text, window=13):
+    """Ranges of neighbouring words that windows of the items cover."""
+    automaton = decontaminate.Automaton([(None, (t or "").encode()) for _, t in ITEMS], window)
+    return decontaminate.merged(automaton.scan((text or "").encode().translate(FOLD).split())[0])
+
+
 @pytest.mark.parametrize("block", [2_000_000, 60])
 def test_decontamination(spark, docs, rows, none, block):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -214,6 +220,15 @@ def test_decontamination(spark, docs, rows, none, block):
     assert clean.columns == docs.columns
     expected = [r[0] for r in rows for n, h, _ in [brute_hits(r[1])] if not (h and 20 * h >= n)]
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted(expected, key=repr)
+    cut = {r.doc_id: r.text for r in decontaminate.clean(docs, items, block_chars=block, long_span=15).collect()}
+    assert set(cut) == set(expected)
+    for doc_id, text, *_ in rows:
+        if doc_id in cut and text is not None and text.encode().translate(FOLD).split():
+            w = text.encode().translate(FOLD).split()
+            left = (cut[doc_id] or "").encode().translate(FOLD).split()
+            assert len(w) - len(left) <= brute_hits(text)[1] and not any(b - a >= 15 for a, b in long_runs(cut[doc_id]))
+        elif doc_id in cut:
+            assert cut[doc_id] == text or doc_id == 3
     assert decontaminate.find(none, items).count() == 0
     assert decontaminate.find(docs, items.limit(0), keep=["doc_id"]).where("size(spans) > 0").count() == 0
 
@@ -315,6 +330,20 @@ def test_licenses(docs, rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_whole_licences(spark, docs):
+    for label, template, _ in licenses.TEMPLATES:
+        said = template.split()
+        named = [*said[: len(said) // 2], *(["ACME", "Corp"] if len(said) > 40 else []), *said[len(said) // 2 :]]  # a name within
+        text = f"{sentence(40, 200)} {' '.join(named).upper()}. {sentence(41, 200)}"
+        rows = spark.createDataFrame([(1, text), (2, sentence(42, 400)), (3, " ".join(sorted(said)))], "doc_id long, text string")
+        index = licenses.Index({w: float(len(w)) for _, t, _ in licenses.TEMPLATES for w in licenses.words_of(t)})
+        if label in ("mit", "bsd"):
+            found = {r.doc_id: r for r in licenses.scan(rows, index).collect()}
+            assert label in found[1].labels and found[1].score > 0.9 and not found[2].labels and (len(said) < 40 or label not in found[3].labels)
+        labels = index.scan(text.encode().translate(FOLD).split())[1]
+        assert labels[label] > 0.8 or len(said) < 16 and label in labels
+
+
 TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "</s>[INST] x [/INST]\\ \\\\"), (2, None, None, "n"), (2, 3, "weird<|text|>", "<|end|><s>"), (None, 0, "system", "<<SYS>>"), (3, 0, "assistant", ""), (1, 0, "user", "hi")]
 
 
@@ -396,6 +425,25 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_with_another_tokenizer(spark, rows, tmp_path):
+    """A file that splits otherwise goes through the whole tokenizer."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert packing.is_quick(packing.default_tokenizer())
+    with open(packing.default_tokenizer(), encoding="utf-8") as file:
+        parts = json.load(file)
+    parts["normalizer"] = None
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as file:
+        json.dump(parts, file)
+    assert not packing.is_quick(other)
+    tokenizer, encoder = Tokenizer.from_file(other), packing.Encoder(other)
+    for text in ("Some UPPER case text", *(r[1] or "" for r in rows)):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_language_id(spark, docs, none):
     words_of = {"aa": ["the", "and", "with", "from"], "bb": ["der", "und", "mit", "von"]}
     rng = np.random.default_rng(1)
@@ -405,6 +453,12 @@ def test_language_id(spark, docs, none):
     for r in langid.predict(test, model).collect():
         expected = r.lang if r.doc_id not in (500, 501, 502) else "und"
         assert r.lang_pred == expected and 0 <= r.score <= 1
+    assert {r.lang_pred for r in langid.predict(spark.createDataFrame([("½ ² ①",), ("४५",)], "text string"), model).collect()} == {"und"}
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    wide = langid.train(many, F.lit(True), buckets=1 << 15)
+    assert len(wide.languages) == 300 and wide.logs.size <= langid.CELLS and {r.lang == r.lang_pred for r in langid.predict(many, wide).collect()} == {True}
+    clash = docs.select("doc_id", "text", F.lit(1).alias("lang_pred"), F.lit(2).alias("score"))
+    assert langid.predict(clash, model).columns == ["doc_id", "text", "lang_pred", "score", "lang_pred", "score"]
     empty = langid.train(none, F.lit(True))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
     assert langid.predict(none, model).count() == 0
