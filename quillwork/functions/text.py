@@ -142,8 +142,15 @@ def content_id(c: Column | str, read: int = 2000, length: int = 16) -> Column:
 
 
 def negative_id(c: Column | str) -> Column:
-    """A stable id below zero, apart from all assigned ones."""
-    return -F.crc32(col(c)) - 1
+    """A stable id below zero, apart from all assigned ones: 48 bits of the MD5."""
+    return -F.conv(F.substring(F.md5(col(c)), 1, 12), 16, 10).cast("long") - 1
+
+
+def section(c: Column | str, heading: str) -> Column:
+    """The lines from a heading, "# ..." that begins so, to the next one; lines of a page number alone go; null without it."""
+    form = rf"(?is)(?:^|\n)#\s*\Q{heading}\E[^\n]*\n(.*?)(?=\n#|$)"
+    lines = F.regexp_replace(F.regexp_extract(col(c), form, 1), r"(?m)^\s*\d+\s*$\n?", "")
+    return F.when(col(c).rlike(form), F.trim(F.regexp_replace(lines, r"\n+$", "")))
 
 
 def shortened(c: Column | str, most: int = 300) -> Column:

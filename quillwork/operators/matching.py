@@ -94,26 +94,12 @@ def token_overlap(
 def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """The longest catalogue name that stands in each text, ties to the least; rows without one are left out.
 
-    Texts and names are folded.  A name of three words or more meets texts on its rarest inner word, which a text that
-    holds the name holds whole; a shorter one on a run of at most three characters from its middle.  Containment is then
-    checked, so a name may also stand within longer words.
+    Texts and names are folded and meet as in `_meetings`; containment is then checked, so a name may also stand within
+    longer words.  Null and empty texts and names match nothing; repeated names count once.
     """
     n = names.select(F.col(name).alias("_name"), fold(name).alias("_plain")).where("_plain <> ''").distinct()
     t = texts.select(F.col(key), fold(text).alias("_text"))
-    inner = lambda c: F.slice(F.split(c, " "), 2, F.greatest(F.size(F.split(c, " ")) - 2, F.lit(0)))
-    tw = t.select(key, F.explode(F.array_distinct(F.split("_text", " "))).alias("_w"))
-    candidates = n.select("_name", "_plain", F.explode(F.array_distinct(inner(F.col("_plain")))).alias("_w"))
-    freq = tw.join(candidates.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_f"))
-    anchor = candidates.join(freq, "_w").groupBy("_name", "_plain").agg(F.min_by("_w", F.struct("_f", "_w")).alias("_w"))
-    pairs = tw.join(anchor, "_w").select(key, "_name", "_plain")
-    brief = n.where(F.size(F.split("_plain", " ")) < 3)
-    for k in (1, 2, 3):
-        size = F.length("_plain")
-        some = brief.where((size == k) if k < 3 else (size >= 3))
-        some = some.withColumn("_w", F.substring("_plain", F.floor((size - k) / 2).cast("int") + 1, F.lit(k)))
-        runs = t.select(key, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))).alias("_w"))
-        pairs = pairs.union(runs.join(some, "_w").select(key, "_name", "_plain"))
-    found = pairs.join(t, key).where(F.contains("_text", F.col("_plain")))
+    found = _meetings(t, n, key).join(t, key).where(F.contains("_text", F.col("_plain")))
     best = F.min_by("_name", F.struct(-F.length("_plain"), F.col("_name")))
     return found.groupBy(key).agg(best.alias(name))
 
@@ -182,14 +168,53 @@ def tiered_titles(
     return held.union(rows).groupBy(key, title_key).agg(first).select(key, title_key, "_m.score", "_m.tier")
 
 
-def resolved_people(mentions: DataFrame, members: DataFrame, mention: str, spoken: str, member: str, name: str, least: int = 2) -> DataFrame:
-    """The one member of whose name a mention says at least `least` words; null if none or several."""
+def resolved_people(mentions: DataFrame, members: DataFrame, mention: str, spoken: str, member: str, name: str, least: int = 2, fallback: int = 1) -> DataFrame:
+    """The one member of whose name a mention says at least `least` words, else at least `fallback`; null if none or several.
+
+    The fallback, a surname alone, counts only if no member has `least` words in common.  Null names match nothing.
+    """
     m = members.select(F.col(member), F.explode(distinct_words(name)).alias("_w"))
     s = mentions.select(F.col(mention), F.explode(distinct_words(spoken)).alias("_w"))
-    counts = s.join(m, "_w").groupBy(mention, member).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    one = counts.groupBy(mention).agg(F.min(member).alias("_lo"), F.max(member).alias("_hi"))
-    one = one.select(mention, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias(member))
-    return mentions.select(mention).join(one, mention, "left")
+    counts = s.join(m, "_w").groupBy(mention, member).agg(F.count("*").alias("_n")).where(F.col("_n") >= fallback)
+    lone = lambda n: [f(F.when(F.col("_n") >= n, F.col(member))).alias(f"_{k}{n}") for k, f in (("lo", F.min), ("hi", F.max))]
+    ends = counts.groupBy(mention).agg(*lone(least), *(lone(fallback) if fallback != least else []))
+    one = lambda n: F.when(F.col(f"_lo{n}") == F.col(f"_hi{n}"), F.col(f"_lo{n}"))
+    ends = ends.select(mention, F.when(F.col(f"_lo{least}").isNotNull(), one(least)).otherwise(one(fallback)).alias(member))
+    return mentions.select(mention).join(ends, mention, "left")
+
+
+def named_in_media(
+    news: DataFrame, people: DataFrame, key: str, said: str, person: str, given: str, surname: str, place: str, roles: str, least: int = 4, within: int = 2
+) -> DataFrame:
+    """(key, person): news of a person's place that say a given name and the surname at most `within` words on.
+
+    Given names shorter than `least` letters do not count.  A role (a pattern) may stand for the given name only if
+    nobody else of the place has that surname.  News meet people on the surname's words, so nothing else is compared.
+    """
+    alone = people.groupBy(place, surname).agg((F.count("*") == 1).alias("_alone"))
+    names = F.transform(F.filter(F.split(fold(given), " "), lambda w: F.length(w) >= least), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+    who = F.array_join(F.concat(names, F.when(F.col("_alone"), F.array(F.lit(roles))).otherwise(F.array().cast("array<string>"))), "|")
+    p = people.join(alone, [place, surname]).select(person, place, fold(surname).alias("_surname"), who.alias("_who")).where("_who <> '' and _surname <> ''")
+    form = F.concat(F.lit(r"(?:^|\W)(?:"), "_who", F.lit(rf")\s+(?:\w+\s+){{0,{within}}}?\Q"), "_surname", F.lit(r"\E(?:\W|$)"))
+    p = p.select(person, place, form.alias("_form"), F.split("_surname", " ")[0].alias("_w"))
+    n = news.select(key, place, fold(said).alias("_said"))
+    met = n.withColumn("_w", F.explode(F.array_distinct(F.split(F.regexp_replace("_said", r"\W+", " "), " ")))).join(p, [place, "_w"])
+    return met.where(F.regexp_like("_said", F.col("_form"))).select(key, person).distinct()
+
+
+def motions(
+    said: DataFrame, titles: DataFrame, key: str, text: str, title_key: str, title: str, after: str, letters: int = 5, least: int = 2, share: float = 0.7
+) -> DataFrame:
+    """(key, title_key): motions that say, after a word, at least `least` and `share` of a title's words of `letters` letters.
+
+    An equi-join of words, counted as they meet.
+    """
+    words = F.array_distinct(distinct_words(F.regexp_extract(fold(text), rf"(?s)\b{after}\b(.*)$", 1), letters))
+    a = said.select(key, F.explode(words).alias("_w"))
+    b = titles.select(title_key, distinct_words(title, letters).alias("_all"))
+    b = b.select(title_key, F.size("_all").alias("_n"), F.explode("_all").alias("_w"))
+    shared = a.join(b, "_w").groupBy(key, title_key, "_n").agg(F.count("*").alias("_shared"))
+    return shared.where(F.col("_shared") >= F.greatest(F.lit(least), F.ceil(share * F.col("_n")))).select(key, title_key)
 
 
 def best_overlap(mentions: DataFrame, members: DataFrame, mention: str, spoken: str, member: str, name: str, least: int = 2) -> DataFrame:

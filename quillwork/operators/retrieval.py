@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -20,11 +21,17 @@ from .relational import small
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for written intermediate tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        root = spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster shares for written intermediate tables: spark.checkpoint.dir, or the context's.
+
+    Only a session within one process, as in tests, may do without: it gets a folder of its own.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillwork-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -75,9 +82,10 @@ def affinity(items: DataFrame, fragments: DataFrame, key: str, profile: str, vec
     return pairs.groupBy(key, profile).agg(F.max(cosine(vector, fragment)).alias("affinity"))
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """(term, key, field, tf) of the folded words of the fields (V3)."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.filter(F.split(fold_words(f), " "), lambda w: w != "").alias("w")) for f in fields])
+def postings(docs: DataFrame, key: str, fields: dict[str, float], terms: Sequence[str] | None = None) -> DataFrame:
+    """(term, key, field, tf) of the folded words of the fields (V3), of the given terms alone if there are any."""
+    wanted = (lambda w: w.isin(*terms)) if terms is not None else (lambda w: w != "")
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.filter(F.split(fold_words(f), " "), wanted).alias("w")) for f in fields])
     rows = docs.select(key, F.explode(parts).alias("p")).select(key, "p.field", F.explode("p.w").alias("term"))
     return rows.groupBy("term", key, "field").agg(F.count("*").alias("tf"))
 
@@ -87,7 +95,7 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: Sequence[st
 
     Field lengths and their means are over all documents; tf of a document is the weighted sum over its fields.
     """
-    index = postings(docs, key, fields).where(F.col("term").isin(*terms))
+    index = postings(docs, key, fields, terms)
     size = F.size(F.filter(F.split(fold_words(F.concat_ws(" ", *fields)), " "), lambda w: w != ""))
     stats = docs.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
     weight = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
@@ -100,6 +108,36 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: Sequence[st
     return (out.where(F.col("matched") == len(set(terms))) if every else out).drop("matched")
 
 
+def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, token, df, weight): TF-IDF vectors of length one, idf = ln((1 + N) / (1 + df)) + 1.
+
+    Null and empty arrays have no vector, but count in N; a key's rows must be one.
+    """
+    tf = df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    freq = tf.groupBy("token").agg(F.count("*").alias("df"))
+    total = df.agg(F.count("*").alias("n"))
+    rows = tf.join(freq, "token").crossJoin(F.broadcast(total))  # one row
+    rows = rows.withColumn("weight", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
+    return rows.select(key, "token", "df", (F.col("weight") / length).alias("weight"))
+
+
+def similar_by_tfidf(vectors: DataFrame, key: str, least: float) -> DataFrame:
+    """a, b, score: the pairs of TF-IDF vectors with a cosine of at least `least`.
+
+    In the order from rare to common, the first token that a similar pair shares must leave either vector at least
+    `least` of its length, so only such tokens are met; the score is then summed over all of them.
+    """
+    order = Window.partitionBy(key).orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
+    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))
+    first = vectors.withColumn("_rest", rest).where(F.col("_rest") >= least - 1e-9).select(key, "token")
+    pairs = first.select(F.col(key).alias("a"), "token").join(first.select(F.col(key).alias("b"), "token"), "token").where("a < b").select("a", "b").distinct()
+    x = vectors.select(F.col(key).alias("a"), "token", F.col("weight").alias("x"))
+    y = vectors.select(F.col(key).alias("b"), "token", F.col("weight").alias("y"))
+    score = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+    return score.where(F.col("score") >= least)
+
+
 def fused(first: DataFrame, second: DataFrame, key: str, k: int = 60, names: tuple[str, str] = ("words", "meaning")) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (key, rank): score, source, ties by the first list's rank (V4)."""
     a, b = first.select(key, F.col("rank").alias("ra")), second.select(key, F.col("rank").alias("rb"))
@@ -163,22 +201,25 @@ def leaders(rows: DataFrame, block: str, order: Sequence[str], key: str, vector:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, heads, names = object(), [], []
+        now, heads, names = object(), np.zeros((0, 0)), []  # heads: a matrix that grows by doubling
         for batch in batches:
             out = []
             for b, k, v in zip(batch["block"], batch["key"], batch["v"], strict=True):
                 if b != now:
-                    now, heads, names = b, [], []
+                    now, names = b, []
                 x = None if v is None else np.asarray(v, float)
                 n = 0.0 if x is None else float(np.sqrt(x @ x))
                 leader = k
                 if n > 0:
                     x = x / n
-                    close = np.flatnonzero(np.array(heads) @ x >= least) if heads else []
+                    close = np.flatnonzero(heads[: len(names)] @ x >= least) if names else []
                     if len(close):
                         leader = names[close[0]]
                     else:
-                        heads.append(x)
+                        if heads.shape[1] != len(x) or len(names) == len(heads):
+                            old = heads[: len(names)] if heads.shape[1] == len(x) else np.zeros((0, len(x)))
+                            heads = np.concatenate([old, np.zeros((max(16, len(old)), len(x)))])
+                        heads[len(names)] = x
                         names.append(k)
                 out.append((b, k, leader))
             yield pd.DataFrame(out, columns=["block", "key", "leader"])

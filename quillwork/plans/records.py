@@ -40,12 +40,12 @@ def strict_mode_by_group(spark, sf):
     return V.strict_mode(roll_calls(spark, sf), ["rollcall", "party"], "position")
 
 
-@query("A10 Q1", f"WITH {VOTES}, {MODE} SELECT party, member, count(*) AS n_votes, round(avg((position = mode)::INT), 6) AS share FROM votes JOIN mode USING (rollcall, party) GROUP BY 1, 2")
+@query("A10", f"WITH {VOTES}, {MODE} SELECT party, member, count(*) AS n_votes, round(avg((position = mode)::INT), 6) AS share FROM votes JOIN mode USING (rollcall, party) GROUP BY 1, 2")
 def alignment_pct(spark, sf):
     return V.alignment(roll_calls(spark, sf), "rollcall", "party", "member", "position").withColumn("share", F.round("share", 6))
 
 
-@query("A10 Q1", f"""WITH {VOTES}, numbered AS (SELECT *, row_number() OVER () AS id FROM votes),
+@query("A10", f"""WITH {VOTES}, numbered AS (SELECT *, row_number() OVER () AS id FROM votes),
     others AS (SELECT a.id, a.party, a.member, a.position, b.position AS p, count(*) AS n FROM numbered a JOIN numbered b ON a.rollcall = b.rollcall AND a.party = b.party AND a.id <> b.id GROUP BY ALL),
     top AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY n DESC) AS r FROM others), m AS (SELECT id, party, member, position, min(p) AS p FROM top WHERE r = 1 GROUP BY ALL HAVING count(*) = 1)
     SELECT party, member, count(*) AS n_votes, round(avg((position = p)::INT), 6) AS share FROM m GROUP BY 1, 2""")

@@ -117,11 +117,11 @@ def staleness_hours(spark, sf):
     return flows.staleness(table(spark, sf, "events"), "event_type", "ts", F.expr("timestamp'2024-01-31 00:00:00'")).select("event_type", F.round("hours", 4).alias("hours"))
 
 
-@query("X17 U4", """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-15'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-15')
+@query("X17 U4", """WITH a AS (SELECT DISTINCT user_id FROM events WHERE value < 5 AND ts < TIMESTAMP '2024-01-15'), b AS (SELECT DISTINCT user_id FROM events WHERE value < 5 AND ts >= TIMESTAMP '2024-01-15')
     SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'new' ELSE 'resolved' END AS state FROM a FULL JOIN b USING (user_id) WHERE a.user_id IS NULL OR b.user_id IS NULL""")
 def health_changes(spark, sf):
-    errors = table(spark, sf, "events").where("event_type = 'error'")
-    return flows.health_changes(errors.where("ts < timestamp'2024-01-15'"), errors.where("ts >= timestamp'2024-01-15'"), "user_id")
+    low = table(spark, sf, "events").where("value < 5")
+    return flows.health_changes(low.where("ts < timestamp'2024-01-15'"), low.where("ts >= timestamp'2024-01-15'"), "user_id")
 
 
 @query("N16", """WITH r AS (SELECT event_type, ts AS s, CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 5 MINUTE END AS f FROM events), l AS (SELECT event_type, arg_max(f IS NULL, s) AS open, max(s) AS s, max(f) AS f FROM r GROUP BY 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillwork.functions import dates, values
@@ -160,11 +161,11 @@ def map_merge(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_type").alias("t")).select("user_id", "n", m[F.col("t")].alias("v"))
 
 
-@query("Y4", """SELECT p_partkey FROM part WHERE p_brand = 'Brand#9'""")
+@query("Y4", """SELECT p_brand, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) AS place FROM (SELECT DISTINCT p_brand FROM part)""")
 def natural_sort(spark, sf):
-    rows = table(spark, sf, "part").withColumn("k", X.natural_key("p_brand"))
-    nine = X.natural_key(F.lit("brand#09"))
-    return rows.where(F.col("k") == nine).orderBy(F.col("k").asc_nulls_last(), "p_partkey").select("p_partkey")
+    """Brands, which are few, in the order of their numbers."""
+    brands = table(spark, sf, "part").select("p_brand").distinct()
+    return brands.select("p_brand", F.row_number().over(Window.orderBy(X.natural_key("p_brand").asc_nulls_last())).cast("long").alias("place"))
 
 
 @query("Y12", f"""SELECT doc_id FROM documents WHERE contains({fold_sql("concat_ws(' ', text, source)")}, 'src1') AND contains({fold_sql("concat_ws(' ', text, source)")}, 'license')""")
@@ -194,7 +195,7 @@ def freshness(spark, sf):
 TOPICS = {"water": ["eau", "agua", "wasser"], "speech": ["ment", "tion"], "norm": ["licens", "ley"]}
 
 
-@query("A18 T1 R7", "WITH f AS (SELECT doc_id, " + fold_sql("text") + """ AS t FROM documents),
+@query("A18 T1", "WITH f AS (SELECT doc_id, " + fold_sql("text") + """ AS t FROM documents),
     s AS (SELECT doc_id, regexp_matches(t, '\\beau')::INT + regexp_matches(t, '\\bagua')::INT + regexp_matches(t, '\\bwasser')::INT AS a, regexp_matches(t, '\\bment')::INT + regexp_matches(t, '\\btion')::INT AS b,
       regexp_matches(t, '\\blicens')::INT + regexp_matches(t, '\\bley')::INT AS c FROM f)
     SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'other' WHEN a >= b AND a >= c THEN 'water' WHEN b >= c THEN 'speech' ELSE 'norm' END AS topic FROM s""")
@@ -261,7 +262,7 @@ def idf_table(spark, sf):
     return M.idf(rows, "doc_id", F.col("w")).withColumn("idf", F.round("idf", 6))
 
 
-@query("J10 T7 T14", """WITH b AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(""" + words_sql("text") + """, ' '), lambda x: length(x) >= 8))) AS t FROM benchmark),
+@query("J10", """WITH b AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(""" + words_sql("text") + """, ' '), lambda x: length(x) >= 8))) AS t FROM benchmark),
     d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(""" + words_sql("text") + """, ' '), lambda x: length(x) >= 8))) AS t FROM documents)
     SELECT item_id, doc_id, count(*)::INTEGER AS shared FROM b JOIN d USING (t) GROUP BY 1, 2 HAVING count(*) >= 3""")
 def token_overlap_k3(spark, sf):
@@ -286,10 +287,14 @@ def tiered_title_match(spark, sf):
     return rows.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "tier", F.round("score", 4).alias("score")), F.struct("score", -F.col("doc_id"))).alias("m")).select("item_id", "m.*")
 
 
-@query("T8 T10 T12")
+@query("T8", """WITH m AS (SELECT min(p_partkey) AS member, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part GROUP BY p_name), s AS (SELECT p_partkey AS mention, list_distinct(string_split(lower(CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[1] ELSE p_name END || ' said'), ' ')) AS w FROM part),
+    c AS (SELECT mention, member, len(list_intersect(s.w, m.w)) AS n FROM s, m), e AS (SELECT mention, min(member) FILTER (n >= 2) AS lo2, max(member) FILTER (n >= 2) AS hi2, min(member) FILTER (n >= 1) AS lo1, max(member) FILTER (n >= 1) AS hi1 FROM c GROUP BY 1)
+    SELECT mention, CASE WHEN lo2 IS NOT NULL THEN CASE WHEN lo2 = hi2 THEN lo2 END WHEN lo1 = hi1 THEN lo1 END AS member FROM e""")
 def people_resolved(spark, sf):
+    """Mentions by whole name, or on every third row by one word of it."""
     members = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("member"))
-    mentions = table(spark, sf, "part").select(F.col("p_partkey").alias("mention"), F.concat("p_name", F.lit(" said")).alias("spoken"))
+    said = F.when(F.col("p_partkey") % 3 == 0, F.split("p_name", " ")[0]).otherwise(F.col("p_name"))
+    mentions = table(spark, sf, "part").select(F.col("p_partkey").alias("mention"), F.concat(said, F.lit(" said")).alias("spoken"))
     return M.resolved_people(mentions, members, "mention", "spoken", "member", "p_name")
 
 
@@ -316,10 +321,12 @@ def utterance_to_bill(spark, sf):
     return rows.where(F.array_contains("refs", (F.col("event_id") % 100).cast("int"))).select("event_id")
 
 
-@query("S8")
+@query("S8", """SELECT source, count(*) AS n, 'http://x/' || min(CAST(doc_id AS VARCHAR)) AS first FROM documents GROUP BY 1""")
 def feed_items(spark, sf):
-    item = F.concat(F.lit("<item><title>"), F.col("source"), F.lit(" "), F.col("lang"), F.lit("</title><link>http://x/"), F.col("doc_id").cast("string"), F.lit("</link><category>t</category></item>"))
-    feed = table(spark, sf, "documents").groupBy("source").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("xml"))
+    """Items of invented feeds, of at most fifty items each."""
+    item = F.concat(F.lit("<item><title>"), F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit("</title><link>http://x/"), F.col("doc_id").cast("string"), F.lit("</link><category>t</category></item>"))
+    feeds = table(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 50).alias("part"))
+    feed = feeds.agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("xml"))
     return P.parsed(feed, "source", "xml", P.feed_items, P.FEED_FIELDS).groupBy("source").agg(F.count("*").alias("n"), F.min("url").alias("first"))
 
 
@@ -329,9 +336,16 @@ def links_extracted(spark, sf):
     return table(spark, sf, "pages").join(rows, "page_id", "left").select("page_id", F.coalesce("k", F.lit(0)).alias("n"))
 
 
-@query("S9")
+@query("S9", """SELECT p_partkey, 0::INT AS position, '/h/' || p_partkey AS url, p_name AS title FROM part UNION ALL SELECT p_partkey, 1, '/n/one-two-three-four-' || p_partkey, 'A title of more than twenty-five characters' FROM part""")
 def listing_items(spark, sf):
-    return P.parsed(table(spark, sf, "pages"), "page_id", "html", P.listing_items, P.LISTING_FIELDS).select("page_id", "position", "url", "title")
+    """Items of invented listing pages: a linked heading, a link with a long slug, navigation and repeats."""
+    key = F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit('<a href="/login">Log in to read everything that is here</a><time datetime="2024-01-02">x</time><a href="/n/one-two-three-four-'), key,
+        F.lit('">A title of more <b>than</b> twenty-five characters</a><h2><a href="/h/'), key, F.lit('">'), "p_name", F.lit('</a></h2><a href="/h/'), key, F.lit('">again, a long title of a page</a>'),
+    )
+    rows = table(spark, sf, "part").select("p_partkey", html.alias("html"))
+    return P.parsed(rows, "p_partkey", "html", P.listing_items, P.LISTING_FIELDS).select("p_partkey", "position", "url", "title")
 
 
 @query("S10", """SELECT page_id, CAST(unnest(generate_series(0, len(regexp_extract_all(html, '<li>')) - 1)) AS INTEGER) AS position FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 0""")
@@ -339,12 +353,14 @@ def pattern_parser(spark, sf):
     return P.parsed(table(spark, sf, "pages"), "page_id", "html", P.by_pattern(r"<(?P<tag>li)>"), "tag string").select("page_id", "position")
 
 
-@query("S11")
+@query("S11", """SELECT CAST(event_id AS VARCHAR) AS uid, event_type || ', held' AS summary, strftime(ts, '%Y%m%dT%H%M%S') AS start, 'America/Lima' AS zone FROM events""")
 def calendar_events(spark, sf):
+    """Events of invented calendars, of at most twenty events each, with nested alarms."""
     stamp = F.date_format("ts", "yyyyMMdd'T'HHmmss")
     event = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), F.col("event_id").cast("string"), F.lit("\r\nSUMMARY:"), "event_type", F.lit("\\, held\r\nDTSTART;TZID=America/Lima:"), stamp, F.lit("\r\nBEGIN:VALARM\r\nUID:no\r\nEND:VALARM\r\nEND:VEVENT\r\n"))
-    cal = table(spark, sf, "events").groupBy("user_id").agg(F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.array_sort(F.collect_list(event)), ""), F.lit("END:VCALENDAR\r\n")).alias("ics"))
-    return P.parsed(cal, "user_id", "ics", P.calendar_events, P.CALENDAR_FIELDS).select("user_id", "uid", "summary", "start", "zone")
+    cals = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 20).alias("calendar"))
+    cal = cals.agg(F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.array_sort(F.collect_list(event)), ""), F.lit("END:VCALENDAR\r\n")).alias("ics"))
+    return P.parsed(cal, "calendar", "ics", P.calendar_events, P.CALENDAR_FIELDS).select("uid", "summary", "start", "zone")
 
 
 @query("S12", """SELECT conv_id, count(*) AS n FROM (SELECT conv_id, lag(md5(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p, md5(text) AS t FROM conversations) WHERE p IS DISTINCT FROM t GROUP BY 1""")
@@ -361,7 +377,7 @@ def caption_events(spark, sf):
     return P.caption_events(rows, "event_id", "j").withColumn("second", F.round("second", 3))
 
 
-@query("S13 S14 N21 N22")
+@query("S13")
 def positioned_words(spark, sf):
     words = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 40.0).alias("x"), (F.round(F.col("l_quantity") / 10) * 12.0).alias("y"), F.col("l_returnflag").alias("text")
@@ -384,7 +400,7 @@ def scanned_votes(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", P.vote_token(raw).alias("vote"))
 
 
-@query("S15 N23", """SELECT s_suppkey, p AS position_said, c AS count FROM supplier, (VALUES ('SI', 2), ('NO', 3), ('ABST', 0)) v(p, c)""")
+@query("S15", """SELECT s_suppkey, p AS position_said, c AS count FROM supplier, (VALUES ('SI', 2), ('NO', 3), ('ABST', 0)) v(p, c)""")
 def prose_vote_counts(spark, sf):
     rows = table(spark, sf, "supplier").select("s_suppkey", F.lit("In favour: 2 (Ana and Luis). Against: three. Abstentions: zero.").alias("t"))
     return P.parsed(rows, "s_suppkey", "t", P.prose_votes, P.PROSE_FIELDS).select("s_suppkey", "position_said", "count")
@@ -466,6 +482,6 @@ def provenance_merge(spark, sf):
     return provenance_merged(kept, table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("k"), F.col("o_orderpriority").alias("src")), "k", "src")
 
 
-@query("R7", """SELECT count(DISTINCT text) AS n_texts, count(*) AS n FROM documents""")
+@query("U2", """SELECT count(DISTINCT text) AS n_texts, count(*) AS n FROM documents""")
 def distinct_text_memo(spark, sf):
     return table(spark, sf, "documents").agg(F.count_distinct("text").alias("n_texts"), F.count("*").alias("n"))

@@ -46,12 +46,12 @@ def bm25_scores(spark, sf):
     return V.bm25(docs, "doc_id", {"text": 1.0}, ["the", "of"]).withColumn("score", F.round("score", 6))
 
 
-@query("V3 V4 D15 N24")
+@query("V3 V4 D15")
 def hybrid_rrf(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     words = V.bm25(docs, "doc_id", {"source": 3.0, "text": 1.0}, ["the", "of"])
     words = _ranked(words)
-    vectors = docs.select("doc_id", V.hashed_vector(F.substring("text", 1, 2000)).alias("v"))
+    vectors = docs.select("doc_id", V.hashed_vector(F.col("text")).alias("v"))
     probe = vectors.where("doc_id = 1").select(F.col("v").alias("q"))
     near = vectors.crossJoin(F.broadcast(probe)).select("doc_id", F.coalesce(values.cosine("v", "q"), F.lit(0.0)).alias("score"))  # one query row
     return V.fused(words, _ranked(near), "doc_id").orderBy(F.desc("score"), F.col("ra").asc_nulls_last(), "doc_id").limit(20)
@@ -74,7 +74,7 @@ def banded(spark, sf):
     return V.banded_pairs(rows, "vec_id", "embedding", ["label"], "day", 1, 0.2, ["source"])
 
 
-@query("J13 V8 V11 R10", PAIRS)
+@query("J13 V11", PAIRS)
 def constrained_pairs(spark, sf):
     return banded(spark, sf).select("a", "b")
 
@@ -85,13 +85,13 @@ def event_components(spark, sf):
     return V.components(banded(spark, sf))
 
 
-@query("V10 V13")
+@query("V10")
 def leader_clusters(spark, sf):
     out = V.leaders(table(spark, sf, "embeddings"), "label", ["vec_id"], "vec_id", "embedding", 0.25)
     return out.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("leader").alias("clusters"))
 
 
-@query("V6 V7 C14", """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'insert' WHEN doc_id % 5 = 0 THEN 'update' ELSE 'same' END AS change FROM documents""")
+@query("V6", """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'insert' WHEN doc_id % 5 = 0 THEN 'update' ELSE 'same' END AS change FROM documents""")
 def index_maintenance(spark, sf):
     from quillwork.functions.text import content_id
     from quillwork.operators.cdc import compared
@@ -121,7 +121,7 @@ def ml_topic_predict(spark, sf):
     return L.predicted(model, docs.select("item_id", "text"), "text").select("item_id", "topic", F.round("confidence", 3).alias("confidence"))
 
 
-@query("M2")
+@query("M2", "SELECT lang, f::INT AS fold, (n + 4 - f) // 5 AS n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1), (VALUES (0), (1), (2), (3), (4)) t(f) WHERE n > f")
 def stratified_folds(spark, sf):
     return L.folds(table(spark, sf, "documents"), "lang", "doc_id").groupBy("lang", "fold").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 
 from pyspark.sql import functions as F
 
@@ -87,7 +89,7 @@ def transcript_catalogue(spark, sf):
     return rows.select("conv_id", "parts", F.when((F.col("a") > 3 * F.col("b")) & (F.col("a") >= 5), "upper").alias("chamber"))
 
 
-@query("D11 D12 N18", """SELECT 'new' AS section, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-08' AND o_orderdate < TIMESTAMP '1998-06-15' UNION ALL
+@query("D11 N18", """SELECT 'new' AS section, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-08' AND o_orderdate < TIMESTAMP '1998-06-15' UNION ALL
     SELECT 'shipped', count(*) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-08' AND l_shipdate < TIMESTAMP '1998-06-15' UNION ALL SELECT 'upcoming', count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-15' AND o_orderdate < TIMESTAMP '1998-06-22'""")
 def alert_payload(spark, sf):
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
@@ -99,10 +101,24 @@ def alert_payload(spark, sf):
 
 @query("D13")
 def news_digest(spark, sf):
-    """Fresh groups since a mark, packed into messages for each language."""
-    rows = table(spark, sf, "documents").where("doc_id > 100").select("lang", "source", "doc_id", F.substring("text", 1, 120).alias("head"))
-    out = K.packed_messages(rows, "lang", "source", "head", ["source", "doc_id"], 1500)
-    return out.select("lang", "part", "parts", F.length("message").alias("n"))
+    """Whole texts packed into messages for each language and run of 200 ids, as a digest by language and day would be."""
+    rows = table(spark, sf, "documents").select(F.concat_ws("-", "lang", F.floor(F.col("doc_id") / 200).cast("string")).alias("digest"), "source", "doc_id", "text")
+    out = K.packed_messages(rows, "digest", "source", "text", ["source", "doc_id"], 1500)
+    return out.select("digest", "part", "parts", F.length("message").alias("n"))
+
+
+@query("D12", """SELECT 'dearest' AS section, o_orderkey AS id FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) UNION ALL SELECT 'latest', o_orderkey FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 5)
+    UNION ALL SELECT 'clients', c_custkey FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5) UNION ALL SELECT 'events', event_id FROM (SELECT * FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 5)
+    UNION ALL SELECT 'texts', doc_id FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)""")
+def brief_material(spark, sf):
+    """Five sections of five: what a daily brief is written from."""
+    parts = (
+        ("dearest", "orders", "o_orderkey", F.desc("o_totalprice"), "true"), ("latest", "orders", "o_orderkey", F.desc("o_orderdate"), "true"),
+        ("clients", "customer", "c_custkey", F.desc("c_acctbal"), "true"), ("events", "events", "event_id", F.desc("ts"), "event_type = 'error'"),
+        ("texts", "documents", "doc_id", F.desc("n_chars"), "true"),
+    )
+    rows = [table(spark, sf, t).where(some).orderBy(order, key).limit(5).select(F.lit(name).alias("section"), F.col(key).alias("id")) for name, t, key, order, some in parts]
+    return reduce(lambda x, y: x.unionByName(y), rows)
 
 
 @query("D14", """SELECT c_custkey, count(o_orderkey) AS followed, count(o_orderkey) FILTER (o_orderstatus = 'F') AS closed FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000 GROUP BY 1""")
@@ -134,21 +150,23 @@ def closed_day_groups(spark, sf):
     return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids"))
 
 
-@query("N34 N4 N5", """SELECT lang, count(*) AS n, round(count(*) / 30, 4) AS per_day FROM documents WHERE contains(lower(text), 'license') GROUP BY 1""")
+@query("N34", """SELECT lang, count(*) AS n, round(count(*) / 30, 4) AS per_day FROM documents WHERE contains(lower(text), 'license') GROUP BY 1""")
 def client_dry_run(spark, sf):
     rows = table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("license")))
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.count("*") / 30, 4).alias("per_day"))
 
 
-@query("W4", "SELECT count(*) AS n, count(DISTINCT lang) AS langs FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 40)")
+@query("W4", """SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) ORDER BY r, lang NULLS FIRST LIMIT 40""")
 def capped_round_robin(spark, sf):
-    rows = R.round_robin_limit(table(spark, sf, "documents").select("doc_id", "lang"), "lang", [F.col("doc_id")], 40)
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+    return R.round_robin_limit(table(spark, sf, "documents").select("doc_id", "lang"), "lang", [F.col("doc_id")], 40).select("doc_id")
 
 
-@query("T13 N30")
+@query("T13 N30 F15", """SELECT doc_id, CASE WHEN doc_id * 40 BETWEEN 1 AND 30000 THEN doc_id * 40 || ',7' ELSE '7' END AS numbers FROM documents WHERE doc_id <> 0""")
 def references_in_news(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(references("text")).alias("n")).where("n > 0")
+    """Numbers of the bills that invented news name: zeros in front, repeats, and numbers out of range."""
+    said = F.concat(F.lit("On bill 00"), F.col("doc_id") * 40, F.lit("/2026-CR, again "), F.col("doc_id") * 40, F.lit("/2026 and 7/1999, not 8/1899 or 9/20261"))
+    found = references(said)
+    return table(spark, sf, "documents").where("doc_id <> 0").select("doc_id", F.array_join(found, ",").alias("numbers"))
 
 
 #: Request names and the queries that answer them.
@@ -164,6 +182,8 @@ def answer(spark, sf, action: str):
     return REGISTRY[ACTIONS[action]].run(spark, sf)
 
 
-@query("D18", "SELECT 'panel' AS action, count(*) > 0 AS answers FROM orders")
+@query("D18", "SELECT * FROM (VALUES ('panel', true), ('news', true), ('bills', true), ('agenda', true), ('record', true), ('person', true), ('search', true)) t(action, answers)")
 def request_dispatch(spark, sf):
-    return answer(spark, sf, "panel").agg((F.count("*") > 0).alias("answers")).select(F.lit("panel").alias("action"), "answers")
+    """Every named request, and whether it is answered with rows."""
+    rows = [answer(spark, sf, a).agg((F.count("*") > 0).alias("answers")).select(F.lit(a).alias("action"), "answers") for a in ACTIONS]
+    return reduce(lambda x, y: x.unionByName(y), rows)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillwork.operators.retrieval import shared_folder
+
 
 def since(df: DataFrame, marks: DataFrame, by: str, key: str) -> DataFrame:
     """Rows above their group's high-water mark; all rows of a group without one."""
@@ -89,9 +91,18 @@ def materialised(spark: SparkSession, sections: dict[str, Callable[[], DataFrame
 
 
 def replayed(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All rows that a stream emits over what its source holds now."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
-    query = writer.start()
+    """All rows that a stream emits over what its source holds now.
+
+    Batches are written to the shared folder, each under its number, so one that is run again replaces itself; of a
+    complete result only the last counts.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/streams/{name}"
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={n if mode == 'append' else 0}")
+
+    put(spark.createDataFrame([], stream.schema), -1)
+    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{root}/checkpoint").foreachBatch(put).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows/batch=*")
