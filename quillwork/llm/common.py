@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -95,16 +96,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes written tables that nothing reads any more.
+def discard(*tables: DataFrame, release: bool = False) -> None:
+    """Removes written tables that nothing reads any more, and with `release` the shuffle files of finished jobs.
 
-    Spark's cleaner removes the shuffle files of finished jobs when the driver collects its garbage, which is asked for
-    here: else they stay on the executors' disks until the application ends.
+    Spark's cleaner removes these when the driver's heap is collected; else they stay on the executors' disks until the
+    application ends.  Python's references to plans reach the driver's heap about a second after they are dropped.
     """
     for each in tables:
         _delete(each.sparkSession, each.scratch_path)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2 if release else 0):  # what the first pass drops may hold more
+        gc.collect()
+        time.sleep(1.2)
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def held_out(doc_id) -> F.Column:

@@ -267,7 +267,7 @@ def class_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
     if again.limit(1).count():  # rows that repeat, maybe many times: one of each
         out = out.union(rows.join(again, ["row1", "row2"]).select("cls", "text").dropDuplicates(["cls"]))
     out = written(out, "texts")
-    discard(again)
+    discard(again, release=True)
     return out
 
 
@@ -352,7 +352,7 @@ def link_classes(said: DataFrame, found: DataFrame, shingle: int, percent: int)
     members = written(rows.where("lead <> most").drop("most"), "members")
     needed = written(members.select("cls").distinct(), "needed")  # written: a join of two plain shuffles can split hot keys
     sketches = written(found.select("cls", "n", *_SKETCH, "wide").join(needed, "cls", "left_semi"), "sketches")
-    discard(needed)
+    discard(needed, release=True)
 
     heads = F.explode(F.array_distinct(F.array("lead", *[f"lead{r}" for r in range(LEADERS)]))).alias("head")
     stars = members.select("cls", heads).where("cls <> head")
@@ -407,7 +407,7 @@ def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     found = classes(own)
     said = class_texts(docs, found)
     labels = link_classes(said, found, shingle, percent).withColumnRenamed("node", "cls")
-    discard(said)
+    discard(said, release=True)
     names = found.select("cls", "c1", "c2").join(labels, "cls", "left").select("c1", "c2", F.coalesce("label", "cls").alias("label"))
     names = written(names, "names")
     out = written(own.select("id", "row1", "row2", "n_shingles", "c1", "c2").join(names, ["c1", "c2"], "left").drop("c1", "c2"), "named")

@@ -119,13 +119,13 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, bit
     anchors = written(anchors, "anchors")
     shared = contents.join(anchors, "anchor").select("anchor", "content", "source", (F.col("copies") > 1).alias("repeated"), "branches")
     shared = written(shared, "shared")
-    discard(contents, anchors)
+    discard(contents, anchors, release=True)
 
     single = "branches and (not repeated or (t1 = source.t1 and t2 = source.t2 and lo = source.lo))"
     placed = found.join(shared, ["anchor", "content"]).where(f"repeated or ({single})")
     one = F.struct("lo", "n", "anchor", "content", "repeated", F.expr(single).alias("expand"), (F.col("copies") > 1).alias("twice"))
     placed = written(placed.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(one)).alias("places")), "placed")
-    discard(found, shared)
+    discard(found, shared, release=True)
 
     read = written(_read(keyed, placed, window), "read")
     paths = read.where("not edge")
@@ -144,7 +144,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, bit
     alone = edges.join(places, ["k1", "k2"], "left_semi")
     spans = paths.select("t1", "t2", "at", "n").union(alone.select("t1", "t2", "at", "n"))
     spans = written(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct(F.col("at").alias("lo"), "n")).alias("spans")), "spans")
-    discard(placed, read, differ, places)
+    discard(placed, read, differ, places, release=True)
     return spans
 
 
