@@ -6,14 +6,20 @@ compares all texts with all texts.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import distinct_words, fold, title_kernel
 from quillwork.functions.values import sequence_ratio
 
+#: A catalogue of so many characters at most, counted first, is looked up by one automaton in every task.
+CATALOGUE = 500_000
+#: Bytes of one Arrow batch of texts.
+BATCH_BYTES = "8m"
+
 
 def hits(text: Column, patterns: Sequence[str]) -> Column:
     """How many of the patterns the text matches."""
@@ -94,16 +100,60 @@ def token_overlap(
 def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """The longest catalogue name that stands in each text, ties to the least; rows without one are left out.
 
-    Texts and names are folded and meet as in `_meetings`; containment is then checked, so a name may also stand within
-    longer words.  Null and empty texts and names match nothing; repeated names count once.
+    Texts and names are folded and meet as in `_held`: a name may also stand within longer words.  Null and empty texts
+    and names match nothing, texts without a key are left out; repeated names count once.
     """
     n = names.select(F.col(name).alias("_name"), fold(name).alias("_plain")).where("_plain <> ''").distinct()
-    t = texts.select(F.col(key), fold(text).alias("_text"))
-    found = _meetings(t, n, key).join(t, key).where(F.contains("_text", F.col("_plain")))
+    found = _held(texts.select(F.col(key), fold(text).alias("_text")), n, key)
     best = F.min_by("_name", F.struct(-F.length("_plain"), F.col("_name")))
     return found.groupBy(key).agg(best.alias(name))
 
 
+def _counted(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows, computed once if all their columns have CATALOGUE characters at most, and whether they have."""
+    size = rows.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()["size"] or 0
+    return (rows.sparkSession.createDataFrame(rows.collect(), rows.schema), True) if size <= CATALOGUE else (rows, False)
+
+
+def _held(t: DataFrame, n: DataFrame, key: str) -> DataFrame:
+    """(key, _length of the text, the columns of `n`): the texts `t` (key, _text) that hold pieces `n` (..., _plain).
+
+    Pieces of CATALOGUE characters at most, all their columns counted, are looked up in one pass over the texts, which are
+    not shuffled; more meet the texts as in `_meetings`.  The result is the same.
+    """
+    t = t.where(F.col(key).isNotNull())
+    n, few = _counted(n)
+    if not few:
+        found = _meetings(t, n, key).join(t, key).where(F.contains("_text", F.col("_plain")))
+        return found.select(key, F.length("_text").alias("_length"), *n.columns)
+    rows = n.collect()
+    number = {piece: i for i, piece in enumerate(sorted({r["_plain"] for r in rows} - {"", None}))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for piece, i in number.items():
+            machine.add_word(piece, i)
+        machine.make_automaton()
+        for batch in batches:
+            at, lengths, pieces = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist() if number else ()):
+                found = {i for _, i in machine.iter(text)} if text else ()
+                at.extend([k] * len(found))
+                lengths.extend([len(text or "")] * len(found))
+                pieces.extend(found)
+                if len(at) > 100_000 or (at and k + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(lengths, pa.int32()), pa.array(pieces, pa.int32())], ["key", "length", "piece"])
+                    at, lengths, pieces = [], [], []
+
+    t.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    kind = t.schema[key].dataType.simpleString()
+    found = t.select(F.col(key).alias("key"), "_text").mapInArrow(run, f"key {kind}, length int, piece int").toDF(key, "_length", "_piece")
+    known = t.sparkSession.createDataFrame([(number.get(r["_plain"]), *r) for r in rows], "_piece int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in n.schema))
+    return found.join(F.broadcast(known), "_piece").drop("_piece")  # counted above
+
+
 def _meetings(t: DataFrame, n: DataFrame, key: str) -> DataFrame:
     """The pairs of texts `t` (key, _text) and pieces `n` (..., _plain) that may hold one another: all that do, and more.
 
@@ -136,19 +186,21 @@ def tiered_titles(
 
     Tail: the longest part, from the last place of a bridge phrase on, that has `tail` characters and stands in the text,
     scores 0.8 times its share of the text; kernel: the whole title without boilerplate, its share.  The first of the two
-    that reaches `least` ends the search; both meet texts as in `_meetings`, whatever their tokens.  Else tokens of
+    that reaches `least` ends the search; both meet texts as in `_held`, whatever their tokens.  Else tokens of
     `token` letters: at least `overlap` shared, the title's rarest among them with an IDF of `rarest` over all titles, and
-    a share of `ratio`; half the share is the score.  Only this tier meets on the rarest token.
+    a share of `ratio`; half the share is the score.  Only this tier meets on the rarest token.  Texts without a key are
+    left out.
     """
     every = titles.select(title_key, title_kernel(title, boilerplate).alias("_k")).where("_k is not null").withColumn("_tb", distinct_words("_k", token))
+    every, few = _counted(every)
     b = every.where(F.length("_k") >= kernel)
     a = texts.select(key, fold(text).alias("_text"))
 
     tails = F.array_distinct(F.array(*[F.regexp_extract("_k", rf"(?s)^.* (\Q{x}\E .*)$", 1) for x in bridges]))
     tails = b.select(title_key, F.explode(tails).alias("_plain"), F.lit(True).alias("_tail")).where(F.length("_plain") >= tail)
     pieces = tails.union(b.select(title_key, "_k", F.lit(False))).distinct()
-    held = _meetings(a, pieces, key).join(a, key).where(F.contains("_text", F.col("_plain")))
-    share = F.length("_plain") / F.length("_text")
+    held = _held(a, pieces, key)
+    share = F.length("_plain") / F.col("_length")
     held = held.select(key, title_key, F.when(F.col("_tail"), share * 0.8).alias("_a"), F.when(~F.col("_tail"), share).alias("_b"))
     held = held.groupBy(key, title_key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     score = F.when(F.col("_a") >= least, F.col("_a")).when(F.col("_b") >= least, F.col("_b"))
@@ -159,10 +211,14 @@ def tiered_titles(
     rank = Window.partitionBy(title_key).orderBy(F.desc("idf"), "token")
     rare = b.select(title_key, F.explode("_tb").alias("token")).join(weights, "token").withColumn("_r", F.row_number().over(rank))
     rare = rare.where((F.col("_r") == 1) & (F.col("idf") >= rarest)).select(title_key, F.col("token").alias("_rare"))
-    words = a.select(key, distinct_words("_text", token).alias("_ta"))
-    meet = words.select(key, F.explode("_ta").alias("_rare")).join(rare, "_rare")
+    rare = rare.join(b.select(title_key, "_tb"), title_key)
+    words = texts.where(F.col(key).isNotNull()).select(key, distinct_words(text, token).alias("_ta"))
+    if few:  # texts are not shuffled; outer, so that no filter computes their words a second time
+        meet = words.select(key, "_ta", F.explode_outer("_ta").alias("_rare")).join(F.broadcast(rare), "_rare")
+    else:
+        meet = words.select(key, F.explode("_ta").alias("_rare")).join(rare, "_rare").join(words, key)
     shared = F.size(F.array_intersect("_ta", "_tb"))
-    rows = meet.join(words, key).join(b, title_key).where((shared >= overlap) & (shared / F.size("_tb") >= ratio))
+    rows = meet.where((shared >= overlap) & (shared / F.size("_tb") >= ratio))
     rows = rows.select(key, title_key, (shared / F.size("_tb") * 0.5).alias("score"), F.lit("tokens").alias("tier"), F.lit(1).alias("_p"))
     first = F.min_by(F.struct("score", "tier"), "_p").alias("_m")
     return held.union(rows).groupBy(key, title_key).agg(first).select(key, title_key, "_m.score", "_m.tier")

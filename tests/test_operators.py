@@ -100,7 +100,9 @@ def brute_titles(said, names, bridges):
     return sorted(out)
 
 
-def test_titles_meet_texts_in_every_tier(spark):
+@pytest.mark.parametrize("most", [matching.CATALOGUE, 0])
+def test_titles_meet_texts_in_every_tier(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "CATALOGUE", most)
     names = [(1, "extraordinary reform of the law on lakes and rivers"), (2, "water law"), (3, "transparency of the budget"), (4, "tiny"), (5, "clean air now"), (6, "ab cd ef")]
     names += [(10 + i, f"common{i % 3} subject number{i} clauses") for i in range(30)]
     said = [(1, "on the of the law on lakes and rivers today"), (2, "a saltwater lawsuit"), (3, "nontransparency of the budgets"), (4, "tiny"), (5, "an unclean air nowhere"), (6, "xab cd efx")]
@@ -108,7 +110,7 @@ def test_titles_meet_texts_in_every_tier(spark):
     bridges = ["of the", "of", "on"]
     expected = brute_titles(said, names, bridges)
     assert {t for *_, t in expected} == {"tail", "kernel", "tokens"} and {(1, 1), (2, 2), (3, 3), (5, 5), (6, 6)} <= {x[:2] for x in expected}
-    texts = spark.createDataFrame([*said, (11, None)], "i int, x string")
+    texts = spark.createDataFrame([*said, (11, None), (None, "clean air now")], "i int, x string")
     titles = spark.createDataFrame([*names, (99, None)], "j int, t string")
     found = matching.tiered_titles(texts, titles, "i", "x", "j", "t", ["proyecto"], bridges)
     assert rows(found.select("i", "j", F.round("score", 6), "tier")) == expected
