@@ -55,3 +55,43 @@ reach(r, other) AS (SELECT r, r FROM k UNION SELECT reach.r, e.b FROM reach JOIN
 c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.other GROUP BY 1)
 SELECT doc_id, coalesce(k.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN k USING (r) LEFT JOIN c USING (r)
 """
+
+OP11 = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS p FROM pages),
+h AS (SELECT page_id, p > 0 AS ok, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest FROM u),
+q AS (SELECT page_id, ok, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM h),
+c AS (SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)[.]', '') || regexp_replace(path, '/+$', '') ||
+  coalesce('?' || nullif(array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|ref|gclid|fbclid)=')), '&'), ''), '') AS canonical FROM q),
+listed AS (SELECT DISTINCT canonical FROM c WHERE ok AND regexp_matches(host, '(^|[.])(spam-farm|cheap-pills|free-casino)[.]')),
+r(rule, verdict, at_host, at_path) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
+  ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+f AS (SELECT c.*, rule, verdict, row_number() OVER (PARTITION BY n ORDER BY length(rule) DESC) AS k FROM (SELECT row_number() OVER () AS n, * FROM c) c
+  LEFT JOIN r ON (host = at_host OR ends_with(host, '.' || at_host)) AND starts_with(path, at_path))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN ok AND canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM f WHERE k = 1
+"""
+
+OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+least_id AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+l AS (SELECT doc_id, CAST(bool_or(coalesce(quality = 1, false)) AS BIGINT) AS good, CAST(bool_or(coalesce(toxic = 1, false)) AS BIGINT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END +
+  CASE WHEN 100 * len(regexp_extract_all(t.text, '[A-Z]')) > 2 * length(t.text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 8 ELSE 0 END +
+  CASE WHEN coalesce(t.doc_id > first, false) THEN 16 ELSE 0 END AS fails
+  FROM t JOIN least_id USING (text) LEFT JOIN l ON l.doc_id = t.doc_id),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, generate_series(1, 5) AS g(step)),
+k AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+steps AS (SELECT k.part, filter_order, step, bit,
+  coalesce(sum(n) FILTER (fails & (before + bit) = 0), 0) AS kept,
+  coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS removed,
+  coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS good_lost,
+  coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS toxic_lost FROM k, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM steps
+"""
