@@ -63,7 +63,7 @@ q AS (SELECT page_id, ok, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHI
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM h),
 c AS (SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)[.]', '') || regexp_replace(path, '/+$', '') ||
   coalesce('?' || nullif(array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|ref|gclid|fbclid)=')), '&'), ''), '') AS canonical FROM q),
-listed AS (SELECT DISTINCT canonical FROM c WHERE ok AND regexp_matches(host, '(^|[.])(spam-farm|cheap-pills|free-casino)[.]')),
+listed AS (SELECT DISTINCT canonical FROM c WHERE ok AND regexp_matches(host, '(^|[.])(spam-farm|cheap-pills|casino-win|free-bets|ads-track|adult-x)[.]')),
 r(rule, verdict, at_host, at_path) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
   ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
 f AS (SELECT c.*, rule, verdict, row_number() OVER (PARTITION BY n ORDER BY length(rule) DESC) AS k FROM (SELECT row_number() OVER () AS n, * FROM c) c
@@ -95,3 +95,28 @@ steps AS (SELECT k.part, filter_order, step, bit,
 SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM steps
 """
+
+#: crc32 of an ASCII text, byte by byte over the table of 256 remainders.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+
+OP13 = rf"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(n, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) ORDER BY n) AS t FROM range(256) AS r(n)),
+j AS (SELECT *, unnest(range(click_id % 3 + 1)) AS j FROM clicks WHERE click_id % 3 >= 0 AND arrived_at IS NOT NULL),
+k AS (SELECT *, {_CRC.format("click_id || ':' || j")} AS c FROM j, crc),
+h AS (SELECT click_id, CAST(floor(epoch_us(arrived_at) / 3600000000) AS BIGINT) + 6 * j * (c % 10) AS hour, c,
+  sha256(coalesce(CAST(client_id AS VARCHAR), '') || '|' || coalesce(kind, '') || '|' || coalesce(CAST(CAST(floor(100 * value + 0.5) AS BIGINT) AS VARCHAR), '') || '|' ||
+    coalesce(CAST(epoch_us(ts) AS VARCHAR), '') || '|' || coalesce(props, '') || '|' || (c % 3)) AS hash FROM k),
+l AS (SELECT *, hour + (c // 10) % 200 AS late FROM h),
+b AS (SELECT click_id, hour, hash, (late - min(late) OVER ()) * 10 // (max(late) OVER () - min(late) OVER () + 1) AS batch FROM l),
+tops AS (SELECT k AS batch, (SELECT max(hour) FROM b WHERE b.batch < k) AS m FROM range(11) AS r(k)),
+r AS (SELECT click_id, hour, hash, b.batch, row_number() OVER (PARTITION BY click_id ORDER BY b.batch, hour, hash) AS i FROM b JOIN tops USING (batch) WHERE m IS NULL OR hour >= m - 24),
+w(click_id, i, start_hour, opener, first_i) AS (
+  SELECT click_id, i, hour, hash, i FROM r WHERE i = 1
+  UNION ALL SELECT r.click_id, r.i, CASE WHEN again THEN start_hour ELSE hour END, CASE WHEN again THEN opener ELSE hash END, CASE WHEN again THEN first_i ELSE r.i END
+  FROM (SELECT r.*, w.start_hour, w.opener, w.first_i, hour <= start_hour + 48 AS again FROM w JOIN r ON r.click_id = w.click_id AND r.i = w.i + 1) AS r),
+g AS (SELECT w.click_id, w.start_hour, w.opener, w.first_i, count(*) - 1 AS n_repeats, count(*) FILTER (r.hash <> w.opener) AS n_conflicts,
+  coalesce(sum({_CRC.format("r.hash")}) FILTER (r.hash <> w.opener), 0) AS conflict_crc, min(r.batch) AS opened FROM w JOIN r USING (click_id, i), crc GROUP BY 1, 2, 3, 4),
+n AS (SELECT g.*, (SELECT min(batch) - 1 FROM tops WHERE batch > opened AND g.start_hour + 48 < m - 24) AS expired,
+  (SELECT r.batch FROM r WHERE r.click_id = g.click_id AND r.i = g.first_i + g.n_repeats + 1) AS followed FROM g)
+SELECT click_id, start_hour, CAST(least(coalesce(expired, 9), coalesce(followed, 9), 9) AS BIGINT) AS closed_batch, n_repeats, n_conflicts, CAST(conflict_crc AS BIGINT) AS conflict_crc, opener AS hash FROM n
+"""

@@ -34,7 +34,7 @@ TRACKING = "^(utm_[a-z]*|ref|gclid|fbclid)="
 #: The rules of the query (fixed values): host, start of the path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Hosts with one of these labels are the list's source in the query.
-JUNK_LABELS = ("spam-farm", "cheap-pills", "free-casino")
+JUNK_LABELS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
 
 
 def parts(url: str | Column) -> dict[str, Column]:
