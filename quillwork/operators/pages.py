@@ -7,12 +7,11 @@ Null coordinates place a word nowhere, so such words are dropped; empty tables g
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwork.streaming.folds import folded
+from .greedy import matched
 
 
 def skew(words: DataFrame, page: str, slopes: Sequence[float], tolerance: float = 2.5) -> DataFrame:
@@ -46,23 +45,13 @@ def paired(left: DataFrame, right: DataFrame, page: str, key: str, at: str, tole
     """Greedy one-to-one pairs of a page's items by distance: page, a, b, distance.
 
     The nearest two items that are both free make a pair, again and again; ties go to the lesser keys.  Candidates meet
-    in cells as wide as the tolerance, and stream by page in their order.
+    in cells as wide as the tolerance, and decide in parallel rounds, so one page of any size is no single task.
     """
     cell = lambda c: F.floor(F.col(c) / tolerance)
-    a = left.select(page, F.col(key).alias("a"), F.col(at).alias("_x")).withColumn("_c", F.explode(F.sequence(cell("_x") - 1, cell("_x") + 1)))
-    b = right.select(page, F.col(key).alias("b"), F.col(at).alias("_z")).withColumn("_c", cell("_z"))
-    near = a.join(b, [page, "_c"]).withColumn("distance", F.abs(F.col("_x") - F.col("_z"))).where(F.col("distance") <= tolerance)
-
-    def step(state: Any, row: dict) -> tuple[Any, list[tuple]]:
-        state = state or (set(), set())
-        if row["a"] in state[0] or row["b"] in state[1]:
-            return state, []
-        state[0].add(row["a"])
-        state[1].add(row["b"])
-        return state, [(row["a"], row["b"], row["distance"])]
-
-    kinds = [f"{n} {left.schema[key].dataType.simpleString()}" for n in ("a", "b")]
-    return folded(near.select(page, "a", "b", "distance"), [page], ["distance", "a", "b"], step, f"{', '.join(kinds)}, distance double")
+    a = left.select(F.col(page).alias("_p"), F.struct(page, F.col(key).alias("key")).alias("a"), F.col(at).alias("_x")).withColumn("_c", F.explode(F.sequence(cell("_x") - 1, cell("_x") + 1)))
+    b = right.select(F.col(page).alias("_p"), F.struct(page, F.col(key).alias("key")).alias("b"), F.col(at).alias("_z")).withColumn("_c", cell("_z"))
+    near = a.join(b, ["_p", "_c"]).withColumn("distance", F.abs(F.col("_x") - F.col("_z"))).where(F.col("distance") <= tolerance)
+    return matched(near.select("a", "b", "distance"), ["distance"]).select(F.col(f"a.{page}").alias(page), F.col("a.key").alias("a"), F.col("b.key").alias("b"), "distance")
 
 
 def box_words(boxes: DataFrame, keys: Sequence[str], votes: Sequence[str] = ("SI", "NO", "ABST")) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows from a table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/quillwork/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of `written` that nothing reads any more."""
+    for each in tables:
+        jvm = each.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(each.folder)
+        folder.getFileSystem(each.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def nearest(
@@ -193,44 +203,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels
 
 
-def leaders(rows: DataFrame, block: str, order: Sequence[str], key: str, vector: str, least: float) -> DataFrame:
-    """Greedy clustering in a total order: join the first leader that is similar enough, else lead.
-
-    The result depends on the order by definition, so each block is one sequence: it is streamed in order through its
-    task, which holds the leaders only.  Rows without a vector lead themselves.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, heads, names = object(), np.zeros((0, 0)), []  # heads: a matrix that grows by doubling
-        for batch in batches:
-            out = []
-            for b, k, v in zip(batch["block"], batch["key"], batch["v"], strict=True):
-                if b != now:
-                    now, names = b, []
-                x = None if v is None else np.asarray(v, float)
-                n = 0.0 if x is None else float(np.sqrt(x @ x))
-                leader = k
-                if n > 0:
-                    x = x / n
-                    close = np.flatnonzero(heads[: len(names)] @ x >= least) if names else []
-                    if len(close):
-                        leader = names[close[0]]
-                    else:
-                        if heads.shape[1] != len(x) or len(names) == len(heads):
-                            old = heads[: len(names)] if heads.shape[1] == len(x) else np.zeros((0, len(x)))
-                            heads = np.concatenate([old, np.zeros((max(16, len(old)), len(x)))])
-                        heads[len(names)] = x
-                        names.append(k)
-                out.append((b, k, leader))
-            yield pd.DataFrame(out, columns=["block", "key", "leader"])
-
-    kind = rows.schema[block].dataType.simpleString()
-    names = [f"o{i}" for i in range(len(order))]
-    plain = rows.select(F.col(block).alias("block"), F.col(key).alias("key"), F.col(vector).alias("v"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
-    found = plain.repartition("block").sortWithinPartitions("block", *names, "key").mapInPandas(run, f"block {kind}, key long, leader long")
-    return found.toDF(block, key, "leader")
-
-
 def verdicts(rows: DataFrame, key: Sequence[str], source: str, precedence: Sequence[str]) -> DataFrame:
     """One verdict a pair, from the most trusted source."""
     rank = F.array_position(F.array(*map(F.lit, precedence)), F.col(source))

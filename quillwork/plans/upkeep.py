@@ -56,7 +56,12 @@ def nearest_columns(spark, sf):
     return pages.nearest_column(words, columns, "page", 30.0).select("page", "l_linenumber", "column")
 
 
-@query("N22")
+@query("N22", """WITH RECURSIVE l AS (SELECT l_orderkey AS page, l_linenumber AS k, l_quantity * 1.0::DOUBLE AS x, fmod(l_extendedprice::DOUBLE, 50.0) AS z FROM lineitem),
+    p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY distance, a, b) AS n FROM (SELECT DISTINCT n.page, n.k AS a, m.k AS b, abs(n.x - m.z) AS distance FROM l n JOIN l m USING (page) WHERE abs(n.x - m.z) <= 6)),
+    r AS (SELECT page, n, a, b, distance, true AS made, [a] AS left_used, [b] AS right_used FROM p WHERE n = 1
+      UNION ALL SELECT page, n, a, b, distance, ok, CASE WHEN ok THEN list_append(left_used, a) ELSE left_used END, CASE WHEN ok THEN list_append(right_used, b) ELSE right_used END
+      FROM (SELECT p.*, r.left_used, r.right_used, NOT list_contains(r.left_used, p.a) AND NOT list_contains(r.right_used, p.b) AS ok FROM r JOIN p ON p.page = r.page AND p.n = r.n + 1))
+    SELECT page, a, b, distance FROM r WHERE made""")
 def greedy_pairs(spark, sf):
     """Names and marks of a page paired by height, nearest first."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("k"), "l_quantity", "l_extendedprice")

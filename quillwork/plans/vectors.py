@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillwork.functions import values
+from quillwork.operators import events as E
+from quillwork.operators import greedy as G
 from quillwork.operators import learning as L
 from quillwork.operators import retrieval as V
 from quillwork.session import table
 
 from .registry import query
+from .texts import fold_sql
 
 COS = "list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[])"
 
@@ -85,10 +88,56 @@ def event_components(spark, sf):
     return V.components(banded(spark, sf))
 
 
-@query("V10")
+def leaders_sql(least: float) -> str:
+    """The loop over sorted rows as a recursion, block by block, that carries the leaders."""
+    return f"""e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    r AS (SELECT label, n, vec_id, vec_id AS leader, [{{'k': vec_id, 'v': v}}] AS heads FROM e WHERE n = 1
+      UNION ALL SELECT label, n, vec_id, coalesce(f[1].k, vec_id), CASE WHEN len(f) = 0 THEN list_append(heads, {{'k': vec_id, 'v': v}}) ELSE heads END
+      FROM (SELECT e.*, r.heads, list_filter(r.heads, lambda h: list_cosine_similarity(h.v, e.v) >= {least}) AS f FROM r JOIN e ON e.label = r.label AND e.n = r.n + 1))"""
+
+
+@query("V10", f"WITH RECURSIVE {leaders_sql(0.25)} SELECT label, vec_id, leader FROM r")
 def leader_clusters(spark, sf):
-    out = V.leaders(table(spark, sf, "embeddings"), "label", ["vec_id"], "vec_id", "embedding", 0.25)
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("leader").alias("clusters"))
+    return G.leaders(table(spark, sf, "embeddings"), "label", ["vec_id"], "vec_id", "embedding", 0.25)
+
+
+def stories(spark, sf):
+    """Documents as items of one day in 25, their texts as headlines, a third of them under a norm's number."""
+    number = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" DS "), (200 + F.col("doc_id") % 2).cast("string"), F.lit("-2026-EF"))).otherwise("")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.concat(F.coalesce("text", F.lit("")), number).alias("title"), "source", F.floor(F.col("doc_id") / 25).alias("day"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.col("embedding").alias("v"))
+    said = table(spark, sf, "labels").select(F.col("doc_id").alias("k"), (F.col("quality") == 1).alias("important"))
+    return docs.join(vectors, "k", "left").join(said, "k", "left")
+
+
+def story_verdicts(spark, sf):
+    """Verdicts of a person and of a model on a document and the next one."""
+    return table(spark, sf, "labels").where("doc_id % 4 = 0").select(
+        F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.explode(F.array(
+            F.struct((F.col("toxic") == 0).alias("same"), F.lit("model").alias("by")), F.struct(F.when(F.col("doc_id") % 8 == 0, F.col("quality") == 1).alias("same"), F.lit("person").alias("by")),
+        )).alias("s")).select("a", "b", "s.*")
+
+
+STORIES = rf"""i AS (SELECT d.doc_id AS k, coalesce(text, '') || CASE WHEN d.doc_id % 3 = 0 THEN ' DS ' || (200 + d.doc_id % 2) || '-2026-EF' ELSE '' END AS title, source, d.doc_id // 25 AS day, embedding::DOUBLE[] AS v, coalesce(quality = 1, false) AS important
+      FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id),
+    w AS (SELECT k, list_distinct(regexp_extract_all({fold_sql(r"regexp_replace(title, '\s+[-|–—]\s+[^-|–—]{2,60}\z', '')")}, '[\p{{L}}\p{{N}}_]{{4,}}')) AS ws, regexp_extract_all(title, '\b\d{{1,6}}-\d{{4}}(?:-[A-Z]+)?\b') AS norms FROM i),
+    t AS (SELECT k, unnest(ws) AS t FROM w WHERE len(ws) >= 3),
+    shared AS (SELECT x.k AS a, y.k AS b, count(*) AS n FROM t x JOIN t y ON x.t = y.t AND x.k < y.k GROUP BY 1, 2),
+    titled AS (SELECT a, b FROM shared JOIN w wa ON wa.k = a JOIN w wb ON wb.k = b WHERE 10 * n >= 6 * (len(wa.ws) + len(wb.ws) - n)),
+    near AS (SELECT x.k AS a, y.k AS b FROM i x JOIN i y ON x.k < y.k AND abs(x.day - y.day) <= 1 AND x.important AND y.important AND x.source IS DISTINCT FROM y.source WHERE {COS.format('x.v', 'y.v')} >= 0.4),
+    said AS (SELECT doc_id AS a, doc_id + 1 AS b, coalesce(CASE WHEN doc_id % 8 = 0 THEN quality = 1 END, toxic = 0) AS same FROM labels WHERE doc_id % 4 = 0 AND doc_id + 1 IN (SELECT k FROM i)),
+    pairs AS (SELECT a, b FROM said WHERE same UNION
+      SELECT p.a, p.b FROM (SELECT * FROM titled UNION SELECT * FROM near) p LEFT JOIN said USING (a, b) JOIN w wa ON wa.k = p.a JOIN w wb ON wb.k = p.b WHERE same IS NULL AND NOT (len(wa.norms) > 0 AND len(wb.norms) > 0 AND NOT list_has_any(wa.norms, wb.norms))),
+    e AS (SELECT a, b FROM pairs JOIN i x ON x.k = a JOIN i y ON y.k = b WHERE x.important OR y.important), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
+
+
+@query("V11 V12 V14 T21", f"""WITH RECURSIVE {STORIES}, r(k, other) AS (SELECT k, k FROM i UNION SELECT r.k, b FROM r JOIN both_ways ON a = r.other)
+    SELECT r.k, min(other) AS event FROM r JOIN i ON i.k = r.other WHERE i.important GROUP BY 1""")
+def story_groups(spark, sf):
+    """Documents on one event: verdicts first, then norms, then headlines, then vectors; groups without an important one go."""
+    items = stories(spark, sf)
+    links = E.linked_pairs(items, story_verdicts(spark, sf), least_vector=0.4)
+    return E.event_groups(items, links)
 
 
 @query("V6", """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'insert' WHEN doc_id % 5 = 0 THEN 'update' ELSE 'same' END AS change FROM documents""")

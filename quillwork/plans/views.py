@@ -12,12 +12,13 @@ from quillwork.functions.text import references
 from quillwork.operators import matching as M
 from quillwork.operators import relational as R
 from quillwork.operators import votes as V
-from quillwork.operators.retrieval import leaders
+from quillwork.operators.greedy import leaders
 from quillwork.session import table
 from quillwork.sources import publish as K
 
 from .records import MODE, VOTES, roll_calls
 from .registry import query
+from .vectors import leaders_sql
 
 
 @query("D1", """SELECT w AS days, section, count(*) AS n FROM (VALUES (1), (7), (30)) v(w), (SELECT 'orders' AS section, o_orderdate AS moment FROM orders UNION ALL SELECT 'shipments', l_shipdate FROM lineitem) s
@@ -40,7 +41,8 @@ def news_board(spark, sf):
     return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("top"))
 
 
-@query("D3 T16")
+@query("D3 V10", f"""WITH RECURSIVE {leaders_sql(0.3)}, d AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN lower(text) LIKE '%license%' THEN 'license' END, CASE WHEN lower(text) LIKE '%!!%' THEN 'shout' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents)
+    SELECT leader, tags, count(*) AS n FROM r JOIN d ON doc_id = vec_id GROUP BY 1, 2""")
 def media_board(spark, sf):
     tags = M.labels(F.lower("text"), {"license": "license", "shout": "!!"})
     docs = table(spark, sf, "documents").select("doc_id", F.array_join(tags, ",").alias("tags"), "source")

@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.operators import cdc, judging, matching, pages, relational, retrieval, upkeep
+from quillwork.operators import cdc, greedy, judging, matching, pages, relational, retrieval, upkeep
 from quillwork.sources import connectors
 from quillwork.streaming import flows
 
@@ -144,7 +144,7 @@ def test_people(spark):
 def test_leaders_against_brute_force(spark):
     rng = random.Random(5)
     data = [(k, k % 2, [rng.gauss(0, 1) for _ in range(3)]) for k in range(120)] + [(200, 0, None), (201, 1, [0.0, 0.0, 0.0])]
-    got = {r.k: r.leader for r in retrieval.leaders(spark.createDataFrame(data, "k long, b int, v array<double>"), "b", ["k"], "k", "v", 0.8).collect()}
+    got = {r.k: r.leader for r in greedy.leaders(spark.createDataFrame(data, "k long, b int, v array<double>"), "b", ["k"], "k", "v", 0.8).collect()}
     heads = {0: [], 1: []}
     for k, b, v in data:
         n = sum(x * x for x in v) ** 0.5 if v else 0
