@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillwork.session import table
 from quillwork.streaming import flows, folds
+from quillwork.streaming import timed as deadlines
 
 from .registry import query
 
@@ -72,17 +73,82 @@ def append_accumulate(spark, sf):
     return folds.folded(rows, ["conv_id"], ["turn"], carry(folds.accumulated("text")), "turn long, parts long, chars long")
 
 
-@query("X7")
+PHRASES = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS a, epoch_us(ts) + CAST(floor(coalesce(value, 0)) AS BIGINT) * 60000000 AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, n, a AS first_a, b AS last_b, 1 AS g FROM e WHERE n = 1
+      UNION ALL SELECT user_id, n, CASE WHEN new THEN a ELSE first_a END, CASE WHEN new THEN b ELSE greatest(b, last_b) END, g + new::INT
+      FROM (SELECT e.*, r.first_a, r.last_b, r.g, e.a >= r.last_b + 3600000000 OR e.b - r.first_a >= 86400000000 AS new FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT user_id, first_a AS start, max(last_b) AS "end", count(*) AS n FROM r GROUP BY user_id, g, first_a"""
+PHRASE = (["user_id"], "at", ["event_id"], deadlines.Phrases("at", "til", 3_600_000_000, 86_400_000_000), "start long, end long, n long")
+
+
+def segments(spark, sf):
+    at = F.unix_micros("ts")
+    return table(spark, sf, "events").select("user_id", "event_id", at.alias("at"), (at + F.floor(F.coalesce("value", F.lit(0.0))) * 60_000_000).alias("til"))
+
+
+@query("X7", PHRASES)
 def phrase_segmentation(spark, sf):
-    rows = timed(spark, sf).select("user_id", F.col("t").alias("start"), (F.col("t") + F.col("value") * 60).alias("end"))
-    step, flush = folds.phrases("start", "end", 3600, 86400)
-    return folds.folded(rows, ["user_id"], ["start", "end"], step, "start double, end double, n long", flush).groupBy("user_id").agg(F.count("*").alias("phrases"), F.sum("n").alias("segments"))
+    return deadlines.timed_folded(segments(spark, sf), *PHRASE)
+
+
+@query("X7 X12", PHRASES)
+def stream_phrases(spark, sf):
+    """The same as a stream: rows wait for the watermark, the last phrase of a source is closed by a timer."""
+    keys, at, order, step, out = PHRASE
+    return deadlines.streamed(segments(spark, sf), keys, at, "1 hour", order, step, out, "phrases")
+
+
+BATCHES = """WITH RECURSIVE e AS (SELECT conv_id, (turn + 1) * 600000000::BIGINT AS t, length(coalesce(text, '')) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, ''))) AS i FROM conversations),
+    r AS (SELECT conv_id, i, t, t AS since, c::BIGINT AS size, false AS closed, 1 AS g FROM e WHERE i = 1
+      UNION ALL SELECT conv_id, i, t, since, size, t - since >= 900000000 AND size >= 800, g FROM
+        (SELECT e.conv_id, e.i, e.t, CASE WHEN new THEN e.t ELSE o.since END AS since, e.c + CASE WHEN new THEN 0 ELSE o.size END AS size, o.g + new::INT AS g
+         FROM (SELECT r.*, e.t AS next_t FROM r JOIN e ON e.conv_id = r.conv_id AND e.i = r.i + 1) o0, LATERAL (SELECT o0.*, o0.closed OR o0.next_t >= o0.since + 3600000000 AS new) o JOIN e ON e.conv_id = o.conv_id AND e.i = o.i + 1))
+    SELECT conv_id, CASE WHEN bool_or(closed) THEN max(t) ELSE min(since) + 3600000000 END AS t, max(size) AS chars, count(*) AS n FROM r GROUP BY conv_id, g"""
+BATCH = (["conv_id"], "at", ["size"], deadlines.Batches("at", "size"), "t long, chars long, n long")
+
 
+def said(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", ((F.col("turn").cast("long") + 1) * 600_000_000).alias("at"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
 
-@query("X8")
+
+@query("X8", BATCHES)
 def volume_time_batches(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", (F.col("turn") * 600.0).alias("t"), "text")
-    return folds.folded(rows, ["conv_id"], ["t"], folds.batched("t", "text"), "t double, chars long, n long")
+    return deadlines.timed_folded(said(spark, sf), *BATCH)
+
+
+@query("X8 X12", BATCHES)
+def stream_batches(spark, sf):
+    """The same as a stream: what a conversation has left is handed out when its time is up."""
+    keys, at, order, step, out = BATCH
+    return deadlines.streamed(said(spark, sf), keys, at, "10 minutes", order, step, out, "batches")
+
+
+@query("X9", """SELECT user_id, t AS "last", t + 86400000000 AS given_up FROM (SELECT user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events) WHERE following IS NULL OR following - t >= 86400000000""")
+def stream_silence(spark, sf):
+    """Sources that fell silent for two looks of twelve hours, noticed by timers."""
+    step = deadlines.Silence("at", 43_200_000_000, 2)
+    return deadlines.streamed(segments(spark, sf).drop("til"), ["user_id"], "at", "1 hour", ["event_id"], step, "last long, given_up long", "silence")
+
+
+@query("J14 X10 X12", """WITH p AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + 3600000000 AS b FROM events WHERE event_type <> 'error'),
+    v AS (SELECT user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(least(value, 100)) AS BIGINT) * 36000000 + 3600000000 AS e FROM events WHERE event_type <> 'view'),
+    o AS (SELECT p.user_id, event_id, event_type, sum(least(b, e) - greatest(a, s)) AS us FROM p JOIN v ON p.user_id = v.user_id AND a < e AND s < b GROUP BY 1, 2, 3)
+    SELECT user_id, event_id, event_type, us / 1e6 AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY us DESC, event_type) AS n FROM o) WHERE n = 1""")
+def stream_overlap_argmax(spark, sf):
+    """Captions and voices as two streams, joined by time range; what either side keeps is bounded by three hours."""
+    events = table(spark, sf, "events")
+    later = lambda us: F.timestamp_micros(F.unix_micros("ts") + us)
+    phrases = events.where("event_type <> 'error'").select("user_id", "event_id", F.col("ts").alias("start"), later(F.lit(3_600_000_000)).alias("end"))
+    long = (F.floor(F.least(F.col("value"), F.lit(100.0))) * 36_000_000 + 3_600_000_000).cast("long")
+    voices = events.where("event_type <> 'view'").select("user_id", "event_type", F.col("ts").alias("start"), later(long).alias("end"))
+    folders = []
+    for side, name in ((phrases, "phrases"), (voices, "voices")):
+        folders.append(deadlines.feed(spark, side.schema, name))
+        side.write.mode("append").parquet(folders[-1])
+    a, b = (spark.readStream.schema(x.schema).parquet(f) for x, f in zip((phrases, voices), folders, strict=True))
+    pairs = deadlines.overlapping(a, b, "user_id", "event_id", "event_type", "1 hour", "3 hours")
+    deadlines.run(pairs, f"{folders[0]}-out")
+    return deadlines.longest_overlap(spark.read.schema(pairs.schema).parquet(f"{folders[0]}-out/rows"), "user_id", "event_id", "event_type")
 
 
 @query("X9", """WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS miss, lag(event_type = 'error') OVER w AS p1, lag(event_type = 'error', 2) OVER w AS p2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
