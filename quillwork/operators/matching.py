@@ -97,6 +97,42 @@ def token_overlap(
     return both.select(left_key, right_key, F.size(F.array_intersect("_ta", "_tb")).alias("shared")).where(F.col("shared") >= least)
 
 
+def acronyms(text: str | Column, ignore: Sequence[str] = ()) -> Column:
+    """The distinct words of three to eight capitals, as they stand, but for those that mean nothing."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(r"\b[A-Z]{3,8}\b"), F.lit(0)))
+    return F.array_except(found, F.array(*map(F.lit, ignore))) if ignore else found
+
+
+def linked_by_words(
+    news: DataFrame, items: DataFrame, key: str, text: str, item: str, title: str, *, least: int = 3, letters: int = 5, news_letters: int = 4,
+    generic: Sequence[str] = (), ignore: Sequence[str] = (), foreign: Sequence[str] = (), home: Sequence[str] = (), acts: Sequence[str] = (),
+) -> DataFrame:
+    """(key, item, by, shared): news that share an acronym with an item's title, or at least `least` of its words.
+
+    Words that say nothing (`generic`) do not count.  News with a phrase of `acts` are administrative and link to nothing;
+    news that name a `foreign` place and no `home` link by acronyms alone.  `by` is acronym, if there is one in common,
+    else words.  Both ways are equi-joins that count as they meet; null texts and titles link to nothing.
+    """
+    plain = fold(text)
+    admin = F.exists(F.array(*map(F.lit, acts)), lambda p: F.contains(plain, p)) if acts else F.lit(False)
+    said = news.where(F.col(key).isNotNull() & F.col(text).isNotNull() & ~admin)
+    short = acronyms(text, ignore)
+    a = said.select(F.col(key).alias("k"), F.explode(short).alias("w"))
+    b = items.where(F.col(item).isNotNull()).select(F.col(item).alias("i"), F.explode(acronyms(title, ignore)).alias("w"))
+    by_name = a.join(b, "w").groupBy("k", "i").agg(F.count("*").alias("n"))
+    known = lambda c, n: F.array_except(distinct_words(c, n), F.array(*map(F.lit, generic)).cast("array<string>"))
+    at_home = F.lit(True)
+    if foreign:
+        words = distinct_words(text)
+        at_home = ~F.arrays_overlap(words, F.array(*map(F.lit, foreign))) | (F.arrays_overlap(words, F.array(*map(F.lit, home))) if home else F.lit(False))
+    titles = items.where(F.col(item).isNotNull()).select(F.col(item).alias("i"), known(title, letters).alias("tw")).where(F.size("tw") >= least)
+    texts = said.where(at_home).select(F.col(key).alias("k"), known(text, news_letters).alias("xw"))
+    shared = token_overlap(titles, texts, "i", "k", "tw", "xw", least)
+    both = by_name.select("k", "i", F.lit("acronym").alias("by"), "n").unionByName(shared.select("k", "i", F.lit("words").alias("by"), F.col("shared").cast("long").alias("n")))
+    best = both.groupBy("k", "i").agg(F.min_by(F.struct("by", "n"), "by").alias("m"))
+    return best.select(F.col("k").alias(key), F.col("i").alias(item), "m.by", F.col("m.n").alias("shared"))
+
+
 def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """The longest catalogue name that stands in each text, ties to the least; rows without one are left out.
 
@@ -310,31 +346,6 @@ def fuzzy_people(
     return ranked.where(F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin)).select(mention, member, "score")
 
 
-def mentions_outside_lists(text: Column, pattern: str, listing: str, margin: int = 150, least: int = 3) -> Column:
-    """The matches, each with `margin` characters on either side, where fewer than `least` listing words stand.
-
-    Every match is judged by its own surroundings, which may overlap those of others; a listing word begins and ends in
-    them.
-    """
-    found = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
-    between = F.split(text, pattern, -1)
-    # one character more in front, so that a word cut by the margin does not seem to begin there
-    parts = F.struct(F.concat(F.lit("\n"), text).alias("t"), F.transform(found, F.length).alias("ml"), F.transform(between, F.length).alias("bl"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
-    def around(p: Column) -> Column:
-        def cut(n: Column, i: Column) -> Column:
-            start = total(F.slice(p["bl"], 1, i + 1)) + total(F.slice(p["ml"], 1, i))
-            first = F.greatest(start - margin, F.lit(0))
-            return F.substring(p["t"], first + 1, start + n + margin - first + 1)
-
-        return F.transform(p["ml"], cut)
-
-    windows = F.flatten(F.transform(F.array(parts), around))
-    kept = F.filter(windows, lambda s: F.size(F.regexp_extract_all(s, F.lit(f"(?!\\A)(?:{listing})"), F.lit(0))) < least)
-    return F.transform(kept, lambda s: F.substring(s, F.lit(2), F.length(s)))
-
-
 def key_terms(c: Column | str, most: int = 5) -> Column:
     """Query terms of a title: capitalised words first, then the longest."""
     c = F.col(c) if isinstance(c, str) else c

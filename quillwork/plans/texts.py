@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import dates, values
 from quillwork.functions import text as X
 from quillwork.operators import matching as M
+from quillwork.operators import names as N
 from quillwork.session import table
 from quillwork.sources import parsers as P
 from quillwork.sources import publish, tables
@@ -226,16 +227,87 @@ def relevance_predicate(spark, sf):
     return rows.where(F.lower("text").rlike("license|version")).select("doc_id")
 
 
-@query("T16 T17", """SELECT doc_id, len(regexp_extract_all(text, '[0-9]{4,}')) AS n FROM documents WHERE regexp_matches(text, '[0-9]{4,}')""")
-def pattern_events(spark, sf):
-    rows = table(spark, sf, "documents").where(F.col("text").rlike("[0-9]{4,}"))
-    return rows.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]{4,}"), F.lit(0))).cast("long").alias("n"))
+def doubled(c: str) -> str:
+    """A pattern under which letters that stand twice may stand once, and b and v are one."""
+    for letter in "abcdefghijklmnopqrstuvwxyz":
+        c = f"replace({c}, '{letter}{letter}', '{letter}{{1,2}}')"
+    return f"regexp_replace({c}, '[bv]', '[bv]', 'g')"
 
 
-@query("T11")
+def single(c: str) -> str:
+    """Letters that stand twice or more once, v as b: what all spellings of a name have in common."""
+    for letter in 2 * "abcdefghijklmnopqrstuvwxyz":
+        c = f"replace({c}, '{letter}{letter}', '{letter}')"
+    return f"replace({c}, 'v', 'b')"
+
+
+FLAT = f"translate(lower({{}}), {ACCENTS})"
+LINES = """lines AS (SELECT doc_id, (i - 1) * 10 AS t, said[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS said FROM documents), LATERAL (SELECT unnest(generate_series(1, len(said))) AS i))"""
+SPOTS = rf"""{LINES}, c AS (SELECT DISTINCT label, context, '^' || {doubled('label')} || '$' AS form, {single('label')} AS bare
+      FROM (SELECT item_id % 5 = 0 AS context, list_sort(list_transform(list_distinct(regexp_extract_all({FLAT.format('text')}, '[a-z]{{6,}}')), lambda w: {{'n': -length(w), 'w': w}}))[1].w AS label FROM benchmark) WHERE label IS NOT NULL),
+    words AS (SELECT word, {single('word')} AS bare FROM (SELECT DISTINCT unnest(regexp_extract_all({FLAT.format('line')}, '[\p{{L}}\p{{N}}_]+')) AS word FROM lines)),
+    alike AS (SELECT word, label, context FROM words JOIN c USING (bare) WHERE regexp_matches(word, form)),
+    h AS (SELECT DISTINCT doc_id, t, label, context FROM (SELECT doc_id, t, unnest(regexp_extract_all({FLAT.format('line')}, '[\p{{L}}\p{{N}}_]+')) AS word FROM lines) JOIN alike USING (word))"""
+
+
+def names_of_benchmark(spark, sf):
+    """A catalogue: the longest word of every benchmark item, some of them said everywhere (context only)."""
+    words = F.array_distinct(F.regexp_extract_all(N.plain("text"), F.lit("[a-z]{6,}"), F.lit(0)))
+    label = F.array_sort(F.transform(words, lambda w: F.struct(-F.length(w), w.alias("w"))))[0]["w"]
+    rows = table(spark, sf, "benchmark").select(F.try_element_at(F.array(label), F.lit(1)).alias("label"), (F.col("item_id") % 5 == 0).alias("context"))
+    return rows.select("label", F.col("label").alias("pattern"), F.lit(True).alias("tolerant"), F.lit(False).alias("open"), "context")
+
+
+def caption_lines(spark, sf):
+    """The lines of documents as captions, ten seconds apart."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("t", "line")).withColumn("t", F.col("t") * 10)
+
+
+@query("T16", f"WITH {SPOTS} SELECT DISTINCT doc_id, t, label, context FROM h")
+def spotted_names(spark, sf):
+    return N.spotted(caption_lines(spark, sf), names_of_benchmark(spark, sf), ["doc_id", "t"], "line").select("doc_id", "t", "label", "context").distinct()
+
+
+@query("T16 X11 D3", f"""WITH {SPOTS}, s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY doc_id ORDER BY t) > 25 THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc_id, t FROM h))),
+    g AS (SELECT doc_id, n, min(t) AS a, max(t) AS b, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM s JOIN h USING (doc_id, t) GROUP BY 1, 2 HAVING NOT bool_and(context)),
+    f AS (SELECT g.doc_id, a, b, labels, string_agg(line, ' ' ORDER BY t, line) AS said FROM g JOIN lines l ON l.doc_id = g.doc_id AND t BETWEEN a - 25 AND b + 25 GROUP BY 1, 2, 3, 4),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, array_to_string(list_filter(regexp_split_to_array({FLAT.format('said')}, '\\s+'), lambda w: w <> '')[6:25], ' ') ORDER BY a) AS k FROM f)
+    SELECT doc_id, a AS start, b AS "end", labels, md5(said) AS said FROM r WHERE k = 1""")
+def caption_mentions(spark, sf):
+    """Passages about mentions, with what is said around them, once each."""
+    lines = caption_lines(spark, sf)
+    found = N.spotted(lines, names_of_benchmark(spark, sf), ["doc_id", "t"], "line")
+    out = N.mentions(lines, found, "doc_id", "t", "line")
+    return out.select("doc_id", "start", "end", F.array_join("labels", ",").alias("labels"), F.md5("said").alias("said"))
+
+
+@query("T17", r"""WITH l AS (SELECT conv_id, turn, text, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) - 1 AS stop FROM conversations WHERE length(text) > 0),
+    whole AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS said FROM l GROUP BY 1), m AS (SELECT *, regexp_extract(text, '(?i)with \w+ed|erst[,.]') AS matched FROM l),
+    e AS (SELECT conv_id, turn, matched, stop, stop - length(text) + position(matched IN text) - 1 + length(matched) AS at_end FROM m WHERE matched <> '')
+    SELECT conv_id, turn, matched, md5(trim(substr(said, greatest(at_end - 300, 0)::BIGINT + 1, (least(at_end + 120, stop) - greatest(at_end - 300, 0))::BIGINT))) AS said FROM e JOIN whole USING (conv_id)""")
+def announcements(spark, sf):
+    """Turns that announce something, with what was said before: the detector's work under another pattern."""
+    out = N.vote_events(table(spark, sf, "conversations"), "conv_id", "turn", "text", r"(?i)with [A-Za-z0-9_]+ed|erst[,.]", 300, 120)
+    return out.select("conv_id", "turn", "matched", F.md5("said").alias("said"))
+
+
+@query("T11", r"""WITH d AS (SELECT doc_id, text, string_split(text, 'License') AS parts, string_split_regex(text, '\bthe\b') AS gaps FROM documents WHERE contains(text, 'License')),
+    m AS (SELECT doc_id, length(text) AS n, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * 7 AS a FROM d, LATERAL (SELECT unnest(generate_series(1, len(parts) - 1)) AS i)),
+    w AS (SELECT doc_id, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + (i - 1) * 3 AS a FROM d, LATERAL (SELECT unnest(generate_series(1, len(gaps) - 1)) AS i))
+    SELECT m.doc_id, m.a::INT AS start, (m.a + 7)::INT AS "end" FROM m LEFT JOIN w ON w.doc_id = m.doc_id AND w.a >= m.a - 150 AND w.a + 3 <= least(m.a + 157, n) GROUP BY m.doc_id, m.a HAVING count(w.a) < 12""")
 def mentions_outside_lists(spark, sf):
-    found = M.mentions_outside_lists(F.col("text"), r"License", r"\bthe\b", 150, 12)
-    return table(spark, sf, "documents").select("doc_id", F.size(found).alias("n")).where("n > 0")
+    return N.mentions_outside_lists(table(spark, sf, "documents"), "doc_id", "text", "License", r"\bthe\b", 150, 12).select("doc_id", "start", "end")
+
+
+@query("T7 T13 T15", f"""WITH n AS (SELECT doc_id, text, string_split({words_sql('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL AND NOT contains({fold_sql('text')}, 'lorem')),
+    b AS (SELECT item_id, text, list_distinct(list_filter(string_split({words_sql('text')}, ' '), lambda x: length(x) >= 5 AND x <> 'other')) AS w FROM benchmark),
+    acr AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z]{{3,8}}\\b')) AS a FROM n) JOIN (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\\b[A-Z]{{3,8}}\\b')) AS a FROM b) USING (a) GROUP BY 1, 2),
+    u AS (SELECT DISTINCT doc_id, unnest(w) AS x FROM n WHERE NOT (list_has_any(w, ['und', 'der']) AND NOT list_has_any(w, ['the']))),
+    v AS (SELECT item_id, unnest(w) AS x FROM b WHERE len(w) >= 3), ws AS (SELECT doc_id, item_id, count(*) AS n FROM u JOIN v USING (x) GROUP BY 1, 2 HAVING count(*) >= 5)
+    SELECT coalesce(a.doc_id, ws.doc_id) AS doc_id, coalesce(a.item_id, ws.item_id) AS item_id, CASE WHEN a.n IS NULL THEN 'words' ELSE 'acronym' END AS "by", coalesce(a.n, ws.n) AS shared FROM acr a FULL JOIN ws ON ws.doc_id = a.doc_id AND ws.item_id = a.item_id""")
+def items_in_documents(spark, sf):
+    """Items that documents speak of: an acronym in common or five telling words, and no foreign or administrative text."""
+    return M.linked_by_words(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", least=5, generic=["other"], foreign=["und", "der"], home=["the"], acts=["lorem"])
 
 
 @query("T13", """SELECT event_id, o_orderstatus FROM events JOIN orders ON o_orderkey = event_id * 3 WHERE event_id * 3 > 0""")

@@ -117,19 +117,6 @@ def test_titles_meet_texts_in_every_tier(spark, monkeypatch, most):
     assert matching.tiered_titles(texts.limit(0), titles, "i", "x", "j", "t", ["proyecto"], bridges).count() == 0
 
 
-def test_every_mention_is_judged_by_its_own_surroundings(spark):
-    said = ["Ana Ana and Ana", "yes yes yes " + "x" * 20 + " Ana" + "y" * 15 + " Ana", "Ana yes, yes; yes", "bathe the the Ana", "yes\nyes Ana yéséyes yes Ana", "none", "", "Ana", "nyes yes yes Ana 😀 Ana yesno yes yes"]
-    for margin, least in ((150, 3), (12, 3), (25, 2), (0, 1), (9, 1)):
-        for listing in (r"\byes\b", r"\b(yes|the)\b", "the|yes"):
-            expected = []
-            for i, t in enumerate(said):
-                kept = [m for m in re.finditer("Ana", t) if len(re.compile(listing).findall(t, max(0, m.start() - margin), m.end() + margin)) < least]
-                expected.append((i, [t[max(0, m.start() - margin) : m.end() + margin] for m in kept]))
-            df = spark.createDataFrame(list(enumerate(said)), "i int, t string")
-            assert rows(df.select("i", matching.mentions_outside_lists(F.col("t"), "Ana", listing, margin, least))) == expected
-    assert one(spark, matching.mentions_outside_lists(F.lit(None).cast("string"), "Ana", "yes")) is None
-
-
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91)], "a long, b long")
     found = dict(retrieval.components(edges).collect())
