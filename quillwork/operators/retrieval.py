@@ -157,6 +157,53 @@ def fused(first: DataFrame, second: DataFrame, key: str, k: int = 60, names: tup
     return both.select(key, score.alias("score"), source.alias("source"), "ra", "rb")
 
 
+def bm25_many(
+    questions: DataFrame, docs: DataFrame, query: str, asked: str, key: str, text: str, k: int, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """(query, key, score, rank): the k best documents of each question by BM25, ties to the lesser key.
+
+    All questions run as one job: their distinct words meet the documents' words, counted by document, in an equi-join,
+    and only words that a question asks leave the documents.  Scores are compared to nine decimals.  Null and empty
+    questions find nothing; null texts are empty, and count in the mean length.
+    """
+    words = lambda c: F.filter(F.split(fold_words(F.coalesce(F.col(c), F.lit(""))), " "), lambda w: w != "")
+    ask = questions.select(F.col(query).alias("q"), F.explode(F.array_distinct(words(asked))).alias("term"))
+    sized = docs.select(F.col(key).alias("d"), words(text).alias("w")).withColumn("n", F.size("w"))
+    stats = sized.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    tf = sized.select("d", "n", F.explode("w").alias("term")).join(ask.select("term").distinct(), "term", "left_semi").groupBy("term", "d", "n").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    gain = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    gain = gain.withColumn("gain", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean"))))
+    score = ask.join(gain, "term").groupBy("q", "d").agg(F.round(F.sum("gain"), 9).alias("score"))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "d")
+    best = score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select(F.col("q").alias(query), F.col("d").alias(key), "score", "rank")
+
+
+def context(
+    questions: DataFrame, items: DataFrame, k: int = 8, *, query: str = "query_id", asked: str = "asked", key: str = "key", text: str = "text",
+    vector: str = "v", url: str = "url", kind: str = "kind", date: str = "date", title: str = "title", pool: int = 40, fusion: int = 60,
+) -> DataFrame:
+    """(query, key, place, source, line): what is related to each question, by words and by meaning, in one job.
+
+    Each question's best `pool` items by BM25 and by cosine are fused by reciprocal ranks, ties to the better rank by
+    words and then to the lesser key; items with the question's own key or URL go, and of the rest the first `k` stay, as
+    a line "- [kind · date] title".  Questions are a stated set and meet items in blocks; a question without a vector is
+    answered by words alone; a null URL excludes nothing; null dates and titles are written out as unknown and empty.
+    """
+    said = bm25_many(questions, items, query, asked, key, text, pool).select(query, key, F.col("rank").alias("rw"))
+    qs = questions.where(F.col(vector).isNotNull()).select(F.col(query).alias(key), F.col(vector).alias("embedding"))
+    near = nearest(qs, items.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("embedding")), pool, query, key).select(query, key, F.col("rank").alias("rm"))
+    both = said.join(near, [query, key], "full")
+    score = F.coalesce(1 / (fusion + F.col("rw")), F.lit(0.0)) + F.coalesce(1 / (fusion + F.col("rm")), F.lit(0.0))
+    own = questions.select(query, F.col(url).alias("_own"))
+    told = items.select(key, F.col(url).alias("_url"), F.concat(F.lit("- ["), F.coalesce(F.col(kind).cast("string"), F.lit("?")), F.lit(" · "), F.coalesce(F.col(date).cast("string"), F.lit("no date")), F.lit("] "), F.coalesce(F.col(title), F.lit(""))).alias("line"))
+    rows = both.join(own, query).join(told, key).where((F.col(key) != F.col(query)) & ~F.coalesce(F.col("_url") == F.col("_own"), F.lit(False)))
+    source = F.when(F.col("rm").isNull(), "words").when(F.col("rw").isNull(), "meaning").otherwise("both")
+    w = Window.partitionBy(query).orderBy(F.desc(F.round(score, 12)), F.col("rw").asc_nulls_last(), key)
+    return rows.withColumns({"place": F.row_number().over(w), "source": source}).where(F.col("place") <= k).select(query, key, "place", "source", "line")
+
+
 def banded_pairs(
     rows: DataFrame, key: str, vector: str, block: Sequence[str], band: str, width: int, least: float, apart: Sequence[str] = ()
 ) -> DataFrame:

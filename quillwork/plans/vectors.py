@@ -12,7 +12,7 @@ from quillwork.operators import retrieval as V
 from quillwork.session import table
 
 from .registry import query
-from .texts import fold_sql
+from .texts import fold_sql, words_sql
 
 COS = "list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[])"
 
@@ -68,6 +68,30 @@ def _ranked(df, most: int = 40):
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).select("doc_id", "rank")
 
 
+QUESTION_WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> ''))".format(words_sql("text"))
+
+
+@query("N24 V3 V4 D15", rf"""WITH docs AS (SELECT doc_id, source, lang, text, list_filter(string_split({words_sql("coalesce(text, '')")}, ' '), lambda w: w <> '') AS ws FROM documents),
+    s AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM docs), ask AS (SELECT item_id, unnest({QUESTION_WORDS}) AS term FROM benchmark),
+    t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM docs) WHERE term IN (SELECT term FROM ask) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+    g AS (SELECT doc_id, term, ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS gain FROM t JOIN f USING (term), s),
+    b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rw FROM (SELECT item_id, doc_id, round(sum(gain), 9) AS score FROM ask JOIN g USING (term) GROUP BY 1, 2) QUALIFY rw <= 40),
+    m AS (SELECT q.vec_id AS item_id, x.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format('q.embedding', 'x.embedding')} DESC, x.vec_id) AS rm
+      FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings x ON x.vec_id <> q.vec_id JOIN docs ON docs.doc_id = x.vec_id QUALIFY rm <= 40),
+    r AS (SELECT coalesce(b.item_id, m.item_id) AS item_id, coalesce(b.doc_id, m.doc_id) AS doc_id, rw, rm FROM b FULL JOIN m ON b.item_id = m.item_id AND b.doc_id = m.doc_id),
+    o AS (SELECT r.*, '- [' || coalesce(lang, '?') || ' · ' || doc_id // 10 || '] ' || coalesce(source, '') AS line, row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(1 / (60 + rw), 0) + coalesce(1 / (60 + rm), 0), 12) DESC, rw NULLS LAST, doc_id) AS place
+      FROM r JOIN docs USING (doc_id) WHERE doc_id <> item_id AND source IS DISTINCT FROM 'src' || item_id % 20)
+    SELECT item_id, doc_id, place::INT AS place, CASE WHEN rm IS NULL THEN 'words' WHEN rw IS NULL THEN 'meaning' ELSE 'both' END AS source, line FROM o WHERE place <= 8""")
+def related_documents(spark, sf):
+    """For every benchmark item as a question, the documents related to it by words and by meaning."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("asked"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("url"))
+    asked = asked.join(vectors.withColumnRenamed("vec_id", "item_id"), "item_id", "left")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("url"), F.col("lang").alias("kind"), F.floor(F.col("doc_id") / 10).alias("date"), F.col("source").alias("title"))
+    docs = docs.join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    return V.context(asked, docs, 8, query="item_id", key="doc_id")
+
+
 PAIRS = f"""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.vec_id // 50 - b.vec_id // 50) <= 1 AND a.vec_id % 3 <> b.vec_id % 3
     WHERE {COS.format('a.embedding', 'b.embedding')} >= 0.2"""
 
@@ -163,11 +187,26 @@ def hashed_embedding(spark, sf):
     return rows.select("item_id", F.round(values.dot("v", "v"), 6).alias("norm"))
 
 
-@query("M1 M3")
-def ml_topic_predict(spark, sf):
-    docs = table(spark, sf, "benchmark").select("item_id", "text").withColumn("topic", F.when(F.length("text") > 200, "long").otherwise("short"))
-    model = L.train_topics(docs, "text", "topic", features=256, rounds=5)
-    return L.predicted(model, docs.select("item_id", "text"), "text").select("item_id", "topic", F.round("confidence", 3).alias("confidence"))
+@query("M1 M2 M3")
+def validated_topics(spark, sf):
+    """Every document's language as a model says that has not seen its fold, with the next likeliest."""
+    out = L.validated(table(spark, sf, "documents"), "text", "lang", "doc_id", k=3, most=2, features=512, rounds=8)
+    label = lambda i: F.try_element_at("top", F.lit(i))
+    return out.select("doc_id", "lang", "fold", label(1)["label"].alias("said"), F.round(label(1)["p"], 3).alias("confidence"), label(2)["label"].alias("next"))
+
+
+@query("M1 A16", """WITH s AS (SELECT lang AS t, CASE WHEN regexp_matches(text, '(^|[^\\p{L}])the($|[^\\p{L}])') THEN 'en' WHEN regexp_matches(text, '(^|[^\\p{L}])und($|[^\\p{L}])') THEN 'de' WHEN regexp_matches(text, '(^|[^\\p{L}])que($|[^\\p{L}])') THEN 'es' END AS s FROM documents WHERE lang IS NOT NULL),
+    l AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT t AS label, (t = s)::INT AS tp, 0 AS fp, (s IS NULL OR t <> s)::INT AS fn FROM s UNION ALL SELECT s, 0, (t <> s)::INT, 0 FROM s WHERE s IS NOT NULL) GROUP BY 1),
+    r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS "precision", CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, tp + fn AS support FROM l),
+    a AS (SELECT * FROM r UNION ALL SELECT 'macro', sum(tp), sum(fp), sum(fn), avg("precision"), avg(recall), avg(f1), sum(support) FROM r
+      UNION ALL SELECT 'weighted', sum(tp), sum(fp), sum(fn), sum("precision" * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM r)
+    SELECT label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM a""")
+def topic_report(spark, sf):
+    """Precision, recall and F1 of a rule, by label and as macro and weighted means."""
+    says = lambda w, label: F.when(F.col("text").rlike(rf"(^|[^\p{{L}}]){w}($|[^\p{{L}}])"), label)
+    rows = table(spark, sf, "documents").select("lang", F.coalesce(says("the", "en"), says("und", "de"), says("que", "es")).alias("said"))
+    out = L.report(rows, "lang", "said")
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 @query("M2", "SELECT lang, f::INT AS fold, (n + 4 - f) // 5 AS n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1), (VALUES (0), (1), (2), (3), (4)) t(f) WHERE n > f")
@@ -182,9 +221,14 @@ def cascaded_classifier(spark, sf):
     return rows.select("doc_id", topic.alias("topic"))
 
 
-@query("M6", """SELECT vec_id, score >= 0.82 AS same FROM (SELECT a.vec_id, round(""" + COS.format("a.embedding", "b.embedding") + """, 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1)""")
-def pair_judge_stub(spark, sf):
-    """Stands in for a cross-encoder: the cosine threshold that such a model must beat to be used."""
-    a = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    b = a.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return a.join(b, "vec_id").select("vec_id", (F.round(values.cosine("embedding", "other"), 9) >= 0.82).alias("same"))
+@query("M6")
+def pair_judge(spark, sf):
+    """Pairs of near vectors judged by a model trained on labelled ones, if it beats the cosine threshold on held-out pairs."""
+    rows = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    near = V.nearest(rows.where("vec_id % 5 = 0"), rows, 6).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"))
+    truth = rows.select(F.col("vec_id").alias("a"), F.col("label").alias("x"))
+    other = rows.select(F.col("vec_id").alias("b"), F.col("label").alias("y"))
+    pairs = near.join(truth, "a").join(other, "b").select("a", "b", (F.col("x") == F.col("y")).alias("one"))
+    told = L.pair_features(pairs, rows.withColumn("day", F.col("vec_id") / 50), "vec_id", "text", "embedding", "day")
+    model, said = L.train_judge(told, "one")
+    return L.judged_pairs(told, model, said["useful"]).select("a", "b", "one", "same", "by")
