@@ -8,6 +8,9 @@ run without data that follows every batch closes what the batch has made expire.
 A bucket's windows are read in one pass when rows come for it.  Windows that its own latest row already makes expire are
 handed out at once and not stored: the batch's watermark can only be later.  The number of buckets grows with the input,
 so a bucket's rows of a batch and its state stay small.  All rows of one id are one bucket's, since their order decides.
+
+A row of a stateful Python operator costs as much as its conversion, so rows are packed by bucket, batch by batch, before
+they reach the state, and closed windows leave it as columns.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,18 +32,29 @@ from .oracles import OP13
 #: Hours that a window reaches beyond its first row; hours that rows may be late; batches of the query.
 REACH, LATE, BATCHES = 48, 24, 10
 #: Rows of a bucket, and the fewest buckets.
-BUCKET_ROWS, FEWEST = 40_000, 128
+BUCKET_ROWS, FEWEST = 200_000, 48
 HOUR_MS = 3_600_000
 #: Hours between the event time's origin and the first row, beyond the lateness, so that the first watermark drops nothing.
 BEFORE = 10_000
 
 COPY = "click_id long, hour long, digest binary, bucket int, at timestamp"
+#: One copy, as it is packed.
+COPY_ROW = np.dtype([("id", "<i8"), ("hour", "<i8"), ("digest", "V32")])
+#: Columns of closed windows.
+COLUMNS = ("click_id", "start_hour", "n_repeats", "n_conflicts", "conflict_crc", "digest")
 WINDOW = "start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
-CLOSED = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
+CLOSED = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash string, closed_batch long"
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    # every start opens its stores anew: those of earlier starts would keep their files
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    # all stores of an executor share this memory
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 
@@ -60,34 +76,40 @@ class ExpiringWindows(StatefulProcessor):
         """Half an hour after the deadline: before a later deadline's watermark, after its own."""
         return (deadline - self.origin) * HOUR_MS + HOUR_MS // 2
 
-    @staticmethod
-    def _closed(one: int, w: tuple | list) -> Row:
-        return Row(click_id=one, start_hour=w[0], n_repeats=w[1], n_conflicts=w[2], conflict_crc=w[3], hash=bytes(w[4]).hex())
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        first = mark // HOUR_MS + self.origin + 1 if mark > 0 else None  # earlier hours are late
-        kept = sorted((r[1], r[2], r[3]) for r in rows if first is None or r[2] >= first)
-        if not kept:
+        copies = np.concatenate([np.frombuffer(r[1], COPY_ROW) for r in rows])
+        if mark > 0:  # earlier hours are late
+            copies = copies[copies["hour"] > mark // HOUR_MS + self.origin]
+        if not len(copies):
             return
-        stored = {k[0]: list(v) for k, v in self.windows.iterator()}
+        places = np.ascontiguousarray(copies["digest"]).view(">u8").reshape(-1, 4).astype(np.uint64)
+        copies = copies[np.lexsort((*places.T[::-1], copies["hour"], copies["id"]))]
+        raw = np.ascontiguousarray(copies["digest"]).tobytes()
+        stored = {k[0]: [*v[:4], bytes(v[4])] for k, v in self.windows.iterator()}
         now = {one: list(w) for one, w in stored.items()}
-        last = kept[0][1]
-        for one, hour, digest in kept:
-            last = max(last, hour)
+        closed: list[tuple] = []
+        at = 0
+        for one, hour in zip(copies["id"].tolist(), copies["hour"].tolist(), strict=True):
+            digest = raw[at : at + 32]
+            at += 32
             w = now.get(one)
-            if w is not None and hour <= w[0] + self.reach:
+            if w is None:
+                now[one] = [hour, 0, 0, 0, digest]
+            elif hour <= w[0] + self.reach:
                 w[1] += 1
                 if digest != w[4]:
                     w[2] += 1
-                    w[3] += zlib.crc32(bytes(digest).hex().encode())
-                continue
-            if w is not None:
-                yield self._closed(one, w)
-            now[one] = [hour, 0, 0, 0, digest]
-        for one in [one for one, w in now.items() if w[0] + self.reach < last - self.late]:
-            yield self._closed(one, now.pop(one))
+                    w[3] += zlib.crc32(digest.hex().encode())
+            else:
+                closed.append((one, *w))
+                now[one] = [hour, 0, 0, 0, digest]
+        gone = int(copies["hour"].max()) - self.late - self.reach  # starts before this have expired after this batch
+        closed += [(one, *w) for one, w in now.items() if w[0] < gone]
+        now = {one: w for one, w in now.items() if w[0] >= gone}
         self._keep(stored, now)
+        if closed:
+            yield _packed(closed)
 
     def _keep(self, stored: dict[int, list], now: dict[int, list]) -> None:
         """Writes what has changed, or everything anew if that is less."""
@@ -125,18 +147,41 @@ class ExpiringWindows(StatefulProcessor):
         mark = timerValues.getCurrentWatermarkInMs()
         deadlines = sorted(d for (d,) in self.wheel.keys())
         due = [d for d in deadlines if self._timer(d) <= mark]
+        closed: list[tuple] = []
         if len(due) == len(deadlines):  # the whole wheel
-            for (one,), w in list(self.windows.iterator()):
-                yield self._closed(one, w)
+            closed = [(one, *w) for (one,), w in self.windows.iterator()]
             self.windows.clear()
             self.wheel.clear()
-            return
-        for deadline in due:
-            for one in self.wheel.getValue((deadline,))[0]:
-                yield self._closed(one, self.windows.getValue((one,)))
-                self.windows.removeKey((one,))
-            self.wheel.removeKey((deadline,))
-        self.handle.registerTimer(self._timer(deadlines[len(due)]))
+        else:
+            for deadline in due:
+                for one in self.wheel.getValue((deadline,))[0]:
+                    closed.append((one, *self.windows.getValue((one,))))
+                    self.windows.removeKey((one,))
+                self.wheel.removeKey((deadline,))
+            self.handle.registerTimer(self._timer(deadlines[len(due)]))
+        if closed:
+            yield _packed(closed)
+
+
+def _packed(closed: list[tuple]) -> Row:
+    """Closed windows as one row of columns: a row of its own for each would cost more than what was counted."""
+    return Row(**dict(zip(COLUMNS, map(list, zip(*closed, strict=True)), strict=True)))
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (click_id, hour, digest, bucket) to one row per bucket of each batch: bucket, copies."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out = np.empty(batch.num_rows, COPY_ROW)
+        out["id"], out["hour"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        digests = batch.column(2).cast(pa.binary(32))
+        out["digest"] = np.frombuffer(digests.buffers()[1], "V32")[digests.offset : digests.offset + len(out)]
+        bucket = batch.column(3).to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        names, first = np.unique(bucket[order], return_index=True)
+        parts = [x.tobytes() for x in np.split(out[order], first[1:])]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "copies": pa.array(parts, pa.binary())})
 
 
 def micros(df: DataFrame, name: str) -> Column:
@@ -176,10 +221,9 @@ def deduplicate(rows: DataFrame, batches: int = BATCHES, reach: int = REACH, lat
     spark = rows.sparkSession
     rows = rows.select("click_id", "hour", "digest", "at_hour").where("click_id is not null and hour is not null and at_hour is not null")
     edge = rows.agg(F.min("at_hour").alias("low"), F.max("at_hour").alias("high"), F.min("hour").alias("first"), F.max("hour").alias("last"), F.count("*").alias("n")).first()
-    result = T._parse_datatype_string(CLOSED).add("closed_batch", "long")
     order = ["click_id", "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", "hash"]
     if not edge.n:
-        return spark.createDataFrame([], result).select(order)
+        return spark.createDataFrame([], CLOSED).select(order)
     origin, end = edge["first"] - BEFORE, edge["last"] + BEFORE + reach + late
     at = lambda hour: F.timestamp_millis((hour - origin) * HOUR_MS)
     batch = F.expr(f"(at_hour - {edge.low}L) * {batches} div {edge.high - edge.low + 1}L").cast("int")
@@ -203,15 +247,18 @@ def deduplicate(rows: DataFrame, batches: int = BATCHES, reach: int = REACH, lat
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     for used in ("batches", "feed", "state"):
         _delete(spark, f"{folder}/{used}")
-    return spark.read.schema(result).parquet(f"{folder}/closed").select(order)
+    return spark.read.schema(CLOSED).parquet(f"{folder}/closed").select(order)
 
 
 def _start(spark: SparkSession, folder: str, k: int, origin: int, end: int, reach: int, late: int) -> None:
     """One start of the query, on what the feed holds and the checkpoint has not seen."""
     rows = spark.readStream.schema(COPY).parquet(f"{folder}/feed").withWatermark("at", f"{late * HOUR_MS + 1} milliseconds")
-    rows = rows.where(F.col("at") < F.timestamp_millis(F.lit((end - origin) * HOUR_MS))).select("bucket", "click_id", "hour", "digest", "at")
-    closed = rows.groupBy("bucket").transformWithState(ExpiringWindows(origin, reach, late), CLOSED, "Append", "EventTime")
-    sink = closed.withColumn("closed_batch", F.lit(k).cast("long")).writeStream.format("parquet").outputMode("append")
+    rows = rows.where(F.col("at") < F.timestamp_millis(F.lit((end - origin) * HOUR_MS))).select("click_id", "hour", "digest", "bucket")
+    kind = ", ".join(f"{c} array<{'binary' if c == 'digest' else 'long'}>" for c in COLUMNS)
+    packed = rows.mapInArrow(pack, "bucket int, copies binary")
+    closed = packed.groupBy("bucket").transformWithState(ExpiringWindows(origin, reach, late), kind, "Append", "EventTime")
+    hashed = closed.select(F.inline(F.arrays_zip(*COLUMNS))).select(*COLUMNS[:-1], F.lower(F.hex("digest")).alias("hash"), F.lit(k).cast("long").alias("closed_batch"))
+    sink = hashed.writeStream.format("parquet").outputMode("append")
     sink.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/closed").trigger(availableNow=True).start().awaitTermination()
 
 
