@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Judge = Callable[[Sequence[str]], Sequence[tuple[int, bool]]]
 
@@ -57,17 +59,27 @@ def judged(df: DataFrame, key: str, prompt: str, judges: Sequence[Judge], batch:
     return plain.mapInPandas(run, f"key {kind}, verdict boolean").toDF(key, out)
 
 
-def backfilled(df: DataFrame, key: str, source: str, value: str, fetch: Callable[[str], str | None]) -> DataFrame:
-    """Rows with their null values fetched; nothing is invented where the fetch finds nothing."""
+def with_found(df: DataFrame, gate: Column, source: str, fetch: Callable[[str], str | None], out: str) -> DataFrame:
+    """The rows with what `fetch` finds for their source where the gate holds, else null; no other row reaches Python.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Whole rows travel with what was found, so repeated and null keys are no matter; a null source finds nothing.
+    """
+    at = df.columns.index(source)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            yield pd.DataFrame({"key": rows["key"], "found": [None if s is None else fetch(s) for s in rows["source"]]})
+            found = [None if s is None else fetch(s) for s in rows.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.string())], schema.names)
 
-    kind = df.schema[key].dataType.simpleString()
-    empty = df.where(F.col(value).isNull()).select(F.col(key).alias("key"), F.col(source).alias("source"))
-    found = empty.mapInPandas(run, f"key {kind}, found string").toDF(key, "_found")
-    return df.join(found, key, "left").withColumn(value, F.coalesce(value, "_found")).drop("_found")
+    open_ = F.coalesce(gate, F.lit(False))
+    return df.where(open_).mapInArrow(run, schema).unionByName(df.where(~open_).withColumn(out, F.lit(None).cast("string")))
+
+
+def backfilled(df: DataFrame, source: str, value: str, fetch: Callable[[str], str | None]) -> DataFrame:
+    """Rows with their null values fetched; nothing is invented where the fetch finds nothing."""
+    found = with_found(df, F.col(value).isNull(), source, fetch, "_found")
+    return found.withColumn(value, F.coalesce(value, "_found")).drop("_found")
 
 
 Recogniser = Callable[[str], Sequence[tuple[float, float, str, float, float, str | None]]]

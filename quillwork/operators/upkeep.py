@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.values import changed, cosine
 
+from .judging import with_found
+
 
 def days_before(as_of: Column, days: int) -> Column:
     return as_of - F.make_interval(days=F.lit(days))
@@ -38,11 +40,13 @@ def to_refetch(listing: DataFrame, stored: DataFrame, key: str, tracked: Sequenc
 def due(work: DataFrame, ledger: DataFrame, key: str, as_of: Column, most: int = 5, wait: int = 60) -> DataFrame:
     """Work that no success covers and whose last failure is long enough ago, `wait` seconds doubled by each try.
 
+    A failure at an unknown time is long enough ago.
+
     `ledger` has the key, tries, tried_at and done; after `most` tries a piece of work is given up.
     """
     known = ledger.select(key, "tries", "tried_at", "done")
     rest = F.col("tried_at").cast("double") + wait * F.pow(F.lit(2.0), F.col("tries") - 1) <= as_of.cast("double")
-    open_ = F.col("tries").isNull() | (~F.col("done") & (F.col("tries") < most) & rest)
+    open_ = F.col("tries").isNull() | (~F.coalesce("done", F.lit(False)) & (F.col("tries") < most) & F.coalesce(rest, F.lit(True)))
     return work.join(known, key, "left").where(open_).drop("tries", "tried_at", "done")
 
 
@@ -128,19 +132,9 @@ def already_alerted(items: DataFrame, alerts: DataFrame, key: str, client: str,
     return near.groupBy(key, client).agg(first.alias("f")).select(key, client, "f.alert", "f.title")
 
 
-def gated(df: DataFrame, gate: Column, key: str, text: str, enrich: Callable[[str], str | None], out: str = "extra") -> DataFrame:
+def gated(df: DataFrame, gate: Column, text: str, enrich: Callable[[str], str | None], out: str = "extra") -> DataFrame:
     """The rows with `out` from an expensive step that only those meet for which the gate holds; null for the others."""
-
-    def run(batches):
-        import pandas as pd
-
-        for rows in batches:
-            yield pd.DataFrame({"key": rows["key"], "found": [None if t is None else enrich(t) for t in rows["text"]]})
-
-    kind = df.schema[key].dataType.simpleString()
-    some = df.where(gate).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = some.mapInPandas(run, f"key {kind}, found string").toDF(key, out)
-    return df.join(found, key, "left")
+    return with_found(df, gate, text, enrich, out)
 
 
 def with_context(hits: DataFrame, parts: DataFrame, key: str, position: str, margin: int = 1) -> DataFrame:

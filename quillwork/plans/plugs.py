@@ -46,7 +46,7 @@ def cross_source_alternates(spark, sf):
 @query("N28", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN source = 'src0' THEN NULL ELSE upper(source) END ELSE lang END AS lang FROM documents")
 def backfilled_values(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("lang"))
-    return J.backfilled(rows, "doc_id", "source", "lang", lambda s: None if s == "src0" else s.upper()).select("doc_id", "lang")
+    return J.backfilled(rows, "source", "lang", lambda s: None if s == "src0" else s.upper()).select("doc_id", "lang")
 
 
 @query("M7", "SELECT item_id, contains(lower(text), 'tion') AS verdict FROM benchmark")

@@ -206,7 +206,7 @@ def gated_enrichment(spark, sf):
         return str(len(body))
 
     rows = table(spark, sf, "documents").select("doc_id", "lang", F.concat_ws("|", "lang", "text").alias("said"))
-    return upkeep.gated(rows, (F.col("lang") == "en") & (F.col("doc_id") % 3 == 0), "doc_id", "said", measure).select("doc_id", "extra")
+    return upkeep.gated(rows, (F.col("lang") == "en") & (F.col("doc_id") % 3 == 0), "said", measure).select("doc_id", "extra")
 
 
 @query("N24", """WITH h AS (SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the ') AND turn % 2 = 0), w AS (SELECT conv_id, t AS turn, bool_or(t = turn) AS hit FROM (SELECT conv_id, turn, unnest(generate_series(turn - 1, turn + 1)) AS t FROM h) GROUP BY 1, 2)

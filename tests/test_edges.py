@@ -240,3 +240,19 @@ def test_replayed_streams(spark, sf, mode):
     out = flows.replayed(stream, f"q{uuid.uuid4().hex}", mode)
     batch = spark.read.parquet(f"{sf}/events.parquet")
     assert rows(out) == rows(batch.groupBy("event_type").count() if mode == "complete" else batch.select("event_id"))
+
+
+def test_fetched_values_stay_with_their_rows(spark):
+    data = [(1, "a", None), (1, "b", None), (None, "c", None), (2, None, None), (3, "none", None), (4, "d", "kept")]
+    df = spark.createDataFrame(data, "k long, s string, v string")
+    fetch = lambda s: None if s == "none" else s.upper()
+    assert rows(judging.backfilled(df, "s", "v", fetch)) == sorted([(1, "a", "A"), (1, "b", "B"), (None, "c", "C"), (2, None, None), (3, "none", None), (4, "d", "kept")], key=repr)
+    gate = F.col("k") < 3
+    assert rows(upkeep.gated(df, gate, "s", fetch), "k", "extra") == sorted([(1, "A"), (1, "B"), (None, None), (2, None), (3, None), (4, None)], key=repr)
+    assert upkeep.gated(df.limit(0), gate, "s", fetch).count() == 0
+
+
+def test_a_failure_at_an_unknown_time_is_due(spark):
+    ledger = spark.createDataFrame([(1, 2, None, False), (2, 5, None, False), (3, 1, None, True), (4, 1, None, None)], "k long, tries int, tried_at timestamp, done boolean")
+    work = spark.createDataFrame([(k,) for k in range(6)], "k long")
+    assert rows(upkeep.due(work, ledger, "k", F.expr("timestamp'2024-01-01'"), most=5)) == [(0,), (1,), (4,), (5,)]
