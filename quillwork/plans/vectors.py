@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillwork.functions import values
+from quillwork.operators import cells as C
 from quillwork.operators import events as E
 from quillwork.operators import greedy as G
 from quillwork.operators import learning as L
+from quillwork.operators import postings as P
 from quillwork.operators import retrieval as V
 from quillwork.session import table
 
@@ -32,6 +36,17 @@ def cosine_topk(spark, sf):
     return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("V2", f"""SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format('q.embedding', 'x.embedding')} DESC, x.vec_id) AS rank
+    FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0 AND x.label IN (1, 4)) WHERE rank <= 5""")
+def filtered_nearest(spark, sf):
+    """Neighbours with two labels over a stored index of cells, all of them probed; only those labels' partitions are read."""
+    rows = table(spark, sf, "embeddings")
+    folder = f"{V.shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    C.build(rows, folder, "vec_id", "embedding", ["label"])
+    found = C.search(spark, folder, rows.where("vec_id % 20 = 0"), 5, "vec_id", "embedding", F.col("label").isin(1, 4))
+    return found.select(F.col("vec_id").alias("query_id"), F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("V5 A20", f"""SELECT e.vec_id, p.label AS profile, round(max({COS.format('e.embedding', 'p.embedding')}), 5) AS affinity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 12) p GROUP BY 1, 2""")
 def affinity_max_fragment(spark, sf):
     rows = table(spark, sf, "embeddings")
@@ -68,6 +83,20 @@ def _ranked(df, most: int = 40):
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).select("doc_id", "rank")
 
 
+@query("V3 V6", f"""WITH d AS (SELECT CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 5 = 0 THEN source ELSE text END AS t FROM documents),
+    w AS (SELECT DISTINCT row_number() OVER () AS r, list_filter(string_split({words_sql("coalesce(t, '')")}, ' '), lambda x: x <> '') AS ws FROM d)
+    SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(ws) AS term FROM w) GROUP BY 1""")
+def maintained_postings(spark, sf):
+    """Document frequencies of stored postings after inserts, updates and deletes."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    folder = f"{V.shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    P.build(docs.where("doc_id % 9 <> 0"), folder, "doc_id", "text")
+    said = F.when(F.col("doc_id") % 7 == 3, F.lit(None)).when(F.col("doc_id") % 5 == 0, F.col("source")).otherwise(F.col("text"))
+    changes = docs.where("doc_id % 9 = 0 or doc_id % 7 = 3 or doc_id % 5 = 0").select("doc_id", said.alias("text"), F.col("doc_id").alias("at"))
+    P.change(spark, folder, changes, "doc_id", "text", "at")
+    return P.read(spark, folder, part="df").select("term", "df")
+
+
 QUESTION_WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> ''))".format(words_sql("text"))
 
 
