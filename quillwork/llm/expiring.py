@@ -2,8 +2,8 @@
 
 Ids are hashed to buckets.  A bucket keeps two maps, from id to its open window and from deadline hour to the ids whose
 windows end then (the timing wheel), and one timer at its first deadline; when the watermark has passed the timer, the due
-slots are drained and the timer moves to the next one.  The watermark is the largest hour seen less the lateness, so the
-run without data that follows every batch closes what the batch has made expire.
+slots are drained and the timer moves to the next one.  The watermark is the largest hour of earlier batches less the
+lateness, so what a batch has made expire is drained in the next run, and counts as closed after the batch before it.
 
 A bucket's windows are read in one pass when rows come for it.  Windows that its own latest row already makes expire are
 handed out at once and not stored: the batch's watermark can only be later.  The number of buckets grows with the input,
@@ -47,7 +47,8 @@ CLOSED = "click_id long, start_hour long, n_repeats long, n_conflicts long, conf
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    # the next start drains what a batch has made expire, so no run without data is needed for that
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     # every start opens its stores anew: those of earlier starts would keep their files
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # all stores of an executor share this memory
@@ -87,7 +88,8 @@ class ExpiringWindows(StatefulProcessor):
         copies = copies[np.lexsort((*places.T[::-1], copies["hour"], copies["id"]))]
         raw = np.ascontiguousarray(copies["digest"]).tobytes()
         stored = {k[0]: [*v[:4], bytes(v[4])] for k, v in self.windows.iterator()}
-        now = {one: list(w) for one, w in stored.items()}
+        now = {one: list(w) for one, w in stored.items() if self._timer(w[0] + self.reach) > mark}
+        before = [(one, *w) for one, w in stored.items() if one not in now]
         closed: list[tuple] = []
         at = 0
         for one, hour in zip(copies["id"].tolist(), copies["hour"].tolist(), strict=True):
@@ -108,8 +110,10 @@ class ExpiringWindows(StatefulProcessor):
         closed += [(one, *w) for one, w in now.items() if w[0] < gone]
         now = {one: w for one, w in now.items() if w[0] >= gone}
         self._keep(stored, now)
+        if before:
+            yield _packed(before, False)
         if closed:
-            yield _packed(closed)
+            yield _packed(closed, True)
 
     def _keep(self, stored: dict[int, list], now: dict[int, list]) -> None:
         """Writes what has changed, or everything anew if that is less."""
@@ -160,12 +164,12 @@ class ExpiringWindows(StatefulProcessor):
                 self.wheel.removeKey((deadline,))
             self.handle.registerTimer(self._timer(deadlines[len(due)]))
         if closed:
-            yield _packed(closed)
+            yield _packed(closed, False)
 
 
-def _packed(closed: list[tuple]) -> Row:
-    """Closed windows as one row of columns: a row of its own for each would cost more than what was counted."""
-    return Row(**dict(zip(COLUMNS, map(list, zip(*closed, strict=True)), strict=True)))
+def _packed(closed: list[tuple], now: bool) -> Row:
+    """Windows closed in this batch, or after the one before it, as one row of columns: a row of its own for each would cost more than what was counted."""
+    return Row(now=now, **dict(zip(COLUMNS, map(list, zip(*closed, strict=True)), strict=True)))
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +240,19 @@ def deduplicate(rows: DataFrame, batches: int = BATCHES, reach: int = REACH, lat
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     try:
+        seen, ends = 0, [batches, batches + 1]
+        end_row = last.withColumn("at", at(F.col("hour")))  # from far ahead: all windows have expired in the run after it
         for k in range(batches):
-            if not _moved(spark, f"{folder}/batches/batch={k}", f"{folder}/feed/batch={k}") and k + 1 < batches:
+            if not _moved(spark, f"{folder}/batches/batch={k}", f"{folder}/feed/batch={k}"):
                 continue  # nothing comes, nothing closes
-            if k + 1 == batches:  # a row from far ahead moves the watermark past all windows
-                last.withColumn("at", at(F.col("hour"))).write.mode("append").parquet(f"{folder}/feed/batch={k}")
-            _start(spark, folder, k, origin, end, reach, late)
+            if k + 1 == batches:
+                end_row.write.mode("append").parquet(f"{folder}/feed/batch={k}")
+                ends = ends[1:]
+            _start(spark, folder, k, seen, origin, end, reach, late)
+            seen = k
+        for k in ends:  # the first of two drains what the last batch that came has made expire
+            end_row.write.parquet(f"{folder}/feed/batch={k}")
+            _start(spark, folder, k, seen if k == batches else batches - 1, origin, end, reach, late)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -250,14 +261,14 @@ def deduplicate(rows: DataFrame, batches: int = BATCHES, reach: int = REACH, lat
     return spark.read.schema(CLOSED).parquet(f"{folder}/closed").select(order)
 
 
-def _start(spark: SparkSession, folder: str, k: int, origin: int, end: int, reach: int, late: int) -> None:
-    """One start of the query, on what the feed holds and the checkpoint has not seen."""
+def _start(spark: SparkSession, folder: str, k: int, before: int, origin: int, end: int, reach: int, late: int) -> None:
+    """One start of the query, on what the feed holds and the checkpoint has not seen; `before` is the batch before batch k."""
     rows = spark.readStream.schema(COPY).parquet(f"{folder}/feed").withWatermark("at", f"{late * HOUR_MS + 1} milliseconds")
     rows = rows.where(F.col("at") < F.timestamp_millis(F.lit((end - origin) * HOUR_MS))).select("click_id", "hour", "digest", "bucket")
-    kind = ", ".join(f"{c} array<{'binary' if c == 'digest' else 'long'}>" for c in COLUMNS)
+    kind = "now boolean, " + ", ".join(f"{c} array<{'binary' if c == 'digest' else 'long'}>" for c in COLUMNS)
     packed = rows.mapInArrow(pack, "bucket int, copies binary")
     closed = packed.groupBy("bucket").transformWithState(ExpiringWindows(origin, reach, late), kind, "Append", "EventTime")
-    hashed = closed.select(F.inline(F.arrays_zip(*COLUMNS))).select(*COLUMNS[:-1], F.lower(F.hex("digest")).alias("hash"), F.lit(k).cast("long").alias("closed_batch"))
+    hashed = closed.select("now", F.inline(F.arrays_zip(*COLUMNS))).select(*COLUMNS[:-1], F.lower(F.hex("digest")).alias("hash"), F.when(F.col("now"), k).otherwise(before).cast("long").alias("closed_batch"))
     sink = hashed.writeStream.format("parquet").outputMode("append")
     sink.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/closed").trigger(availableNow=True).start().awaitTermination()
 
