@@ -227,6 +227,12 @@ def relevance_predicate(spark, sf):
     return rows.where(F.lower("text").rlike("license|version")).select("doc_id")
 
 
+@query("F15", """SELECT doc_id, len(regexp_extract_all(text, '[0-9]{4,}')) AS n FROM documents WHERE regexp_matches(text, '[0-9]{4,}')""")
+def pattern_events(spark, sf):
+    rows = table(spark, sf, "documents").where(F.col("text").rlike("[0-9]{4,}"))
+    return rows.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]{4,}"), F.lit(0))).cast("long").alias("n"))
+
+
 def doubled(c: str) -> str:
     """A pattern under which letters that stand twice may stand once, and b and v are one."""
     for letter in "abcdefghijklmnopqrstuvwxyz":
