@@ -6,12 +6,14 @@ makes a returned state current.  `as_of` is always given.  Null keys match nothi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwork.functions.values import changed, cosine
+from quillwork.functions.values import changed
 
 from .judging import with_found
 
@@ -116,20 +118,51 @@ def index_refreshed(index: DataFrame, items: DataFrame, key: str, model: str, em
     return same.unionByName(new)
 
 
-def already_alerted(items: DataFrame, alerts: DataFrame, key: str, client: str, at: str, vector: str, least: float = 0.78, days: int = 30) -> DataFrame:
+def already_alerted(
+    items: DataFrame, alerts: DataFrame, key: str, client: str, at: str, vector: str, least: float = 0.78, days: int = 30, block: int = 1024
+) -> DataFrame:
     """The first alert, by day and id, that told a client an item's fact within so many days before it (V8).
 
-    `at` is a day number.  `items` has key, day and vector; `alerts` alert, client, day, title and vector.  Both meet in
-    spans of days, so no item meets alerts older than two spans.
+    `at` is a day number.  `items` has key, day and vector; `alerts` alert, client, day, title and vector.  Both are dealt
+    to blocks of about `block` rows of a span of days; an item's block meets the alerts' blocks of its span and the one
+    before, each two as one row of work, from which only the first alert of an item and a client leaves.  Null and zero
+    vectors and null days match nothing, nor do vectors of different lengths; null clients are one client.
     """
-    a = items.select(F.col(key), F.col(at).alias("_day"), F.col(vector).alias("_v"))
-    span = F.floor(F.col("_day") / (days + 1))
-    a = a.withColumn("_s", F.explode(F.array(span - 1, span)))
-    b = alerts.select("alert", client, "title", F.col(at).alias("_sent"), F.col(vector).alias("_w")).withColumn("_s", F.floor(F.col("_sent") / (days + 1)))
-    near = a.join(b, "_s").where((F.col("_sent") <= F.col("_day")) & (F.col("_sent") >= F.col("_day") - days))
-    near = near.where(cosine("_v", "_w") >= least)
-    first = F.min_by(F.struct("alert", "title"), F.struct("_sent", "alert"))
-    return near.groupBy(key, client).agg(first.alias("f")).select(key, client, "f.alert", "f.title")
+    v = F.col(vector).cast("array<double>")
+    length = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+    unit = F.when(length > 0, F.transform(v, lambda x: x / length)).alias("v")
+    day, told = F.col(at).cast("long"), F.col(client).alias("client")
+
+    def blocks(df: DataFrame, name: str, *fields: Column) -> DataFrame:
+        rows = df.select(F.floor(day / (days + 1)).alias("span"), F.size(v).alias("width"), F.struct(*fields, unit).alias("r")).where("span is not null and r.v is not null")
+        deals = rows.groupBy("span", "width").agg(F.ceil(F.count("*") / block).alias("deals"))
+        part = F.pmod(F.xxhash64("r"), F.col("deals")).alias(name)
+        dealt = rows.join(deals, ["span", "width"]).select("span", "width", part, "r")
+        return dealt.groupBy("span", "width", name).agg(F.array_sort(F.collect_list("r")).alias(f"{name}_rows"))  # about `block` rows
+
+    a = blocks(items, "i", F.col(key).alias("key"), day.alias("day")).withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"))))
+    b = blocks(alerts, "j", day.alias("sent"), F.col("alert"), F.col("title"), told)
+    work = a.join(b, ["span", "width"]).repartition("span", "width", "i", "j").select("i_rows", "j_rows")
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((items, key), (alerts, client), (alerts, "alert"), (alerts, "title"))}
+
+    def first_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = x.values, y.values
+                p, q = (z.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1) for z in (x, y))
+                on, sent = (z.field(c).to_numpy(zero_copy_only=False) for z, c in ((x, "day"), (y, "sent")))
+                near = (p @ q.T >= least - 1e-12) & (sent <= on[:, None]) & (sent >= on[:, None] - days)
+                codes = y.field("client").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                r, c = np.nonzero(near)  # alerts of a block are in order, so an item's first one of a client comes first
+                _, once = np.unique(r * len(y) + codes[c], return_index=True)
+                r, c = pa.array(r[once]), pa.array(c[once])
+                out = {"key": x.field("key").take(r), **{n: y.field(n).take(c) for n in ("client", "alert", "title", "sent")}}
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = f"key {types[key]}, client {types[client]}, alert {types['alert']}, title {types['title']}, sent long"
+    found = work.mapInArrow(first_told, schema)
+    first = F.min_by(F.struct("alert", "title"), F.struct("sent", "alert", "title")).alias("f")
+    return found.groupBy("key", "client").agg(first).select(F.col("key").alias(key), F.col("client").alias(client), "f.alert", "f.title")
 
 
 def gated(df: DataFrame, gate: Column, text: str, enrich: Callable[[str], str | None], out: str = "extra") -> DataFrame:

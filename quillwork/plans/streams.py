@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillwork.operators import suppression
 from quillwork.session import table
 from quillwork.streaming import flows, folds
 from quillwork.streaming import timed as deadlines
@@ -53,11 +54,31 @@ def fire_once_per_version(spark, sf):
     return flows.once_per_version(rows, ["event_type"], F.col("slot").cast("string")).select("event_type", "slot")
 
 
-@query("X5")
+# per source, a minute a document: pairs that share half their words within six hours, then the rows in order
+REPEATS = r"""WITH RECURSIVE d AS (SELECT coalesce(source, '') || (source IS NULL) AS s, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{4,}')) AS w FROM documents),
+    p AS (SELECT b.doc_id, a.doc_id AS a, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS total FROM d a JOIN d b ON a.s = b.s AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 360),
+    e AS (SELECT doc_id, list(a ORDER BY a) AS near FROM p WHERE k > 0 AND 2 * k >= total - k GROUP BY 1),
+    m AS (SELECT d.s, d.n, d.doc_id, e.near FROM d LEFT JOIN e USING (doc_id)),
+    r AS (SELECT s, n, doc_id, doc_id AS leader, [doc_id] AS kept FROM m WHERE n = 1
+      UNION ALL SELECT m.s, m.n, m.doc_id, coalesce(list_min(list_intersect(m.near, r.kept)), m.doc_id), CASE WHEN list_has_any(coalesce(m.near, []), r.kept) THEN r.kept ELSE list_append(list_filter(r.kept, lambda x: x > m.doc_id - 360), m.doc_id) END FROM r JOIN m ON m.s = r.s AND m.n = r.n + 1)"""
+
+
+def repeats(spark, sf):
+    rows = table(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") * 60).alias("t"), "text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))
+    return rows.select("source", "doc_id"), suppression.unlike_recent(rows, "source", "t", "doc_id", words, 6 * 3600, 0.5)
+
+
+@query("X5", REPEATS + " SELECT doc_id, leader FROM r")
+def suppressed_repeats(spark, sf):
+    """Whom each document repeats: the oldest document let through within six hours in its source that shares half its words."""
+    return repeats(spark, sf)[1]
+
+
+@query("X5", REPEATS + " SELECT CASE WHEN s LIKE '%true' THEN NULL ELSE left(s, len(s) - 5) END AS source, count(*) AS n FROM r WHERE doc_id = leader GROUP BY 1")
 def near_duplicate_window(spark, sf):
-    rows = table(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") * 60.0).alias("t"), "text")
-    out = folds.folded(rows, ["source"], ["t", "doc_id"], folds.unlike_recent("t", "text", 6 * 3600, 0.5, ["doc_id"]), "t double, doc_id long")
-    return out.groupBy("source").agg(F.count("*").alias("n"))
+    rows, found = repeats(spark, sf)
+    return found.where("doc_id = leader").join(rows, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("X6", """SELECT conv_id, turn, count(*) OVER w AS parts, CAST(sum(length(text)) OVER w AS BIGINT) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")

@@ -110,6 +110,24 @@ def test_alerts_tell_once(spark):
     assert rows(out) == [(1, "c", 2, "first")]
 
 
+def test_alerts_in_blocks_of_any_size(spark):
+    rng = random.Random(6)
+    vector = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]
+    items = [(k, rng.randrange(-5, 60), vector()) for k in range(40)] + [(90, None, [1.0, 0.0, 0.0]), (91, 30, [1.0, 0.0])]
+    alerts = [(k, rng.choice(["c", "d", None]), rng.randrange(-5, 60), f"t{k}", vector()) for k in range(40)] + [(95, "e", 29, None, [1.0, 0.0]), (96, "e", None, "x", [1.0, 0.0])]
+    expected = {}
+    for k, day, v in items:
+        for sent, alert, client, title, w in sorted((s, a, c or "", t or "", w) for a, c, s, t, w in alerts if s is not None):
+            norms = sum(x * x for x in v) * sum(x * x for x in w)
+            if day is not None and len(v) == len(w) and norms and day - 7 <= sent <= day and sum(x * y for x, y in zip(v, w, strict=True)) / norms**0.5 >= 0.78 - 1e-12:
+                expected.setdefault((k, client), (alert, title))
+    both = (spark.createDataFrame(items, "k long, day int, v array<double>"), spark.createDataFrame(alerts, "alert long, client string, day int, title string, v array<double>"))
+    for block in (2, 1024):
+        out = upkeep.already_alerted(*both, "k", "client", "day", "v", days=7, block=block)
+        assert {(r.k, r.client or ""): (r.alert, r.title or "") for r in out.collect()} == expected
+    assert upkeep.already_alerted(both[0].limit(0), both[1], "k", "client", "day", "v").count() == 0
+
+
 # linkage and retrieval
 
 
