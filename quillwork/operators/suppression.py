@@ -111,10 +111,12 @@ def unlike_recent(
     ordered = F.transform(F.array_sort(F.transform(F.array_distinct(said), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
     time = (F.col(at) if isinstance(at, str) else at).cast("double")
     plain = rows.select(F.to_json(F.struct(F.col(block))).alias("block"), time.alias("at"), F.col(key).alias("key"), F.filter(ordered, F.isnotnull).alias("words"))
-    judged_alone = plain.where("at is null or words is null or size(words) = 0").select("key", F.col("key").alias("leader"))
-    plain = plain.where("at is not null and size(words) > 0")
+    told = written(plain, "suppression-words")  # counted, sampled and dealt without finding the words again
+    judged_alone = written(told.where("at is null or words is null or size(words) = 0").select("key", F.col("key").alias("leader")), "suppression-alone")
+    plain = told.where("at is not null and size(words) > 0")
     pieces = min(PIECES, -(-plain.count() // piece)) or 1
     dealt = written(plain.repartitionByRange(pieces, "block", "at", "key").withColumn("piece", F.spark_partition_id()), "suppression-rows")
+    discard(told)
 
     heads = dealt.groupBy("piece").agg(F.min("block").alias("block"))
     links = written(heads.withColumn("last", F.lag("piece").over(Window.orderBy("piece"))), "suppression-pieces")  # a row a piece, at most PIECES
