@@ -55,3 +55,9 @@ def test_queries_read_whole_texts(spark):
     assert ran(spark, "mojibake_repair", "documents", [(1, "s", "x" * 100 + "Á")], docs) == [(1, False)]
     found = ran(spark, "packed_messages", "conversations", [(1, "user", "y" * 1500, 0)], "conv_id long, role string, text string, turn long")
     assert found == [(1, 1, 1, 1505)]
+
+
+def test_references_of_larger_user_ids(spark):
+    events = [(1, 7), (2, 30001), (3, 89999), (4, 99_999_998), (5, 0), (6, 1006), (20000, 5)]
+    found = ran(spark, "ref_extract_dedupe", "events", events, "event_id long, user_id long")
+    assert found == [(1, "7,1001"), (2, "30001,1002"), (3, "89999,1003"), (4, "99999998,1004")]
