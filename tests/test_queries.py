@@ -61,3 +61,9 @@ def test_references_of_larger_user_ids(spark):
     events = [(1, 7), (2, 30001), (3, 89999), (4, 99_999_998), (5, 0), (6, 1006), (20000, 5)]
     found = ran(spark, "ref_extract_dedupe", "events", events, "event_id long, user_id long")
     assert found == [(1, "7,1001"), (2, "30001,1002"), (3, "89999,1003"), (4, "99999998,1004")]
+
+
+def test_labels_come_in_the_order_of_the_rules(spark):
+    docs = [(1, "A license !! and a Token"), (2, "password!!"), (3, "license released, token!!"), (4, ""), (5, None)]
+    found = ran(spark, "multilabel_with_veto", "documents", docs, "doc_id long, text string")
+    assert found == [(1, "norm,shout,secret"), (2, "shout,secret"), (3, "shout,secret"), (4, ""), (5, "")]
