@@ -14,20 +14,22 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.values import cosine
 
-from .retrieval import written
+from .retrieval import discard, written
 
 
-def topic_pipeline(text: str, label: str, features: int = 1 << 12, c: float = 4.0, rounds: int = 20) -> Pipeline:
-    """Word n-grams (1, 2) and character n-grams (4) as hashed TF-IDF into a balanced logistic regression (M1)."""
+def topic_features(text: str, features: int = 1 << 12) -> PipelineModel:
+    """Counts of hashed word n-grams (1, 2) and character n-grams (4); nothing is fitted (M1)."""
     words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+", minTokenLength=1)
     chars = RegexTokenizer(inputCol=text, outputCol="_ch", pattern=r".", gaps=False, minTokenLength=1)
     stages = [words, NGram(n=2, inputCol="_w", outputCol="_w2"), chars, NGram(n=4, inputCol="_ch", outputCol="_c4")]
-    for name in ("_w", "_w2", "_c4"):
-        stages += [HashingTF(numFeatures=features, inputCol=name, outputCol=f"{name}_tf"), IDF(inputCol=f"{name}_tf", outputCol=f"{name}_x")]
-    stages.append(VectorAssembler(inputCols=["_w_x", "_w2_x", "_c4_x"], outputCol="_x"))
-    stages.append(StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip"))
-    stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", regParam=1 / (1000 * c), maxIter=rounds))
-    return Pipeline(stages=stages)
+    stages += [HashingTF(numFeatures=features, inputCol=name, outputCol=f"{name}_tf") for name in ("_w", "_w2", "_c4")]
+    return PipelineModel([*stages, VectorAssembler(inputCols=["_w_tf", "_w2_tf", "_c4_tf"], outputCol="_tf")])
+
+
+def topic_learner(label: str, c: float = 4.0, rounds: int = 20) -> Pipeline:
+    """A balanced logistic regression on the TF-IDF of counts (M1)."""
+    stages = [IDF(inputCol="_tf", outputCol="_x"), StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip")]
+    return Pipeline(stages=[*stages, LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", regParam=1 / (1000 * c), maxIter=rounds)])
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -38,9 +40,12 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(weights, label)
 
 
-def train_topics(df: DataFrame, text: str, label: str, **options) -> PipelineModel:
-    rows = df.where(F.col(label).isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
-    return topic_pipeline(text, label, **options).fit(balanced(rows, label))
+def train_topics(df: DataFrame, text: str, label: str, features: int = 1 << 12, **options) -> PipelineModel:
+    """The topic model of texts; their counts are written, so that the passes of the fit do not split them again."""
+    rows = df.where(F.col(label).isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")).select(text, label)
+    counts = topic_features(text, features)
+    model = topic_learner(label, **options).fit(balanced(written(counts.transform(rows).select(label, "_tf"), "topic-counts"), label))
+    return PipelineModel([*counts.stages, *model.stages])
 
 
 def predicted(model: PipelineModel, df: DataFrame, text: str, out: str = "topic") -> DataFrame:
@@ -70,30 +75,39 @@ def ranked(model: PipelineModel, df: DataFrame, text: str, k: int = 5, fallback:
 
     A null or blank text gets the fallback alone, with certainty, or nothing.
     """
-    names = model.stages[-2].labels
-    scoring = PipelineModel([s for s in model.stages if s.uid != model.stages[-2].uid])
     plain = F.coalesce(F.col(text), F.lit(""))
-    rows = scoring.transform(df.withColumns({"_weight": F.lit(1.0), "_said": F.col(text), text: plain}))
-    said = F.arrays_zip(vector_to_array("probability").alias("p"), F.array(*map(F.lit, names)).alias("label"))
-    best = F.slice(F.array_sort(F.transform(said, lambda x: F.struct((-x["p"]).alias("n"), x["label"].alias("label")))), 1, k)
-    top = F.transform(best, lambda x: F.struct(x["label"].alias("label"), (-x["n"]).alias("p")))
+    rows, top = _likeliest(model, df.withColumns({"_said": F.col(text), text: plain}), k)
     alone = F.array(F.struct(F.lit(fallback).alias("label"), F.lit(1.0).alias("p"))) if fallback is not None else F.slice(top, 1, 0)
     kept = [F.col("_said").alias(text) if c == text else F.col(c) for c in df.columns]
     return rows.select(*kept, F.when(F.trim(plain) == "", alone).otherwise(top).alias("top"))
 
 
-def validated(df: DataFrame, text: str, label: str, key: str, k: int = 5, most: int = 5, side_by_side: int = 2, **options) -> DataFrame:
+def _likeliest(model: PipelineModel, df: DataFrame, k: int) -> tuple[DataFrame, Column]:
+    """The rows scored by a model's stages, and their k likeliest labels."""
+    names = model.stages[-2].labels
+    rows = PipelineModel([s for s in model.stages if s.uid != model.stages[-2].uid]).transform(df.withColumn("_weight", F.lit(1.0)))
+    said = F.arrays_zip(vector_to_array("probability").alias("p"), F.array(*map(F.lit, names)).alias("label"))
+    best = F.slice(F.array_sort(F.transform(said, lambda x: F.struct((-x["p"]).alias("n"), x["label"].alias("label")))), 1, k)
+    return rows, F.transform(best, lambda x: F.struct(x["label"].alias("label"), (-x["n"]).alias("p")))
+
+
+def validated(df: DataFrame, text: str, label: str, key: str, k: int = 5, most: int = 5, side_by_side: int = 2, features: int = 1 << 12, **options) -> DataFrame:
     """(key, label, fold, top): every labelled row judged by a model that has not seen its fold (M2).
 
     Folds are dealt within each label, so all models know all labels that have at least two rows; `side_by_side` models
-    are fitted at a time.  Rows without a label or a text take no part.
+    are fitted at a time.  Rows without a label or a text take no part.  Texts are split and counted once for all models,
+    which learn from and judge the written counts.
     """
     rows = df.where(F.col(label).isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")).select(key, text, label)
-    dealt = written(folds(rows, label, key, k), "folds")
+    counts = written(topic_features(text, features).transform(rows).select(key, label, "_tf"), "topic-counts")
+    dealt = written(folds(counts.select(key, label), label, key, k), "folds")
+    counted = written(counts.join(dealt.select(key, "fold"), key), "topic-folds")
+    discard(counts)
 
     def judged(fold: int) -> DataFrame:
-        model = train_topics(dealt.where(F.col("fold") != fold), text, label, **options)
-        return ranked(model, dealt.where(F.col("fold") == fold), text, most).select(key, label, "fold", "top")
+        model = topic_learner(label, **options).fit(balanced(counted.where(F.col("fold") != fold), label))
+        rows, top = _likeliest(model, counted.where(F.col("fold") == fold), most)
+        return rows.select(key, label, "fold", top.alias("top"))
 
     with ThreadPool(side_by_side) as pool:  # the driver only waits: each fit is Spark jobs
         parts = pool.map(judged, range(k))

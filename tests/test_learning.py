@@ -71,3 +71,19 @@ def test_pair_features(spark):
     assert got.keys() == {(1, 2), (1, 3)}
     assert (got[1, 2].overlap, got[1, 2].cosine, got[1, 2].apart) == (0.5, 0.0, 3.0) and got[1, 2].rarest > 0
     assert (got[1, 3].overlap, got[1, 3].cosine, got[1, 3].apart, got[1, 3].rarest) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_texts_are_split_once_for_all_folds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    df = spark.createDataFrame([(k, f"{'river' if k % 2 else 'budget'} word{k % 5}", "ab"[k % 2]) for k in range(60)], "k long, t string, c string")
+    out = learning.validated(df.withColumn("t", counted.asNondeterministic()("t")), "t", "c", "k", k=3, most=2, features=64, rounds=5).collect()
+    assert len(out) == 60 and all(r.top[0]["label"] == r.c for r in out)
+    assert seen.value <= 120  # once to write the counts; twice if the filter and the counts both ask for the text
