@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.constants import NUMBER_WORDS
 
+#: Items that leave a parser at a time, however many the documents of a batch hold.
+PIECE = 2_000
+
 
 def parsed(df: DataFrame, key: str, text: str, parse: Callable[[str], Iterator[tuple]], fields: str) -> DataFrame:
     """key, position and the fields of every item that `parse` yields from a row's text."""
@@ -25,8 +29,9 @@ def parsed(df: DataFrame, key: str, text: str, parse: Callable[[str], Iterator[t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, i, *item) for k, t in zip(batch["key"], batch["text"], strict=True) if t for i, item in enumerate(parse(t))]
-            yield pd.DataFrame(out, columns=["key", "position", *names], dtype=object)
+            found = ((k, i, *item) for k, t in zip(batch["key"], batch["text"], strict=True) if t for i, item in enumerate(parse(t)))
+            while out := list(islice(found, PIECE)):
+                yield pd.DataFrame(out, columns=["key", "position", *names], dtype=object)
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInPandas(run, f"key {kind}, position int, {fields}").withColumnRenamed("key", key)
