@@ -3,6 +3,8 @@
 import uuid
 
 from quillwork.operators import matching as M
+from quillwork.operators import postings as P
+from quillwork.operators import retrieval as V
 from quillwork.operators.retrieval import shared_folder
 
 
@@ -22,3 +24,18 @@ def test_texts_are_read_once(spark):
     shared = M.token_overlap(both[1], both[0], "i", "k", "v", "w", 2)
     assert sorted(tuple(r) for r in shared.collect()) == [(7, 1, 3), (7, 3, 2)]
     assert not any(folder in f for f in shared.inputFiles())
+
+
+def test_questions_read_documents_once(spark):
+    docs, folder = stored(spark, [(1, "a b b c"), (2, "b"), (3, None), (4, ""), (5, "b, B; x")], "k long, text string")
+    asked = spark.createDataFrame([(7, "b b c"), (8, None), (9, "zzz")], "q long, asked string")
+    found = V.bm25_many(asked, docs, "q", "asked", "k", "text", 2)
+    assert [(r.q, r.k, r.rank) for r in found.orderBy("rank").collect()] == [(7, 1, 1), (7, 2, 2)]
+    assert not any(folder in f for f in found.inputFiles())
+
+
+def test_words_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "b a b, B"), (2, ""), (3, None), (None, "a"), (4, "é e")], "k long, text string")
+    found = P.of_docs(docs, "k", "text")
+    assert sorted((r.key, r.term, r.tf) for r in found.collect()) == [(1, "a", 1), (1, "b", 3), (4, "e", 2)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
