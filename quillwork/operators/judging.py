@@ -7,6 +7,7 @@ caller's; the stubs here are deterministic and run offline.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillwork.session import bounded_batches
+
+#: Segments that leave a recogniser at a time.
+PIECE = 2_000
+
 Judge = Callable[[Sequence[str]], Sequence[tuple[int, bool]]]
 
 
@@ -104,14 +110,17 @@ def recognised(df: DataFrame, key: str, sound: str, recogniser: Recogniser) -> D
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def heard(k, sound: str) -> list[tuple]:
+            try:
+                return [(k, *x) for x in recogniser(sound)] if sound is not None else []
+            except Exception:  # one broken recording must not stop the others
+                return []
+
         for rows in batches:
-            out: list[tuple] = []
-            for k, sound in zip(rows["key"], rows["sound"], strict=True):
-                try:
-                    out += [(k, *x) for x in recogniser(sound)] if sound is not None else []
-                except Exception:  # one broken recording must not stop the others
-                    continue
-            yield pd.DataFrame(out, columns=["key", "start", "end", "said", "no_speech", "logprob", "voice"])
+            found = (x for k, sound in zip(rows["key"], rows["sound"], strict=True) for x in heard(k, sound))
+            while out := list(islice(found, PIECE)):
+                yield pd.DataFrame(out, columns=["key", "start", "end", "said", "no_speech", "logprob", "voice"])
 
+    bounded_batches(df.sparkSession)
     plain = df.select(F.col(key).alias("key"), F.col(sound).alias("sound"))
     return plain.mapInPandas(run, f"key {kind}, start double, end double, said string, no_speech double, logprob double, voice string").withColumnRenamed("key", key)

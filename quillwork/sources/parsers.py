@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions.constants import NUMBER_WORDS
+from quillwork.session import bounded_batches
 
 #: Items that leave a parser at a time, however many the documents of a batch hold.
 PIECE = 2_000
@@ -33,6 +34,7 @@ def parsed(df: DataFrame, key: str, text: str, parse: Callable[[str], Iterator[t
             while out := list(islice(found, PIECE)):
                 yield pd.DataFrame(out, columns=["key", "position", *names], dtype=object)
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInPandas(run, f"key {kind}, position int, {fields}").withColumnRenamed("key", key)
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillwork.session import bounded_batches
+
 Step = Callable[[Any, dict], tuple[Any, list[tuple]]]
 Flush = Callable[[Any], list[tuple]]
 
@@ -25,6 +27,7 @@ Flush = Callable[[Any], list[tuple]]
 def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out: str, flush: Flush | None = None) -> DataFrame:
     """The rows that a step emits for each key in the given order, behind the key's columns (batch)."""
     schema = T.StructType([df.schema[k] for k in keys] + list(T.StructType.fromDDL(out).fields))
+    bounded_batches(df.sparkSession)
     rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     names = schema.names
 
