@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.session import bounded_batches
+
 from .retrieval import discard, written
 
 #: Rows of a piece, and the most pieces: beyond PIECE * PIECES rows pieces grow, which only makes tasks longer.
@@ -91,6 +93,7 @@ def _judged(told: DataFrame, kind: str, seconds: float, least: float, tasks: int
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(ends(), columns=names)
 
+    bounded_batches(told.sparkSession)
     rows = told.repartition(tasks, "piece").sortWithinPartitions("piece", F.desc("before"), "block", "at", "key")
     return rows.mapInPandas(run, f"piece int, block string, at double, key {kind}, leader {kind}, words array<string>")
 
