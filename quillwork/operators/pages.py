@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .greedy import matched
+from .relational import small
+from .retrieval import written
+
+#: Possible pairs of one page that are paired in one row.
+PAGE_PAIRS = 100_000
 
 
 def skew(words: DataFrame, page: str, slopes: Sequence[float], tolerance: float = 2.5) -> DataFrame:
@@ -41,12 +46,38 @@ def nearest_column(words: DataFrame, columns: DataFrame, page: str, tolerance: f
     return words.join(known, page, "left").withColumn("column", best).drop("_columns")
 
 
-def paired(left: DataFrame, right: DataFrame, page: str, key: str, at: str, tolerance: float) -> DataFrame:
+def paired(left: DataFrame, right: DataFrame, page: str, key: str, at: str, tolerance: float, most: int = PAGE_PAIRS) -> DataFrame:
     """Greedy one-to-one pairs of a page's items by distance: page, a, b, distance.
 
-    The nearest two items that are both free make a pair, again and again; ties go to the lesser keys.  Candidates meet
-    in cells as wide as the tolerance, and decide in parallel rounds, so one page of any size is no single task.
+    The nearest two items that are both free make a pair, again and again; ties go to the lesser keys.  A page's items are
+    brought together once and paired where they lie.  Pages with more than `most` possible pairs, counted first, decide in
+    parallel rounds, so one page of any size is no single task.
     """
+    own = F.struct(F.col(key).alias("key"), F.col(at).alias("x"))
+    side = lambda df, name: df.where(F.col(page).isNotNull()).select(F.col(page).alias("page"), own.alias(name))
+    both = side(left, "l").unionByName(side(right, "r"), allowMissingColumns=True)
+    sizes = both.groupBy("page").agg(F.count("l").alias("l"), F.count("r").alias("r"))
+    crowded = written(sizes.where(F.col("l") * F.col("r") > most).select(F.col("page").alias(page)), "crowded-pages")
+    if crowded.isEmpty():
+        return _paired_pages(both, page, tolerance)
+    few = _paired_pages(both.join(small(crowded.withColumnRenamed(page, "page")), "page", "left_anti"), page, tolerance)
+    many = (df.join(small(crowded), page, "left_semi") for df in (left, right))
+    return few.unionByName(_paired_rounds(*many, page, key, at, tolerance))
+
+
+def _paired_pages(both: DataFrame, page: str, tolerance: float) -> DataFrame:
+    """Pairs of pages whose items (l or r) fit one row: candidates in order, each made unless one before it has an end of it."""
+    rows = both.repartition("page").groupBy("page").agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))
+    pair = lambda a, b: F.struct(F.abs(a["x"] - b["x"]).alias("distance"), a["key"].alias("a"), b["key"].alias("b"))
+    near = F.flatten(F.transform("l", lambda a: F.filter(F.transform("r", lambda b: pair(a, b)), lambda c: c["distance"] <= tolerance)))
+    rows = rows.select("page", F.array_sort(near).alias("near"))
+    taken = lambda made, c: F.exists(made, lambda m: m["a"].eqNullSafe(c["a"]) | m["b"].eqNullSafe(c["b"]))
+    made = F.aggregate("near", F.slice("near", 1, 0), lambda made, c: F.when(taken(made, c), made).otherwise(F.concat(made, F.array(c))))
+    return rows.select(F.col("page").alias(page), F.explode(made).alias("m")).select(page, "m.a", "m.b", "m.distance")
+
+
+def _paired_rounds(left: DataFrame, right: DataFrame, page: str, key: str, at: str, tolerance: float) -> DataFrame:
+    """Pairs of crowded pages: candidates meet in cells as wide as the tolerance."""
     cell = lambda c: F.floor(F.col(c) / tolerance)
     a = left.select(F.col(page).alias("_p"), F.struct(page, F.col(key).alias("key")).alias("a"), F.col(at).alias("_x")).withColumn("_c", F.explode(F.sequence(cell("_x") - 1, cell("_x") + 1)))
     b = right.select(F.col(page).alias("_p"), F.struct(page, F.col(key).alias("key")).alias("b"), F.col(at).alias("_z")).withColumn("_c", cell("_z"))

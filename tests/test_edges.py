@@ -39,6 +39,28 @@ def test_greedy_pairs(spark):
     assert pages.paired(empty, spark.createDataFrame(right, schema), "page", "k", "y", 3.0).count() == 0
 
 
+def test_pairs_of_pages_meet_once(spark, monkeypatch):
+    """Pages are paired where their items lie, without rounds; crowded ones in rounds; repeated items, nulls and ties as in the loop."""
+    rng = random.Random(2)
+    left = [(p, k % 5 or None, rng.choice([1.0, 2.5, 4.0, 9.0])) for p in (1, 2, 3) for k in range(8)] + [(None, 1, 1.0), (1, 9, None), (7, 1, 1.0)]
+    right = [(p, k, rng.choice([1.0, 3.0, 5.5, 9.0])) for p in (1, 2, 3) for k in range(6)] + [(None, 1, 1.0), (2, 9, None), (2, 8, float("nan"))]
+    right += [(3, 20 + k, 2.0) for k in range(10)]
+    df = [spark.createDataFrame(x, "page long, k long, y double") for x in (left, right)]
+    expected = []
+    for p in (1, 2, 3):
+        near = {(abs(x - z), a or 0, b) for q, a, x in left if q == p and x for r, b, z in right if r == p and z and abs(x - z) <= 3.0}
+        used = set(), set()
+        for d, a, b in sorted(near):
+            if a not in used[0] and b not in used[1]:
+                used[0].add(a)
+                used[1].add(b)
+                expected.append((p, a or None, b, d))
+    for most in (1, 60, 1000):  # all, one and no page crowded
+        assert rows(pages.paired(*df, "page", "k", "y", 3.0, most), "page", "a", "b", "distance") == sorted(expected, key=repr)
+    monkeypatch.setattr(pages, "matched", None)
+    assert pages.paired(*df, "page", "k", "y", 3.0).count() == len(expected)
+
+
 def test_upright_pages(spark):
     words = [(p, x * 100.0, 20.0 * line + slope * x * 100, f"w{x}") for p, slope in ((1, 0.02), (2, 0.0), (3, -0.01)) for line in range(4) for x in range(5)]
     words += [(4, None, 1.0, "lost"), (5, 0.0, 7.0, "alone")]
