@@ -16,16 +16,20 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .retrieval import Nearest, discard, written
+
 #: Rows that the centroids are fitted on, the most cells, and the queries that one pass over the index serves.
 SAMPLE, MOST_CELLS, QUERIES = 20_000, 1024, 10_000
 #: Rows of one file of the index: a hot cell is many files.
 FILE_ROWS = 500_000
 
 
-def _unit(vector: str) -> Column:
+def _units(df: DataFrame, vector: str, *columns: Column) -> DataFrame:
+    """The columns, and v: the vector at length one, null for null and zero vectors.  The length is made once a row, not once an element."""
     v = F.col(vector).cast("array<double>")
     length = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
-    return F.when(length > 0, F.transform(v, lambda x: x / length))
+    rows = df.select(*columns, v.alias("v"), length.alias("_length"))
+    return rows.withColumn("v", F.when(F.col("_length") > 0, F.transform("v", lambda x: x / F.col("_length")))).drop("_length")
 
 
 def build(items: DataFrame, folder: str, key: str, vector: str, filters: Sequence[str], cells: int | None = None, sample: int = SAMPLE) -> int:
@@ -34,7 +38,8 @@ def build(items: DataFrame, folder: str, key: str, vector: str, filters: Sequenc
     All rows with a vector are indexed; null and zero vectors are not.  Null filter values are a partition of their own.
     The sample is the rows with the least hashes, so the same rows make the same index.
     """
-    rows = items.select(F.col(key).cast("long").alias("k"), _unit(vector).alias("v"), *filters).where("v is not null")
+    rows = _units(items, vector, F.col(key).cast("long").alias("k"), *map(F.col, filters)).select("k", "v", *filters).where("v is not null")
+    rows = written(rows, "cells-rows")
     n = rows.count()
     if not n:
         raise ValueError("no vectors to index")
@@ -56,6 +61,7 @@ def build(items: DataFrame, folder: str, key: str, vector: str, filters: Sequenc
     dealt = rows.mapInArrow(assign, f"{kinds}, cell int")
     dealt = dealt.repartition(*filters, "cell", F.pmod(F.xxhash64("k"), F.lit(-(-n // (cells * FILE_ROWS)))))
     dealt.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*filters, "cell").parquet(f"{folder}/rows")
+    discard(rows)
     return len(centres)
 
 
@@ -67,12 +73,12 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, query:
     """(query, key, score, rank): each query's k most similar rows that meet `where`, ties to the lesser key; itself never.
 
     `where` is a condition on the filter columns; `probe` the cells that each query looks into (all, if None).  Queries
-    are a stated set, looked up in blocks of QUERIES, each of which reads the index once; every batch of rows hands out
-    each query's k best, so no more leave it.
+    are a stated set, looked up in blocks of QUERIES, each of which reads the index once; every task keeps and
+    hands out each query's k best, so no more leave it.
     """
     centres = np.array([r.v for r in spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()])  # at most MOST_CELLS
     probe = len(centres) if probe is None else min(probe, len(centres))
-    asked = queries.select(F.col(query).cast("long").alias("q"), _unit(vector).alias("v")).where("v is not null and q is not null").dropDuplicates(["q"])
+    asked = _units(queries, vector, F.col(query).cast("long").alias("q")).where("v is not null and q is not null").dropDuplicates(["q"])
     index = spark.read.parquet(f"{folder}/rows")
     index = index if where is None else index.where(where)
     out = spark.createDataFrame([], "q long, k long, score double")
@@ -82,26 +88,25 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, query:
         ids, x = np.array([r.q for r in block]), np.array([r.v for r in block]).reshape(len(block), -1)
         if not len(block):
             continue
-        near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probe]
-        by_cell = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+        by_cell = None
+        if probe < len(centres):
+            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probe]
+            by_cell = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
         shared = spark.sparkContext.broadcast((ids, x, by_cell))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, x, by_cell = shared.value
+            best = Nearest(ids, x, k)
             for batch in batches:
                 keys, cell, v = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(1))
-                best: list[tuple] = []
+                if by_cell is None:
+                    best.meet(keys, v)
+                    continue
                 for c in np.unique(cell):
-                    rows, qs = np.flatnonzero(cell == c), by_cell.get(int(c), [])
-                    for q in qs:
-                        score = v[rows] @ x[q]
-                        score[keys[rows] == ids[q]] = -np.inf
-                        top = np.lexsort((keys[rows], -score))[:k]
-                        best += [(ids[q], keys[rows[t]], score[t]) for t in top if score[t] > -np.inf]
-                columns = list(zip(*best, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["q", "k", "score"])
-
-        part = index.where(F.col("cell").isin(*by_cell)).select("k", "v", "cell").mapInArrow(scan, "q long, k long, score double")
+                    best.meet(keys[cell == c], v[cell == c], by_cell.get(int(c), np.array([], int)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(best.found(), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["q", "k", "score"])
+
+        part = (index if by_cell is None else index.where(F.col("cell").isin(*by_cell))).select("k", "v", "cell").mapInArrow(scan, "q long, k long, score double")
         out = out.unionByName(part)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "k")
     best = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

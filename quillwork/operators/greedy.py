@@ -153,7 +153,8 @@ def leaders(rows: DataFrame, block: str, order: Sequence[str], key: str, vector:
     place = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(key).alias("k"))
     v = F.col(vector).cast("array<double>")
     length = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
-    plain = rows.select(F.col(block).alias("block"), F.col(key).alias("key"), F.when(length > 0, F.transform(v, lambda x: x / length)).alias("v"), place.alias("at"))
+    plain = rows.select(F.col(block).alias("block"), F.col(key).alias("key"), v.alias("v"), length.alias("_length"), place.alias("at"))  # once a row, not once an element
+    plain = plain.withColumn("v", F.when(F.col("_length") > 0, F.transform("v", lambda x: x / F.col("_length")))).drop("_length")
     most = plain.groupBy("block").count().agg(F.max("count")).first()[0] or 0
     salts = -(-most // group) or 1
     spread = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")

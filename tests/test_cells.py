@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillwork.operators import cells
-from quillwork.operators.retrieval import shared_folder
+from quillwork.operators.retrieval import Nearest, nearest, shared_folder
 
 
 def test_filtered_neighbours(spark):
@@ -35,3 +35,40 @@ def test_filtered_neighbours(spark):
     plan = cells.search(spark, folder, asked.limit(1), 5, "q", "v", F.col("kind") == "bill", probe=2)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan and "cell" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0]
     assert cells.search(spark, folder, asked.limit(0), 5, "q", "v").count() == 0
+
+
+def test_tasks_hand_out_their_best_alone(spark):
+    """A task's batches are ranked together: at most k rows a query leave it, however many batches and cells it reads."""
+    x = np.random.default_rng(3).normal(size=(600, 4))
+    df = spark.createDataFrame([(i, "a", list(map(float, v))) for i, v in enumerate(x)], "id long, kind string, v array<double>")
+    folder = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells.build(df, folder, "id", "v", ["kind"])
+    found = cells.search(spark, folder, df.where("id < 10").select(F.col("id").alias("q"), "v"), 5, "q", "v")
+    best = Nearest(np.arange(10), x[:10], 5)
+    for i in range(0, 600, 20):
+        best.meet(np.arange(i, i + 20), x[i : i + 20])
+        assert len(best.found()[0]) <= 50
+    assert {(r.q, r.key) for r in found.collect()} == set(zip(*(c.tolist() for c in best.found()[:2]), strict=True))
+
+
+def test_nearest_ties_and_copies(spark):
+    """Blocks of any cut give the loop's rows: many copies, ties to the lesser key, zero vectors, fewer rows than k."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6))
+    x[50:200] = x[3]
+    x[200:230] = 0.0
+    keys = rng.permutation(400)
+    norm = np.sqrt((x * x).sum(1))
+    for cut in (7, 64, 400):
+        best = Nearest(keys[::9], x[::9], 5)
+        for i in range(0, 400, cut):
+            best.meet(keys[i : i + cut], x[i : i + cut])
+        got = {}
+        for q, key, score in zip(*(c.tolist() for c in best.found()), strict=True):
+            got.setdefault(q, []).append((key, round(score, 9)))
+        for i in range(0, 400, 9):
+            score = np.divide(x @ x[i], norm * norm[i], out=np.zeros(400), where=norm * norm[i] > 0).round(12)
+            expected = sorted((-s, k) for s, k in zip(score.tolist(), keys.tolist(), strict=True) if k != keys[i])[:5]
+            assert got[keys[i]] == [(k, round(-s, 9) + 0.0) for s, k in expected]
+    few = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in nearest(few, few, 5, block=2).collect()) == [(a, b) for a in range(3) for b in range(3) if a != b]
