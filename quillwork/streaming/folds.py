@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from pyspark.sql import types as T
 
 from quillwork.session import bounded_batches
 
+#: Rows of a key that are rows of Python at a time.
+PIECE = 2_000
+
 Step = Callable[[Any, dict], tuple[Any, list[tuple]]]
 Flush = Callable[[Any], list[tuple]]
 
@@ -50,20 +54,35 @@ def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     return rows.mapInPandas(run, schema)
 
 
+def _placed(rows: pd.DataFrame, order: Sequence[str]) -> np.ndarray:
+    """The rows' places in the order, ties as they came; numbers are sorted without a copy of the rows."""
+    if all(rows[c].dtype.kind in "iufM" for c in order):
+        return np.lexsort([rows[c].to_numpy() for c in reversed(order)])
+    return rows[list(order)].reset_index(drop=True).sort_values(list(order), kind="stable").index.to_numpy()
+
+
 def folded_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out: str) -> DataFrame:
-    """The same step over a stream: each key's state is kept as JSON; rows of a micro-batch run in the given order."""
+    """The same step over a stream: each key's state is kept as JSON; rows of a micro-batch run in the given order.
+
+    A key's rows of one micro-batch wait as plain columns, without the key; at most PIECE of them are rows of Python, and
+    what they emit leaves before the next.
+    """
     schema = T.StructType([stream.schema[k] for k in keys] + list(T.StructType.fromDDL(out).fields))
     names = schema.names
+    bounded_batches(stream.sparkSession)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kept = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
-        made: list[tuple] = []
-        for row in rows.to_dict("records"):
-            kept, emitted = step(kept, row)
-            made += [(*key, *x) for x in emitted]
+        rows = pd.concat((b.drop(columns=list(keys)) for b in batches), ignore_index=True)
+        own, place = dict(zip(keys, key, strict=True)), _placed(rows, order)
+        for i in range(0, len(place), PIECE):
+            made: list[tuple] = []
+            for row in rows.iloc[place[i : i + PIECE]].to_dict("records"):
+                kept, emitted = step(kept, own | row)
+                made += [(*key, *x) for x in emitted]
+            if made:
+                yield pd.DataFrame(made, columns=names)
         state.update((json.dumps(kept),))
-        yield pd.DataFrame(made, columns=names)
 
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
 

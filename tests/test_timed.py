@@ -103,3 +103,34 @@ def test_two_streams(spark):
     got = timed.longest_overlap(spark.read.parquet(f"{out}/rows"), "s", "phrase", "label")
     key = lambda df: sorted((r.s, r.phrase, r.label, round(r.overlap, 6)) for r in df.collect())
     assert key(got) == key(expected) and key(got)
+
+
+def test_folded_stream_in_pieces(spark):
+    """A key's rows reach the step in pieces, in order over all of them, with its state from start to start, and no frame of all rows as Python's."""
+    from quillwork.streaming import flows, folds
+
+    rng = random.Random(6)
+    rows = [(k, float(t), i) for i, (k, t) in enumerate((rng.choice(["a", "b", None]), rng.randrange(20_000)) for _ in range(15_000))]
+    df = spark.createDataFrame(rows, "k string, t double, i long")
+    source = timed.feed(spark, df.schema, "pieces")
+    most = folds.PIECE
+
+    def step(state, row):
+        n, last = state or (0, -1.0)
+        import sys
+
+        held = sys._getframe(1).f_locals["rows"]
+        assert "k" not in held.columns and len(sys._getframe(1).f_locals["made"]) <= most
+        assert row["t"] >= last
+        return [n + 1, row["t"]], [(row["i"], n)]
+
+    parts = [[r for r in rows if r[1] < 10_000], [r for r in rows if r[1] >= 10_000]]
+    name = f"pieces-{rng.randrange(10**12)}"
+    for part in parts:
+        spark.createDataFrame(part, df.schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        got = flows.replayed(folds.folded_stream(stream, ["k"], ["t", "i"], step, "i long, n long"), name)
+    expected = []
+    for k in ("a", "b", None):
+        expected += [(k, i, n) for n, (t, i) in enumerate(sorted((t, i) for x, t, i in rows if x == k))]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(expected, key=repr)
