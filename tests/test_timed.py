@@ -134,3 +134,23 @@ def test_folded_stream_in_pieces(spark):
     for k in ("a", "b", None):
         expected += [(k, i, n) for n, (t, i) in enumerate(sorted((t, i) for x, t, i in rows if x == k))]
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_streams_meet_in_slices(spark):
+    """Rows of two streams meet in slices of time, those on a slice's edge included, each pair once."""
+    at = lambda s: F.timestamp_micros((F.col(s) * S).cast("long"))
+    starts = [480.0 * n + d for n in (2, 3, 4) for d in (-61.0, -60.0, -59.0, -1.0, 0.0, 1.0, 59.0, 60.0, 61.0, 240.0)]  # a slice is 480 s
+    p = [(1, i, t, t + 60.0) for i, t in enumerate(starts)]
+    q = [(1, f"v{i}", t, t + 30.0 * (1 + i % 2)) for i, t in enumerate(starts)]
+    folders = []
+    for rows, kind in ((p, "s long, phrase long"), (q, "s long, label string")):
+        df = spark.createDataFrame(rows, f"{kind}, start double, end double").withColumns({"start": at("start"), "end": at("end")})
+        folders.append(timed.feed(spark, df.schema, "slices"))
+        df.write.mode("append").parquet(folders[-1])
+    a, b = (spark.readStream.schema(spark.read.parquet(f).schema).parquet(f) for f in folders)
+    pairs = timed.overlapping(a, b, "s", "phrase", "label", "10 minutes", "60 seconds")
+    timed.run(pairs, f"{folders[0]}-out")
+    expected = sorted((1, i, label, min(y, z) - max(x, w)) for _, i, x, y in p for _, label, w, z in q if x < z and w < y)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{folders[0]}-out/rows").collect()) == expected
+    join = pairs._jdf.queryExecution().analyzed().toString().split("Join Inner", 1)[1].split("\n", 1)[0]
+    assert "_slice" in join and "_part" in join
