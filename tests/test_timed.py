@@ -154,3 +154,28 @@ def test_streams_meet_in_slices(spark):
     assert sorted(tuple(r) for r in spark.read.parquet(f"{folders[0]}-out/rows").collect()) == expected
     join = pairs._jdf.queryExecution().analyzed().toString().split("Join Inner", 1)[1].split("\n", 1)[0]
     assert "_slice" in join and "_part" in join
+
+
+def test_waiting_rows_are_packed():
+    """Rows that wait for the watermark are kept many to an element of the state, in their columns' order, without their event time."""
+    import json
+
+    kept = []
+
+    class Handle:
+        def getListState(self, *_):
+            return type("Rows", (), {"appendList": lambda self, rows: kept.extend(rows)})()
+
+        def getValueState(self, *_):
+            return None
+
+        def listTimers(self):
+            return []
+
+        def registerTimer(self, at):
+            assert at == 7
+
+    each = timed._Ordered(["k"], ["k", "at"], "at", [], timed.Silence("at", S), ["k", "last", "given_up"])
+    each.init(Handle())
+    assert list(each.handleInputRows((1,), iter([(1, 7000 + i, "event time") for i in range(1_200)]), None)) == []
+    assert len(kept) == 3 and [tuple(r) for pack in kept for r in json.loads(pack[0])] == [(1, 7000 + i) for i in range(1_200)]
