@@ -69,9 +69,13 @@ def replaced(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return old.join(new, list(key), "left_anti").unionByName(new)
 
 
-def children_replaced(old: DataFrame, new: DataFrame, parent: Sequence[str]) -> DataFrame:
-    """The children of every parent in `new` are those in `new`."""
-    return old.join(new.select(*parent).distinct(), list(parent), "left_anti").unionByName(new)
+def children_replaced(old: DataFrame, new: DataFrame, parent: Sequence[str], read: DataFrame | None = None) -> DataFrame:
+    """The children of every parent in `new` are those in `new` (C5); those of a parent that was `read` anew without any are none.
+
+    Old rows meet all these parents in one join, whose parents, each once, are the side that a task holds.
+    """
+    parents = new.select(*parent) if read is None else new.select(*parent).unionByName(read.select(*parent))
+    return old.join(parents.distinct().hint("shuffle_hash"), list(parent), "left_anti").unionByName(new)
 
 
 def checksum_guarded(old: DataFrame, new: DataFrame, key: Sequence[str], ok: str) -> DataFrame:

@@ -296,3 +296,14 @@ def test_a_failure_at_an_unknown_time_is_due(spark):
     ledger = spark.createDataFrame([(1, 2, None, False), (2, 5, None, False), (3, 1, None, True), (4, 1, None, None)], "k long, tries int, tried_at timestamp, done boolean")
     work = spark.createDataFrame([(k,) for k in range(6)], "k long")
     assert rows(upkeep.due(work, ledger, "k", F.expr("timestamp'2024-01-01'"), most=5)) == [(0,), (1,), (4,), (5,)]
+
+
+def test_children_of_parents_read_anew(spark):
+    """Parents read anew lose their children, with and without new ones, in one join that sorts no old row; null parents stay."""
+    old = spark.createDataFrame([(p, c) for p in (1, 2, 3, None) for c in (1, 2)], "p long, c long")
+    new, read = spark.createDataFrame([(1, 9), (1, 9), (4, 9)], "p long, c long"), spark.createDataFrame([(1,), (2,), (2,), (7,), (None,)], "p long")
+    got = cdc.children_replaced(old, new, ["p"], read)
+    assert rows(got) == sorted([(1, 9), (1, 9), (3, 1), (3, 2), (4, 9), (None, 1), (None, 2)], key=repr)
+    assert rows(cdc.children_replaced(old, new, ["p"])) == sorted([(1, 9), (1, 9), (2, 1), (2, 2), (3, 1), (3, 2), (4, 9), (None, 1), (None, 2)], key=repr)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("LeftAnti") == 1 and "SortMergeJoin" not in plan
