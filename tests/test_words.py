@@ -39,3 +39,12 @@ def test_words_are_counted_without_a_shuffle(spark):
     found = P.of_docs(docs, "k", "text")
     assert sorted((r.key, r.term, r.tf) for r in found.collect()) == [(1, "a", 1), (1, "b", 3), (4, "e", 2)]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_splits_texts_once_for_words_and_lengths(spark):
+    from quillwork.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "the law of water"), (2, "the the of"), (3, None), (4, "water")], "k long, said string")
+    got = retrieval.bm25(docs, "k", {"said": 1.0}, ["the", "of"])
+    assert {r.k for r in got.collect()} == {1, 2}
+    assert "said#" not in got._jdf.queryExecution().optimizedPlan().toString()
