@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.values import cosine
 
-from .retrieval import discard, written
+from .retrieval import discard, exploded, written
 
 
 def topic_features(text: str, features: int = 1 << 12) -> PipelineModel:
@@ -144,7 +144,8 @@ def report(df: DataFrame, truth: str, said: str) -> DataFrame:
 def pair_features(pairs: DataFrame, items: DataFrame, key: str, text: str, vector: str, at: str) -> DataFrame:
     """The pairs (a, b, ...) with what tells events apart: overlap, cosine, idf of the rarest shared word, days apart (M6).
 
-    Items are joined on their keys; a pair of unknown items goes.  Missing texts, vectors and times say 0.
+    Items are joined on their keys; a pair of unknown items goes.  Missing texts, vectors and times say 0.  The pairs meet
+    the items once and are written with the words that they share, and so is the result, which learning and judging read.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
     told = written(items.select(F.col(key).alias("k"), words.alias("w"), F.col(vector).cast("array<double>").alias("v"), F.col(at).cast("double").alias("t")), "pair-items")
@@ -152,16 +153,22 @@ def pair_features(pairs: DataFrame, items: DataFrame, key: str, text: str, vecto
     total = told.agg(F.count("*").alias("n"))
     side = lambda c: told.select(F.col("k").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in "wvt"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_shared", F.array_intersect("w_a", "w_b"))
-    rare = both.select("a", "b", F.explode("_shared").alias("x")).distinct().join(df, "x").groupBy("a", "b").agg(F.min("f").alias("f"))
-    rare = rare.crossJoin(F.broadcast(total)).select("a", "b", F.log((F.col("n") + 1) / (F.col("f") + 1)).alias("rarest"))  # one row
     shared, union = F.size("_shared"), F.size("w_a") + F.size("w_b") - F.size("_shared")
-    out = both.join(rare, ["a", "b"], "left").select(
-        *pairs.columns,
-        F.when(union > 0, shared / union).otherwise(0.0).alias("overlap"),
-        F.coalesce(cosine("v_a", "v_b"), F.lit(0.0)).alias("cosine"),
-        F.coalesce("rarest", F.lit(0.0)).alias("rarest"),
-        F.coalesce(F.abs(F.col("t_a") - F.col("t_b")), F.lit(0.0)).alias("apart"),
+    met = written(
+        both.select(
+            *pairs.columns,
+            "_shared",
+            F.when(union > 0, shared / union).otherwise(0.0).alias("overlap"),
+            F.coalesce(cosine("v_a", "v_b"), F.lit(0.0)).alias("cosine"),
+            F.coalesce(F.abs(F.col("t_a") - F.col("t_b")), F.lit(0.0)).alias("apart"),
+        ),
+        "pair-words",
     )
+    rare = exploded(met, F.col("_shared"), "x", "a", "b").join(df, "x").groupBy("a", "b").agg(F.min("f").alias("f"))
+    rare = rare.crossJoin(F.broadcast(total)).select("a", "b", F.log((F.col("n") + 1) / (F.col("f") + 1)).alias("rarest"))  # one row
+    out = met.join(rare, ["a", "b"], "left").select(*pairs.columns, "overlap", "cosine", F.coalesce("rarest", F.lit(0.0)).alias("rarest"), "apart")
+    out = written(out, "pair-features")
+    discard(told, met)
     return out
 
 

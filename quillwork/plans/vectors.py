@@ -12,6 +12,7 @@ from quillwork.operators import events as E
 from quillwork.operators import greedy as G
 from quillwork.operators import learning as L
 from quillwork.operators import postings as P
+from quillwork.operators import relational as R
 from quillwork.operators import retrieval as V
 from quillwork.session import table
 
@@ -260,12 +261,17 @@ def cascaded_classifier(spark, sf):
 @query("M6")
 def pair_judge(spark, sf):
     """Pairs of near vectors judged by a model trained on labelled ones, if it beats the cosine threshold on held-out pairs."""
-    rows = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
-    near = V.nearest(rows.where("vec_id % 5 = 0"), rows, 6).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"))
-    truth = rows.select(F.col("vec_id").alias("a"), F.col("label").alias("x"))
-    other = rows.select(F.col("vec_id").alias("b"), F.col("label").alias("y"))
+    vectors = table(spark, sf, "embeddings")
+    ids = V.written(vectors.select("vec_id"), "vec-ids")  # the size of a table of its own is known: a column's is overrated beside vectors
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(R.small(ids), "vec_id", "left_semi")
+    rows = vectors.join(texts, "vec_id", "left")
+    near = V.nearest(vectors.where("vec_id % 5 = 0"), vectors, 6).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"))
+    near = V.written(near, "near")  # the features read the pairs more than once
+    truth = vectors.select(F.col("vec_id").alias("a"), F.col("label").alias("x"))
+    other = vectors.select(F.col("vec_id").alias("b"), F.col("label").alias("y"))
     pairs = near.join(truth, "a").join(other, "b").select("a", "b", (F.col("x") == F.col("y")).alias("one"))
     told = L.pair_features(pairs, rows.withColumn("day", F.col("vec_id") / 50), "vec_id", "text", "embedding", "day")
+    V.discard(near, ids)
     model, said = L.train_judge(told, "one")
     return L.judged_pairs(told, model, said["useful"]).select("a", "b", "one", "same", "by")
 

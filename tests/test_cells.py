@@ -72,3 +72,31 @@ def test_nearest_ties_and_copies(spark):
             assert got[keys[i]] == [(k, round(-s, 9) + 0.0) for s, k in expected]
     few = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r.vec_id) for r in nearest(few, few, 5, block=2).collect()) == [(a, b) for a in range(3) for b in range(3) if a != b]
+
+
+def test_nearest_decides_in_double_precision(spark):
+    """Rows that single precision cannot tell apart rank by their exact scores; vectors that are not finite hide nothing."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(1, 6)) + 1e-7 * rng.normal(size=(300, 6)), rng.normal(size=(100, 6))])[rng.permutation(400)]
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    score = np.einsum("ij,ij->i", x, np.broadcast_to(x[0], x.shape)) / (np.sqrt((x * x).sum(1)) * np.sqrt((x[0] * x[0]).sum()))
+    assert len(np.unique((unit.astype(np.float32) @ unit[0].astype(np.float32)))) < 350
+    odd = np.full((9, 6), np.nan)
+    for cut in (50, 409):
+        best = Nearest(np.array([0]), x[:1], 5)
+        keys, rows = np.arange(409), np.concatenate([x, odd])
+        for i in range(0, 409, cut):
+            best.meet(keys[i : i + cut], rows[i : i + cut])
+        _, key, got = best.found()
+        assert key.tolist() == sorted(range(1, 400), key=lambda i: (-score[i], i))[:5] and np.allclose(got, score[key], rtol=0, atol=1e-15)
+
+
+def test_queries_are_cut_where_pairs_of_blocks_are_few(spark):
+    """Fewer pairs of blocks than cores are cut finer, and each is a task of its own, small as it may be; rows stay the same."""
+    x = np.random.default_rng(6).normal(size=(2500, 3))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plan = nearest(df, df, 2)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan.split("Physical Plan", 1)[1]
+    best = Nearest(np.arange(2500), x, 2)
+    best.meet(np.arange(2500), x)
+    assert {(r.query_id, r.vec_id) for r in nearest(df, df, 2).collect()} == set(zip(*(c.tolist() for c in best.found()[:2]), strict=True))

@@ -87,3 +87,22 @@ def test_texts_are_split_once_for_all_folds(spark, monkeypatch):
     out = learning.validated(df.withColumn("t", counted.asNondeterministic()("t")), "t", "c", "k", k=3, most=2, features=64, rounds=5).collect()
     assert len(out) == 60 and all(r.top[0]["label"] == r.c for r in out)
     assert seen.value <= 120  # once to write the counts; twice if the filter and the counts both ask for the text
+
+
+def test_pair_judge_searches_once(spark, sf, monkeypatch):
+    """The neighbours are looked for once, though features, learning and judging all read the pairs."""
+    from pyspark.sql import functions as F
+
+    from quillwork.plans import vectors
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(k):
+        seen.add(1)
+        return k
+
+    nearest = vectors.V.nearest
+    monkeypatch.setattr(vectors.V, "nearest", lambda *args: nearest(*args).withColumn("query_id", counted.asNondeterministic()("query_id")))
+    rows = vectors.pair_judge(spark, sf).collect()
+    assert len(rows) == seen.value == 6 * spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 5 = 0").count()
