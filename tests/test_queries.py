@@ -2,6 +2,7 @@
 
 import uuid
 
+import duckdb
 import pytest
 
 from quillwork.operators.retrieval import shared_folder
@@ -67,3 +68,17 @@ def test_labels_come_in_the_order_of_the_rules(spark):
     docs = [(1, "A license !! and a Token"), (2, "password!!"), (3, "license released, token!!"), (4, ""), (5, None)]
     found = ran(spark, "multilabel_with_veto", "documents", docs, "doc_id long, text string")
     assert found == [(1, "norm,shout,secret"), (2, "shout,secret"), (3, "shout,secret"), (4, ""), (5, "")]
+
+
+def test_references_of_all_events(spark):
+    """Late events, users without a number and equal numbers are rows too; what is out of range is no reference, and a null text has none known."""
+    events = [(1, 0), (6, 1006), (20000, 5), (40000, 41000), (99_998_999, 7), (100_000_000, 0), (8, -3), (9, None)]
+    kind = "event_id long, user_id long"
+    found = ran(spark, "ref_extract_dedupe", "events", events, kind)
+    assert found == [(1, "1001"), (6, "1006"), (8, "3,1008"), (9, None), (20000, "5,21000"), (40000, "41000"), (99_998_999, "7"), (100_000_000, "")]
+    folder = f"{shared_folder(spark)}/small-{uuid.uuid4().hex}"
+    spark.createDataFrame(events, kind).write.parquet(f"{folder}/events.parquet")
+    small = duckdb.connect()
+    small.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT)")
+    small.executemany("INSERT INTO events VALUES (?, ?)", events)
+    assert difference(REGISTRY["ref_extract_dedupe"].run(spark, folder), small, REGISTRY["ref_extract_dedupe"].sql) is None
