@@ -106,3 +106,21 @@ def test_pair_judge_searches_once(spark, sf, monkeypatch):
     monkeypatch.setattr(vectors.V, "nearest", lambda *args: nearest(*args).withColumn("query_id", counted.asNondeterministic()("query_id")))
     rows = vectors.pair_judge(spark, sf).collect()
     assert len(rows) == seen.value == 6 * spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 5 = 0").count()
+
+
+def test_pair_judge_asks_for_every_vector(spark, sf):
+    """All vectors have their six nearest, ties to the lesser key, as a product of the whole table says."""
+    import numpy as np
+
+    from quillwork.plans import vectors
+
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    score = np.round(x @ x.T, 12)
+    np.fill_diagonal(score, -np.inf)
+    expected = {(ids[i], ids[j]) for i in range(len(ids)) for j in np.lexsort((ids, -score[i]))[:6]}
+    rows = vectors.pair_judge(spark, sf).collect()
+    assert len(rows) == 6 * len(ids) and {(r.a, r.b) for r in rows} == expected
+    label = {r.vec_id: r.label for r in table}
+    assert all(r.one == (label[r.a] == label[r.b]) and r.same is not None for r in rows)
